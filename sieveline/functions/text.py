@@ -9,6 +9,16 @@ SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
 
+def quote(text: str) -> str:
+    """A text as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: the same helpers as SQL text, for long expressions that are written in SQL
+NOT_BLANK_SQL = "{0} RLIKE " + quote(r"(?U)[^\s\x1c-\x1f]")
+STRIP_SQL = "regexp_replace({0}, " + quote(rf"(?U)\A{SPACE}+|{SPACE}+\z") + ", '')"
+
+
 def strip(col: Column) -> Column:
     """Remove white space at both ends (``trim`` alone would keep tabs)."""
     return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")

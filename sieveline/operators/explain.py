@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sieveline.functions.scoring import exact_round
-from sieveline.functions.text import humanise
+from sieveline.functions.text import humanise, quote
 from sieveline.operators.lines import computed_once
 from sieveline.rules.features import DISPLAY, FEATURE_SIGNAL, WEIGHTS
 
@@ -48,16 +48,22 @@ def _draw_udf(salt: int, spread: float):
     return run
 
 
-def _literal_map(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+def _map_sql(table: dict) -> str:
+    pairs = (f"{quote(k)}, {quote(v) if isinstance(v, str) else f'{v}D'}" for k, v in table.items())
+    return f"map({', '.join(pairs)})"
 
 
-def _presence(name: Column, signals: Column) -> Column:
-    out = None
+def _features_sql() -> str:
+    """SQL text over ``names`` and ``signals``: every feature with its strength in the
+    surroundings, its weight and its wording."""
+    cases = []
     for feature, signal in FEATURE_SIGNAL.items():
-        value = F.lit(1.0) - signals[signal[1:]] if signal.startswith("!") else signals[signal]
-        out = F.when(name == feature, value) if out is None else out.when(name == feature, value)
-    return out.otherwise(F.lit(1.0))
+        value = f"1D - signals.{signal[1:]}" if signal.startswith("!") else f"signals.{signal}"
+        cases.append(f"WHEN {quote(feature)} THEN {value}")
+    return (f"transform(names, (n, i) -> named_struct('name', n, "
+            f"'strength', CASE n {' '.join(cases)} ELSE 1D END, "
+            f"'weight', coalesce(try_element_at({_map_sql(WEIGHTS)}, n), 0D), "
+            f"'display', try_element_at({_map_sql(DISPLAY)}, n)))")
 
 
 def attribute(findings: DataFrame, noise: str = "none") -> DataFrame:
@@ -69,36 +75,34 @@ def attribute(findings: DataFrame, noise: str = "none") -> DataFrame:
     """
     if noise not in ("none", "seeded"):
         raise ValueError(noise)
-    weights, wording = _literal_map(WEIGHTS), _literal_map(DISPLAY)
     rows = findings.withColumn("names", F.coalesce("shap_features", F.array().cast("array<string>")))
     if noise == "seeded":
         rows = rows.withColumn("draw", _draw_udf(0, BASE_SPREAD)("rule_id", "line_start", F.size("names")))
         base = exact_round(F.lit(BASE_VALUE) + F.col("draw.u"), 3)
     else:
         base = F.lit(BASE_VALUE)
-    rows = rows.withColumn("base_value", base)
+    rows = rows.withColumn("base_value", base).withColumn("known", F.expr(_features_sql()))
 
-    def feature(name, i):
-        strength = _presence(name, F.col("signals"))
-        value = F.coalesce(F.try_element_at(weights, name), F.lit(0.0)) * (F.lit(0.7) + strength * F.lit(0.3))
+    def rated(f, i):
+        value = f["weight"] * (F.lit(0.7) + f["strength"] * F.lit(0.3))
         if noise == "seeded":
             value = value + F.get(F.col("draw.z"), i) * F.lit(NOISE)
-        return F.struct(name.alias("name"), strength.alias("strength"), value.alias("raw"), i.alias("i"))
+        return F.struct(f["name"].alias("name"), f["strength"].alias("strength"), value.alias("raw"),
+                        f["display"].alias("display"))
 
     def rounded(f):
         return F.struct(f["name"].alias("name"), F.bround(f["strength"]).cast("int").alias("value"),
                         exact_round(f["raw"], 4).alias("shap_value"),
-                        F.coalesce(F.try_element_at(wording, f["name"]), humanise(f["name"])).alias("display"))
+                        F.coalesce(f["display"], humanise(f["name"])).alias("display"))
 
-    rows = rows.withColumn("raw", F.transform("names", feature))
-    rows = rows.withColumn("given", F.transform("raw", rounded))
+    rows = rows.withColumn("given", F.transform(F.transform("known", rated), rounded))
     total = F.aggregate("given", F.lit(0.0), lambda acc, f: acc + f["shap_value"])
     confidence = F.col("confidence_score")
     bounded = F.least(F.greatest(F.col("base_value") + total, confidence - F.lit(0.1)),
                       F.least(confidence + F.lit(0.05), F.lit(0.99)))
     rows = rows.withColumn("prediction", exact_round(bounded, 3))
     rows = rows.withColumn("features", by_size(F.col("given"), "shap_value"))
-    return computed_once(rows.drop("names", "draw", "raw", "given"), "base_value", "prediction", "features")
+    return computed_once(rows.drop("names", "draw", "known", "given"), "base_value", "prediction", "features")
 
 
 def by_size(features: Column, field: str) -> Column:

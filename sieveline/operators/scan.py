@@ -5,14 +5,14 @@ lines into rows, so a whole corpus is scanned, rated and explained without one s
 ``scan_with_table`` takes rules from a table instead.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from sieveline.functions.text import contains_any, is_blank, odd_letters, strip
+from sieveline.functions.text import NOT_BLANK_SQL, STRIP_SQL, is_blank, odd_letters, quote, strip
 from sieveline.operators.lines import explode_lines, unnest, with_lines
-from sieveline.operators.signals import context_signals
-from sieveline.operators.structure import complex_functions, long_functions
-from sieveline.rules import PACKS, Rule
-from sieveline.schema import FINDING_COLUMNS, MAX_SNIPPET, severity_rank
+from sieveline.operators.signals import signals_sql
+from sieveline.operators.structure import complex_functions, long_functions_sql
+from sieveline.rules import PACKS
+from sieveline.schema import FINDING_COLUMNS, MAX_SNIPPET, severity_rank_sql
 
 #: ignore case, Unicode classes
 FLAGS = "(?iU)"
@@ -55,63 +55,78 @@ def rule_table(spark, packs: dict = PACKS, structural: bool = True) -> DataFrame
         "description string, recommendation string")
 
 
-def _core(rule: Rule, ordinal: int) -> Column:
-    return F.struct(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.severity).alias("severity"),
-                    F.lit(float(rule.confidence)).alias("confidence_score"),
-                    F.lit(ordinal).alias("ordinal"))
+def _rules_hit_sql(packs: dict, guarded: bool) -> str:
+    """SQL text for the rules of the file's language that match the line ``x``, in pack order.
 
-
-def _matches(rule: Rule, line: Column, folded: Column, odd: Column) -> Column:
-    hit = line.rlike(FLAGS + rule.pattern)
-    if odd is None or not rule.keywords:
-        return hit
-    return (odd | contains_any(folded, rule.keywords)) & hit
-
-
-def _rules_hit(language: Column, line: Column, folded: Column, odd: Column, packs: dict) -> Column:
-    """Rules of the file's language that match one line, in pack order."""
-    out = None
-    for name, rules in packs.items():
-        tests = [F.when(_matches(rule, line, folded, odd), _core(rule, ordinal))
-                 for ordinal, rule in enumerate(rules) if rule.pattern is not None]
-        hits = F.array_compact(F.array(*tests))
-        out = F.when(language == name, hits) if out is None else out.when(language == name, hits)
-    return out
-
-
-def line_hits(language: Column, lines: Column, odd: Column, packs: dict = PACKS) -> Column:
-    """Matching lines of a file: ``array<struct<line_no, line, rules>>``.
-
-    ``odd`` marks files with letters whose lower case is not what the expressions fold them
-    to; there, as with ``None`` for all files, the keywords are not consulted.
+    A rule's expression runs only where one of its keywords occurs.  ``odd`` marks files
+    with letters whose lower case is not what the expressions fold them to; there the
+    keywords are not consulted.
     """
-    numbered = F.transform(lines, lambda line, i: F.struct(
-        (i + 1).alias("line_no"), line.alias("line"), F.lower(line).alias("folded")))
-    tested = F.transform(
-        F.filter(numbered, lambda x: ~is_blank(x["line"])),
-        lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"),
-                           _rules_hit(language, x["line"], x["folded"], odd, packs).alias("rules")))
-    return F.filter(tested, lambda x: F.size(x["rules"]) > 0)
-
-
-def _line_findings(hits: Column, lines: Column, signals: bool) -> Column:
-    def one(hit, rule):
-        fields = [rule["rule_id"].alias("rule_id"), rule["severity"].alias("severity"),
-                  rule["confidence_score"].alias("confidence_score"),
-                  rule["ordinal"].alias("ordinal"),
-                  hit["line_no"].alias("line_start"), F.lit(None).cast("int").alias("line_end"),
-                  hit["snippet"].alias("code_snippet"), F.lit(None).cast("string").alias("description")]
-        return F.struct(*fields, hit["signals"].alias("signals")) if signals else F.struct(*fields)
-
-    def prepared(x):
-        fields = [x["line_no"].alias("line_no"), x["rules"].alias("rules"),
-                  F.substring(strip(x["line"]), 1, MAX_SNIPPET).alias("snippet")]
-        if signals:
-            fields.append(context_signals(lines, x["line_no"]).alias("signals"))
-        return F.struct(*fields)
-
-    ready = F.transform(hits, prepared)
-    return F.flatten(F.transform(ready, lambda h: F.transform(h["rules"], lambda r: one(h, r))))
+    cases = []
+    for name, rules in packs.items():
+        tests = []
+        for ordinal, rule in enumerate(rules):
+            if rule.pattern is None:
+                continue
+            test = f"x.line RLIKE {quote(FLAGS + rule.pattern)}"
+            if guarded and rule.keywords:
+                words = " OR ".join(f"contains(x.folded, {quote(word)})" for word in rule.keywords)
+                test = f"(odd OR {words}) AND {test}"
+            tests.append(
+                f"CASE WHEN {test} THEN named_struct('rule_id', {quote(rule.rule_id)}, 'severity', "
+                f"{quote(rule.severity)}, 'confidence_score', {float(rule.confidence)}D, 'ordinal', {ordinal}) END")
+        cases.append(f"WHEN {quote(name)} THEN array_compact(array({', '.join(tests)}))")
+    return f"CASE language {' '.join(cases)} END"
+
+
+def _hits_sql(packs: dict, guarded: bool) -> str:
+    """SQL text for the matching lines of a file: ``array<struct<line_no, line, rules>>``."""
+    numbered = ("transform(lines, (line, i) -> named_struct("
+                "'line_no', i + 1, 'line', line, 'folded', lower(line)))")
+    tested = (f"transform(filter({numbered}, x -> {NOT_BLANK_SQL.format('x.line')}), x -> named_struct("
+              f"'line_no', x.line_no, 'line', x.line, 'rules', {_rules_hit_sql(packs, guarded)}))")
+    return f"filter({tested}, x -> size(x.rules) > 0)"
+
+
+def _finding_sql(rule_id, severity, confidence, ordinal, start, end, snippet, description, signals) -> str:
+    fields = (f"'rule_id', {rule_id}, 'severity', {severity}, 'confidence_score', {confidence}, "
+              f"'ordinal', {ordinal}, 'line_start', {start}, 'line_end', {end}, "
+              f"'code_snippet', {snippet}, 'description', {description}")
+    return f"named_struct({fields}{', ' + repr('signals') + ', ' + signals if signals else ''})"
+
+
+def _snippet_sql(text: str) -> str:
+    return f"substring({STRIP_SQL.format(text)}, 1, {MAX_SNIPPET})"
+
+
+def _line_findings_sql(packs: dict, guarded: bool, signals: bool) -> str:
+    """SQL text for the findings of single lines, over ``language``, ``lines``, ``odd``."""
+    around = f", 'signals', {signals_sql('lines', 'h.line_no')}" if signals else ""
+    ready = (f"transform({_hits_sql(packs, guarded)}, h -> named_struct("
+             f"'line_no', h.line_no, 'rules', h.rules, 'snippet', {_snippet_sql('h.line')}{around}))")
+    one = _finding_sql("r.rule_id", "r.severity", "r.confidence_score", "r.ordinal", "h.line_no",
+                       "cast(NULL AS int)", "h.snippet", "cast(NULL AS string)", "h.signals" if signals else "")
+    return f"flatten(transform({ready}, h -> transform(h.rules, r -> {one})))"
+
+
+def _complexity_sql(signals: bool) -> str:
+    """SQL text for the findings of complex functions, over ``complex`` and ``lines``."""
+    one = _finding_sql(
+        "'PY-CMPLX-001'", "'medium'", "least(0.95D, 0.7D + (c.complexity - 10) * 0.02D)",
+        COMPLEXITY_ORDINAL, "c.line", "cast(NULL AS int)", _snippet_sql("coalesce(get(lines, c.line - 1), '')"),
+        "concat('Function \\'', c.name, '\\' has cyclomatic complexity of ', c.complexity, ' (threshold: 10).')",
+        signals_sql("lines", "c.line") if signals else "")
+    return f"transform(complex, c -> {one})"
+
+
+def _long_function_sql(signals: bool) -> str:
+    """SQL text for the findings of long functions, over ``language`` and ``lines``."""
+    one = _finding_sql(
+        "concat(upper(substring(language, 1, 2)), '-MAINT-LONGFN')", "'low'", "0.8D", LONG_FUNCTION_ORDINAL,
+        "f.start + 1", "f.stop", _snippet_sql("f.next_line"),
+        "concat('Function \\'', f.name, '\\' is ', f.stop - f.start, ' lines long.')",
+        signals_sql("lines", "f.start + 1") if signals else "")
+    return f"transform({long_functions_sql()}, f -> {one})"
 
 
 def local_findings(files: DataFrame, packs: dict = PACKS, signals: bool = True,
@@ -120,58 +135,18 @@ def local_findings(files: DataFrame, packs: dict = PACKS, signals: bool = True,
     severity rank, line, then the order in which the checks run."""
     check_packs(packs)
     base = files.withColumn("odd", odd_letters(F.col("source")))
+    parts = [_line_findings_sql(packs, guarded, signals)]
     if structural:
         base = base.withColumn("complex", complex_functions(F.col("language"), F.col("source")))
-    base = with_lines(base)
-    odd = F.col("odd") if guarded else None
-    base = base.withColumn("hits", line_hits(F.col("language"), F.col("lines"), odd, packs))
-    parts = [_line_findings(F.col("hits"), F.col("lines"), signals)]
-    if structural:
-        parts += _structural_findings(F.col("language"), F.col("lines"), F.col("complex"), packs, signals)
-    parts = [F.coalesce(part, F.array().cast(_found_type(signals))) for part in parts]
-    base = base.withColumn("found", F.concat(*parts) if len(parts) > 1 else parts[0])
-    ordered = F.array_sort(F.transform("found", lambda f: F.struct(
-        severity_rank(f["severity"]).alias("rank"), f["line_start"].alias("line"),
-        f["ordinal"].alias("ordinal"), f.alias("finding"))))
-    base = base.withColumn("found", F.transform(ordered, lambda x: x["finding"]))
-    return base.drop("hits", "complex", "odd")
-
-
-def _found_type(signals: bool) -> str:
-    tail = ", signals: struct<user_input: double, sanitization: double, orm: double, " \
-           "crypto: double, loop: double, error_handling: double>" if signals else ""
-    return ("array<struct<rule_id: string, severity: string, confidence_score: double, "
-            "ordinal: int, line_start: int, line_end: int, code_snippet: string, "
-            f"description: string{tail}>>")
-
-
-def _structural_findings(language: Column, lines: Column, complex_: Column, packs: dict, signals: bool):
-    """Findings that need more than one line: complexity, then function length."""
-    def build(rule_id, severity, confidence, ordinal, start, end, snippet, description):
-        fields = [rule_id.alias("rule_id"), severity.alias("severity"),
-                  confidence.alias("confidence_score"), ordinal.alias("ordinal"),
-                  start.alias("line_start"), end.alias("line_end"),
-                  F.substring(strip(snippet), 1, MAX_SNIPPET).alias("code_snippet"),
-                  description.alias("description")]
-        if signals:
-            fields.append(context_signals(lines, start).alias("signals"))
-        return F.struct(*fields)
-
-    parts = []
-    if any(rule.rule_id == "PY-CMPLX-001" for rule in packs.get("python", ())):
-        parts.append(F.transform(complex_, lambda c: build(
-            F.lit("PY-CMPLX-001"), F.lit("medium"),
-            F.least(F.lit(0.95), F.lit(0.7) + (c["complexity"] - 10) * F.lit(0.02)),
-            F.lit(COMPLEXITY_ORDINAL), c["line"], F.lit(None).cast("int"),
-            F.coalesce(F.get(lines, c["line"] - 1), F.lit("")),
-            F.format_string(
-                "Function '%s' has cyclomatic complexity of %d (threshold: 10).",
-                c["name"], c["complexity"]))))
-    parts.append(F.transform(long_functions(language, lines), lambda f: build(
-        F.concat(F.upper(F.substring(language, 1, 2)), F.lit("-MAINT-LONGFN")), F.lit("low"),
-        F.lit(0.80), F.lit(LONG_FUNCTION_ORDINAL), f["start"] + 1, f["stop"], f["next_line"],
-        F.format_string("Function '%s' is %d lines long.", f["name"], f["stop"] - f["start"]))))
-    return parts
+        if any(rule.rule_id == "PY-CMPLX-001" for rule in packs.get("python", ())):
+            parts.append(_complexity_sql(signals))
+        parts.append(_long_function_sql(signals))
+    parts = [f"coalesce({part}, array())" for part in parts]
+    found = f"concat({', '.join(parts)})"
+    ordered = (f"array_sort(transform({found}, f -> named_struct("
+               f"'rank', {severity_rank_sql('f.severity')}, 'line', f.line_start, 'ordinal', f.ordinal, 'finding', f)))")
+    return with_lines(base).withColumn("found", F.expr(f"transform({ordered}, x -> x.finding)")) \
+        .drop("complex", "odd")
 
 
 def scan_files(files: DataFrame, packs: dict = PACKS, signals: bool = False,

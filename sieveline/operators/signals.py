@@ -1,34 +1,29 @@
 """Context signals: how strongly the surroundings of a line show a property."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from sieveline.functions.text import quote
+from sieveline.operators.lines import with_lines
 from sieveline.rules.features import CONTEXT_LINES, SIGNALS
 
 
-def _context(lines: Column, line_no: Column) -> Column:
-    """The lines around ``line_no``: five above, the line itself, four below."""
-    first = F.greatest(line_no - CONTEXT_LINES, F.lit(1))
-    last = F.least(line_no + (CONTEXT_LINES - 1), F.size(lines))
-    return F.slice(lines, first, F.greatest(last - first + 1, F.lit(0)))
+def signals_sql(lines: str, line_no: str) -> str:
+    """SQL text for all signals of one line: a struct of doubles between 0 and 1.
 
-
-def _strength(text: Column, words, need: int) -> Column:
-    hits = None
-    for word in words:
-        hit = F.contains(text, F.lit(word)).cast("int")
-        hits = hit if hits is None else hits + hit
-    return F.least(hits / F.lit(float(need)), F.lit(1.0))
-
-
-def context_signals(lines: Column, line_no: Column) -> Column:
-    """All signals of one line as a struct of doubles between 0 and 1."""
-    around = F.lower(F.array_join(_context(lines, line_no), " "))
-    line = F.lower(F.coalesce(F.get(lines, line_no - 1), F.lit("")))
-    texts = F.array(F.struct(around.alias("around"), F.concat(line, F.lit(" "), around).alias("both")))
-    scored = F.transform(texts, lambda t: F.struct(*[
-        _strength(t["both"] if spec["with_line"] else t["around"], spec["words"], spec["need"]).alias(name)
-        for name, spec in SIGNALS.items()]))
-    return F.element_at(scored, 1)
+    The surroundings are five lines above, the line itself and four below.
+    """
+    first = f"greatest({line_no} - {CONTEXT_LINES}, 1)"
+    last = f"least({line_no} + {CONTEXT_LINES - 1}, size({lines}))"
+    around = f"lower(array_join(slice({lines}, {first}, greatest({last} - {first} + 1, 0)), ' '))"
+    line = f"lower(coalesce(get({lines}, {line_no} - 1), ''))"
+    fields = []
+    for name, spec in SIGNALS.items():
+        text = "t.both" if spec["with_line"] else "t.around"
+        hits = " + ".join(f"cast(contains({text}, {quote(word)}) AS int)" for word in spec["words"])
+        fields.append(f"'{name}', least(({hits}) / {float(spec['need'])}D, 1D)")
+    # the one-element array gives the two texts a name, so each is built once
+    texts = f"transform(array({around}), a -> named_struct('around', a, 'both', concat({line}, ' ', a)))"
+    return f"element_at(transform({texts}, t -> named_struct({', '.join(fields)})), 1)"
 
 
 def signals_for(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,9 +31,8 @@ def signals_for(findings: DataFrame, files: DataFrame) -> DataFrame:
 
     Only files with such findings are moved, as line arrays, once per file.
     """
-    from sieveline.operators.lines import with_lines
     keys = findings.select("file_id", "line_start").distinct()
     lined = with_lines(files.select("file_id", "source"))
     found = keys.join(lined, "file_id").select(
-        "file_id", "line_start", context_signals(F.col("lines"), F.col("line_start")).alias("signals"))
+        "file_id", "line_start", F.expr(signals_sql("lines", "line_start")).alias("signals"))
     return findings.join(found, ["file_id", "line_start"], "left")

@@ -5,7 +5,7 @@ import ast
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sieveline.functions.text import is_blank, split_lines, stored_line_count
+from sieveline.functions.text import NOT_BLANK_SQL, quote, split_lines, stored_line_count
 from sieveline.schema import LANGUAGES
 
 # A line that opens a function, the name in the first group.
@@ -41,34 +41,31 @@ COMPLEXITY_LIMIT = 10
 UNICODE = "(?U)"
 
 
-def _by_language(language: Column, build, default=None) -> Column:
-    out = None
-    for name in LANGUAGES:
-        out = F.when(language == name, build(name)) if out is None else out.when(language == name, build(name))
-    return out if default is None else out.otherwise(default)
+def _by_language(build, default: str = "NULL") -> str:
+    """SQL text that chooses by the column ``language``."""
+    cases = " ".join(f"WHEN {quote(name)} THEN {build(name)}" for name in LANGUAGES)
+    return f"CASE language {cases} ELSE {default} END"
 
 
-def long_functions(language: Column, lines: Column) -> Column:
-    """Functions with more than 60 lines from their header to the next header:
-    ``array<struct<start, stop, name, next_line>>``, both positions counted from zero.
-    The last function of a file has no next header and is not judged."""
+def long_functions_sql() -> str:
+    """SQL text over ``language`` and ``lines``: functions with more than 60 lines from
+    their header to the next header, ``array<struct<start, stop, name, next_line>>`` with
+    both positions counted from zero.  The last function of a file has no next header and
+    is not judged."""
     def of(name):
-        pattern = UNICODE + HEADER[name]
-        numbered = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
-        heads = F.filter(numbered, lambda x: x["line"].rlike(pattern))
-        pairs = F.transform(
-            F.slice(heads, 1, F.greatest(F.size(heads) - 1, F.lit(0))),
-            lambda head, k: F.struct(
-                head["at"].alias("start"), F.get(heads, k + 1)["at"].alias("stop"),
-                head["line"].alias("head"), F.get(heads, k + 1)["line"].alias("next_line")))
-        long = F.filter(pairs, lambda p: p["stop"] - p["start"] > LONG_FUNCTION_LINES)
-        return F.transform(long, lambda p: F.struct(
-            p["start"].alias("start"), p["stop"].alias("stop"),
-            F.coalesce(F.nullif(F.regexp_extract(p["head"], pattern, 1), F.lit("")),
-                       F.lit("unknown")).alias("name"),
-            p["next_line"].alias("next_line")))
+        pattern = quote(UNICODE + HEADER[name])
+        heads = (f"filter(transform(lines, (line, i) -> named_struct('at', i, 'line', line)), "
+                 f"x -> x.line RLIKE {pattern})")
+        pairs = ("transform(slice(h, 1, greatest(size(h) - 1, 0)), (head, k) -> named_struct("
+                 "'start', head.at, 'stop', get(h, k + 1).at, 'head', head.line, "
+                 "'next_line', get(h, k + 1).line))")
+        return (f"flatten(transform(array({heads}), h -> transform("
+                f"filter({pairs}, p -> p.stop - p.start > {LONG_FUNCTION_LINES}), p -> named_struct("
+                f"'start', p.start, 'stop', p.stop, 'name', "
+                f"coalesce(nullif(regexp_extract(p.head, {pattern}, 1), ''), 'unknown'), "
+                f"'next_line', p.next_line))))")
     # a file of up to 61 lines cannot hold one
-    return F.when(F.size(lines) > LONG_FUNCTION_LINES + 1, _by_language(language, of))
+    return f"CASE WHEN size(lines) > {LONG_FUNCTION_LINES + 1} THEN {_by_language(of)} END"
 
 
 # Syntax nodes that add a path; each is written with at least one of the words below.
@@ -118,23 +115,20 @@ def complex_functions(language: Column, source: Column) -> Column:
     return _complex_functions(F.when(worth, source))
 
 
-def metrics(language: Column, lines: Column) -> Column:
-    """Seven counts of a file as a struct."""
+def metrics() -> Column:
+    """Seven counts of a file as a struct, over ``language`` and ``lines``."""
     def count(patterns):
         return _by_language(
-            language, lambda name: F.size(F.filter(lines, lambda x: x.rlike(UNICODE + patterns[name]))), F.lit(0))
+            lambda name: f"size(filter(lines, x -> x RLIKE {quote(UNICODE + patterns[name])}))", "0")
 
-    lengths = F.transform(F.filter(lines, lambda x: ~is_blank(x)), lambda x: F.length(x))
-    total = F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    filled = F.size(lengths)
-    return F.struct(
-        F.size(lines).alias("line_count"),
-        (F.size(lines) - filled).alias("blank_lines"),
-        count(COMMENT_LINE).alias("comment_lines"),
-        count(FUNCTION_LINE).alias("function_count"),
-        count(CLASS_LINE).alias("class_count"),
-        F.bround(total / F.greatest(filled, F.lit(1))).cast("int").alias("avg_line_length"),
-        F.coalesce(F.array_max(lengths), F.lit(0)).alias("max_line_length"))
+    filled = f"transform(filter(lines, x -> {NOT_BLANK_SQL.format('x')}), x -> length(x))"
+    return F.expr(
+        f"element_at(transform(array({filled}), n -> named_struct("
+        f"'line_count', size(lines), 'blank_lines', size(lines) - size(n), "
+        f"'comment_lines', {count(COMMENT_LINE)}, 'function_count', {count(FUNCTION_LINE)}, "
+        f"'class_count', {count(CLASS_LINE)}, 'avg_line_length', "
+        f"cast(bround(aggregate(n, 0L, (acc, x) -> acc + x) / greatest(size(n), 1)) AS int), "
+        f"'max_line_length', coalesce(array_max(n), 0))), 1)")
 
 
 def file_metrics(files: DataFrame) -> DataFrame:
@@ -143,7 +137,7 @@ def file_metrics(files: DataFrame) -> DataFrame:
         "file_id", stored_line_count(F.col("source")).alias("stored_line_count"),
         F.octet_length("source").alias("size_bytes"),
         split_lines(F.col("source")).alias("lines"), "language") \
-        .select("file_id", metrics(F.col("language"), F.col("lines")).alias("m"),
+        .select("file_id", metrics().alias("m"),
                 "stored_line_count", "size_bytes") \
         .select("file_id", "m.*", "stored_line_count", "size_bytes")
 
@@ -152,10 +146,15 @@ def file_metrics(files: DataFrame) -> DataFrame:
 
 _LITERAL_OR_COMMENT = r"""@"(?:[^"]|"")*"|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)+'|//[^\n]*|(?s:/\*.*?\*/)"""
 _BRACES = r"""\b(?:class|struct|interface|enum|record|namespace)\b|;|\{\s*(?:get|set|init)\b|[{}]"""
-_MODIFIERS = r"(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|unsafe|partial|extern|readonly|new)\s+)"
+_NOT_A_TYPE = (r"(?!(?:return|else|new|await|throw|case|goto|yield|in|using|lock|public|private|protected|internal|"
+               r"static|virtual|override|abstract|sealed|async|unsafe|partial|extern|readonly)\b)")
+_NOT_A_NAME = r"(?!(?:if|for|foreach|while|switch|using|lock|catch|fixed)\b)"
+_MODIFIERS = (r"(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|unsafe|"
+              r"partial|extern|readonly|new)\s+)*")
 _CSHARP = {
     "class_count": r"\b(?:class|struct)\s+\w+",
-    "method_count": rf"(?m)^\s*{_MODIFIERS}+[\w<>\[\],.?]+\s+\w+\s*(?:<[\w, ]+>)?\s*\([^;{{}}]*\)\s*(?:where[^{{;]*)?(?:\{{|=>|;)",
+    "method_count": (rf"(?m)^\s*{_MODIFIERS}{_NOT_A_TYPE}[\w<>\[\],.?]+\s+{_NOT_A_NAME}\w+\s*(?:<[\w, ]+>)?"
+                     r"\s*\([^;{}]*\)\s*(?:where[^{;]*)?(?:\{|=>|;)"),
     "property_count": r"\b\w+\s*\{\s*(?:(?:public|private|protected|internal)\s+)?(?:get|set|init)\b",
     "namespace_count": r"\bnamespace\s+[\w.]+",
     "using_count": r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?[\w.= ]+;",

@@ -23,7 +23,7 @@ def analyze(files: DataFrame, packs: dict = PACKS, signals: bool = False) -> Dat
     found = local_findings(sized, packs, signals=signals)
     weights = F.transform("found", lambda f: risk_weight(f["severity"]) * f["confidence_score"])
     return found.withColumn("risk_score", risk_of_ranked(weights)) \
-        .withColumn("metrics", metrics(F.col("language"), F.col("lines"))).drop("lines")
+        .withColumn("metrics", metrics()).drop("lines")
 
 
 def file_scores(files: DataFrame, packs: dict = PACKS) -> DataFrame:

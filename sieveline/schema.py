@@ -75,3 +75,8 @@ def severity_rank(severity: Column) -> Column:
     for rank, name in reversed(list(enumerate(SEVERITIES))):
         out = F.when(severity == name, F.lit(rank)).otherwise(out)
     return out
+
+
+def severity_rank_sql(severity: str) -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {rank}" for rank, name in enumerate(SEVERITIES))
+    return f"CASE {severity} {cases} ELSE {len(SEVERITIES)} END"

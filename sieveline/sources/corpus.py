@@ -408,7 +408,7 @@ def java_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((F.col("l_linenumber") * 3 - 5).cast("string"))
     return read_table(spark, sf_dir, "lineitem").select(
         _file_of(F.col("l_orderkey")).alias("file_id"), _feed_position().alias("seq"),
-        F.col("l_partkey").alias("sub"), kind.alias("kind"), line.alias("line"),
+        (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sub"), kind.alias("kind"), line.alias("line"),
         F.when(F.col("l_tax") == 0.08, "  ")
         .otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("message"),
         F.when(F.col("l_discount") == 0.0, "")
@@ -436,7 +436,7 @@ def csharp_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.substr(response, F.lit(1), F.length(response) - 3)
     return read_table(spark, sf_dir, "lineitem").select(
         _file_of(F.col("l_orderkey")).alias("file_id"), _feed_position().alias("seq"),
-        F.col("l_partkey").alias("sub"),
+        (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sub"),
         F.when(F.col("l_tax") == 0.07, broken).otherwise(response).alias("response"))
 
 
