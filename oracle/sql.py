@@ -363,8 +363,8 @@ ORACLE = {
     "file_status": sql("""SELECT f.file_id, CASE WHEN l.file_id IS NOT NULL THEN 'failed' ELSE 'complete' END AS status, CASE WHEN l.file_id IS NULL THEN coalesce(r.risk_score, 0.0::DOUBLE) END AS risk_score,
   CASE WHEN l.file_id IS NOT NULL THEN substring(d.text, 1, 2000) ELSE '' END AS error_message, epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT AS analyzed_at
   FROM file_list f JOIN documents d ON d.doc_id = f.file_id LEFT JOIN risk r USING (file_id) LEFT JOIN (SELECT * FROM last_status WHERE status = 'failed') l ON l.file_id = f.file_id""", "file_list", "risk", "last_status"),
-    "report_header": sql(f"""SELECT f.file_id, f.filename, f.language, f.status, floor(risk_score * 100 + 0.5)::INT AS risk_percent, coalesce(c.total, 0) AS total,
-  coalesce(c.critical, 0) AS critical, coalesce(c.high, 0) AS high, coalesce(c.medium, 0) AS medium, coalesce(c.low, 0) AS low, coalesce(c.info, 0) AS info
+    "report_header": sql(f"""SELECT f.file_id, f.filename, f.language, f.status, floor(risk_score * 100 + 0.5)::INT AS risk_percent, coalesce(c.total, 0)::INT AS total,
+  coalesce(c.critical, 0)::INT AS critical, coalesce(c.high, 0)::INT AS high, coalesce(c.medium, 0)::INT AS medium, coalesce(c.low, 0)::INT AS low, coalesce(c.info, 0)::INT AS info
   FROM scored f LEFT JOIN (SELECT file_id, count(*) AS total, {SEVERITY_COUNTS} FROM findings GROUP BY file_id) c USING (file_id)""", "scored", "findings"),
     "file_report": sql(f"""SELECT file_id, rank AS position, upper(severity) AS label, {ESCAPE.format('title')} AS title,
   'line ' || line_start || CASE WHEN line_end IS NOT NULL THEN '–' || line_end ELSE '' END AS place, rule_id, cwe_id,
@@ -408,8 +408,8 @@ ORACLE = {
   SELECT DISTINCT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) || link AS asset FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?:href|src)="([^"]+)"', 1)) AS link FROM pages)
   WHERE link LIKE '/%') t LEFT JOIN (SELECT url, max(octet_length(encode(html))) AS size FROM pages GROUP BY url) k ON k.url = t.asset
   WHERE regexp_matches(asset, '\.(css|js|png|svg|ico|woff|woff2|jpg)$') OR regexp_matches(asset, '/(assets|css|js)/') GROUP BY t.page_id) a USING (page_id)"""),
-    "rate_limit_violations": """SELECT event_id, user_id, second, requests FROM (SELECT event_id, user_id, second, count(*) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) AS requests
-  FROM (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS second FROM events)) WHERE requests > 2""",
+    "rate_limit_violations": """SELECT user_id, second, count(*) AS events, max(requests) AS requests FROM (SELECT user_id, second, count(*) OVER (PARTITION BY user_id ORDER BY second RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW) AS requests
+  FROM (SELECT user_id, floor(epoch(ts))::BIGINT AS second FROM events)) WHERE requests > 2 GROUP BY user_id, second""",
     "stuck_files": sql("SELECT file_id, (epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT) AS age_seconds, changes FROM last_status WHERE status = 'analyzing' AND epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT > 120", "last_status"),
     "user_sessions": """SELECT user_id, session::BIGINT AS session, min(us) AS started, max(us) AS ended, count(*) AS events FROM (SELECT user_id, us, sum(opens) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS session
   FROM (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN lag(epoch_us(ts)) OVER w IS NULL OR epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 THEN 1 ELSE 0 END AS opens

@@ -14,21 +14,25 @@ PIECE_SECONDS = 3600
 
 
 def rolling_rate(events: DataFrame, limit: int = USER_PER_MINUTE, seconds: int = WINDOW_SECONDS) -> DataFrame:
-    """Events of the same user in the minute up to each event, and whether that is too many.
+    """Per user and second: the events in it, those in the minute up to it, and whether
+    that is too many.
 
-    A user may cause a large share of all events, so time is cut into pieces.  Each event
-    also visits the next piece when it lies within a minute of it; windows then run inside
-    ``(user, piece)`` and only events in their own piece are kept.
+    A user may cause a large share of all events.  They are first counted per second, and
+    time is cut into pieces: a second also visits the next piece when it lies within the
+    window of it; windows run inside ``(user, piece)`` and only seconds in their own piece
+    are kept.  So a window never sees more rows than two pieces have seconds.
     """
-    second = F.unix_seconds(F.col("ts").cast("timestamp"))
-    rows = events.select("event_id", "user_id", second.alias("second"))
-    own = F.floor(F.col("second") / PIECE_SECONDS)
-    reach = F.floor((F.col("second") + (seconds - 1)) / PIECE_SECONDS)
-    rows = rows.withColumn("own", own).withColumn("piece", F.explode(F.sequence(own, reach)))
+    width = max(PIECE_SECONDS, seconds)
+    second = F.unix_seconds(F.col("ts").cast("timestamp")).alias("second")
+    counted = events.select("user_id", second).groupBy("user_id", "second") \
+        .agg(F.count(F.lit(1)).alias("events"))
+    own = F.floor(F.col("second") / width)
+    reach = F.floor((F.col("second") + (seconds - 1)) / width)
+    rows = counted.withColumn("own", own).withColumn("piece", F.explode(F.sequence(own, reach)))
     frame = Window.partitionBy("user_id", "piece").orderBy("second").rangeBetween(-(seconds - 1), 0)
-    return (rows.withColumn("requests", F.count(F.lit(1)).over(frame))
+    return (rows.withColumn("requests", F.sum("events").over(frame))
             .filter(F.col("piece") == F.col("own"))
-            .select("event_id", "user_id", "second", "requests", (F.col("requests") > limit).alias("over_limit")))
+            .select("user_id", "second", "events", "requests", (F.col("requests") > limit).alias("over_limit")))
 
 
 def rate_limit_violations(events: DataFrame, limit: int = USER_PER_MINUTE,

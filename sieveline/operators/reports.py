@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sieveline.functions.scoring import exact_round, percent, risk_badge, risk_band, shown_weight
 from sieveline.functions.text import cwe_link, ellipsis, html_escape, line_range
+from sieveline.operators.joins import with_children
 from sieveline.operators.lines import covered_lines
 from sieveline.operators.score import mean_risk, rank_in_file
 from sieveline.schema import LANGUAGE_LABELS, SEVERITIES, severity_rank
@@ -38,16 +39,21 @@ def language_label(language: Column) -> Column:
     return out
 
 
-def file_details(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files with their findings in list form.  The source column never leaves."""
-    shown = files.drop("source", "encrypted_source").withColumn("language_display", language_label(F.col("language")))
-    return shown.join(compact(findings), "file_id", "left")
+def file_details(rows: DataFrame) -> DataFrame:
+    """Files with their findings in list form, from finding rows that carry their file's
+    columns (and one row for a file without findings).  The source column never leaves."""
+    listed = with_ids(rows).withColumn("line_range", line_range(F.col("line_start"), F.col("line_end"))) \
+        .withColumn("finding_id", F.when(F.col("rule_id").isNotNull(), F.col("finding_id")))
+    return listed.drop("source", "encrypted_source", "description", "recommendation", "fixed_snippet") \
+        .withColumn("language_display", language_label(F.col("language")))
 
 
 def file_detail(files: DataFrame, findings: DataFrame, file_id) -> DataFrame:
-    """The same for one file; empty when the file is unknown."""
+    """One stored file with its findings; empty when the file is unknown."""
     wanted = F.col("file_id") == F.lit(file_id)
-    return file_details(files.filter(wanted), findings.filter(wanted))
+    shown = files.filter(wanted).drop("source", "encrypted_source")
+    return shown.withColumn("language_display", language_label(F.col("language"))) \
+        .join(compact(findings.filter(wanted)), "file_id", "left")
 
 
 def project_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -56,20 +62,18 @@ def project_summary(files: DataFrame, findings: DataFrame) -> DataFrame:
     Findings are counted per file first, so one shuffle by project carries one row per
     file at most, and partial aggregation reduces even that.
     """
-    counts = findings.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "critical").alias("c"),
-        F.count_if(F.col("severity") == "high").alias("h"))
-    return summarise_projects(files.join(counts, "file_id", "left"))
+    return summarise_projects(files.join(severity_pivot(findings), "file_id", "left")
+                              .withColumn("findings", sum(F.coalesce(s, F.lit(0)) for s in SEVERITIES)))
 
 
 def summarise_projects(counted: DataFrame) -> DataFrame:
-    """The same from file rows that already carry their counts ``n``, ``c`` and ``h``."""
+    """The same from file rows that carry their ``findings``, ``critical`` and ``high``."""
     return counted.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(F.col("status") == "complete").alias("completed_files"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_vulnerabilities"),
-        F.coalesce(F.sum("c"), F.lit(0)).alias("critical_count"),
-        F.coalesce(F.sum("h"), F.lit(0)).alias("high_count"),
+        F.coalesce(F.sum("findings"), F.lit(0)).alias("total_vulnerabilities"),
+        F.coalesce(F.sum("critical"), F.lit(0)).alias("critical_count"),
+        F.coalesce(F.sum("high"), F.lit(0)).alias("high_count"),
         F.when(F.count("risk_score") > 0, mean_risk(F.col("risk_score"))).alias("overall_risk_score"))
 
 
@@ -123,17 +127,16 @@ def listing(projects: DataFrame, files: DataFrame, page: int = 0) -> DataFrame:
     """One page of projects, newest first, with their number of files and the total."""
     counts = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
     total = projects.agg(F.count(F.lit(1)).alias("count"))
-    shown = projects.join(counts, "project_id", "left").na.fill(0, ["files"]) \
-        .orderBy(F.desc("created_at"), "project_id").offset(PAGE_SIZE * page).limit(PAGE_SIZE)
-    return shown.join(F.broadcast(total))
+    return projects.join(counts, "project_id", "left").na.fill(0, ["files"]) \
+        .orderBy(F.desc("created_at"), "project_id").offset(PAGE_SIZE * page).limit(PAGE_SIZE) \
+        .withColumn("count", total.scalar())
 
 
-def report_header(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """The head of each file's report; files without findings included."""
-    counts = severity_pivot(findings).withColumn("total", sum(F.col(s) for s in SEVERITIES))
-    return files.join(counts, "file_id", "left").na.fill(0, ["total", *SEVERITIES]).select(
+def report_header(scored: DataFrame) -> DataFrame:
+    """The head of each file's report, from file rows that carry their counts."""
+    return scored.select(
         "file_id", "filename", "language", "status", percent(F.col("risk_score")).alias("risk_percent"),
-        "total", *SEVERITIES)
+        F.col("findings").alias("total"), *SEVERITIES)
 
 
 def report_findings(findings: DataFrame) -> DataFrame:
@@ -169,16 +172,15 @@ def navigation(findings: DataFrame) -> DataFrame:
         "file_id", (F.col("rank") + 1).alias("position"), "finding_id", "next_id", "previous_id")
 
 
-def risk_rollup(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings by project, file and severity with all subtotals in one pass."""
-    rows = findings.select("file_id", "severity").join(files.select("file_id", "project_id"), "file_id")
+def risk_rollup(rows: DataFrame) -> DataFrame:
+    """Findings by project, file and severity with all subtotals in one pass, from finding
+    rows that carry their project."""
     return rows.rollup("project_id", "file_id", "severity").agg(
         F.count(F.lit(1)).alias("findings"), F.grouping_id().cast("int").alias("level"))
 
 
-def facets(files: DataFrame, findings: DataFrame) -> DataFrame:
+def facets(rows: DataFrame) -> DataFrame:
     """Findings by language and severity with all margins."""
-    rows = findings.select("file_id", "severity").join(files.select("file_id", "language"), "file_id")
     return rows.cube("language", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
@@ -192,11 +194,10 @@ def rule_coverage(findings: DataFrame, rules: DataFrame) -> DataFrame:
 
 def project_tree(projects: DataFrame, files: DataFrame, findings: DataFrame, explanations: DataFrame) -> DataFrame:
     """Projects with their files, findings and explanations; missing branches stay as NULL."""
-    f = files.select("project_id", "file_id", "filename")
-    v = with_ids(findings).select("file_id", "finding_id", "rule_id", "line_start")
-    e = explanations.select("finding_id", "top_feature_name")
-    return (projects.select("project_id", "name").join(f, "project_id", "left")
-            .join(v, "file_id", "left").join(e, "finding_id", "left"))
+    v = with_ids(findings).select("file_id", "finding_id", "rule_id", "line_start") \
+        .join(explanations.select("finding_id", "top_feature_name"), "finding_id", "left")
+    f = with_children(files.select("project_id", "file_id", "filename"), v, "file_id")
+    return with_children(projects.select("project_id", "name"), f, "project_id")
 
 
 def fix_diff(findings: DataFrame) -> DataFrame:

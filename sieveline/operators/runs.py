@@ -26,13 +26,15 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def run_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Findings of two runs side by side: ``new``, ``fixed`` or ``unchanged``."""
+    """Findings of two runs side by side: ``new``, ``fixed`` or ``unchanged``.  One
+    aggregate over both instead of a full join: a single shuffle, reduced beforehand."""
     key = list(FINDING_KEY)
-    a = old.select(*key, F.col("confidence_score").alias("old_confidence"))
-    b = new.select(*key, F.col("confidence_score").alias("new_confidence"))
+    both = old.select(*key, F.col("confidence_score").alias("old_confidence")).unionByName(
+        new.select(*key, F.col("confidence_score").alias("new_confidence")), allowMissingColumns=True)
     change = F.when(F.col("old_confidence").isNull(), "new") \
         .when(F.col("new_confidence").isNull(), "fixed").otherwise("unchanged")
-    return a.join(b, key, "full").withColumn("change", change)
+    return both.groupBy(*key).agg(F.max("old_confidence").alias("old_confidence"),
+                                  F.max("new_confidence").alias("new_confidence")).withColumn("change", change)
 
 
 def cascade_delete(deleted: DataFrame, projects: DataFrame, files: DataFrame, findings: DataFrame,

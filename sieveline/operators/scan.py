@@ -149,16 +149,27 @@ def local_findings(files: DataFrame, packs: dict = PACKS, signals: bool = True,
         .drop("complex", "odd")
 
 
-def scan_files(files: DataFrame, packs: dict = PACKS, signals: bool = False,
-               structural: bool = True, guarded: bool = True) -> DataFrame:
+def scan_files(files: DataFrame, packs: dict = PACKS, signals: bool = False, structural: bool = True,
+               guarded: bool = True, keep=(), outer: bool = False) -> DataFrame:
     """Findings of every file as rows.  No shuffle; the rule table is broadcast, it is a
-    few dozen rows by construction."""
+    few dozen rows by construction.
+
+    ``keep`` names file columns to carry along, which saves joining them back later;
+    ``outer`` keeps one row for a file without findings.
+    """
     found = local_findings(files, packs, signals, structural, guarded)
-    rows = unnest(found, "found", "f", ["file_id", "language"]).select("file_id", "language", "f.*")
-    return describe(rows, packs)
+    return finding_rows(found, packs, keep, outer)
+
+
+def finding_rows(found: DataFrame, packs: dict = PACKS, keep=(), outer: bool = False) -> DataFrame:
+    """Rows of the ``found`` arrays of an analysed table."""
+    columns = ["file_id", "language", *[c for c in keep if c not in ("file_id", "language")]]
+    rows = found.select(*columns, F.explode_outer("found").alias("f")) if outer \
+        else unnest(found, "found", "f", columns)
+    return describe(rows.select(*columns, "f.*"), packs, keep)
 
 
-def describe(rows: DataFrame, packs: dict = PACKS) -> DataFrame:
+def describe(rows: DataFrame, packs: dict = PACKS, keep=()) -> DataFrame:
     """Add the rule's wording and references to findings that carry only its id."""
     rules = rule_table(rows.sparkSession, packs).select(
         "language", "rule_id", "title", "category", "cwe_id", "owasp_category", "recommendation",
@@ -166,7 +177,7 @@ def describe(rows: DataFrame, packs: dict = PACKS) -> DataFrame:
     full = rows.join(F.broadcast(rules), ["language", "rule_id"], "left") \
         .withColumn("description", F.coalesce("description", "rule_description")) \
         .withColumn("fixed_snippet", F.lit(""))
-    extra = [c for c in rows.columns if c not in FINDING_COLUMNS]
+    extra = ["language"] + [c for c in rows.columns if c == "signals" or c in keep and c not in ("file_id", "language")]
     return full.select(*FINDING_COLUMNS, *extra)
 
 

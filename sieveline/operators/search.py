@@ -65,11 +65,14 @@ def search_files(files: DataFrame, projects: DataFrame, word: str = "", language
 
 def search_findings(findings: DataFrame, files: DataFrame, word: str = "", severity: str = None,
                     category: str = None, language: str = None) -> DataFrame:
-    """Findings by their texts and ids, filtered also by the language of their file."""
+    """Findings by their texts and ids, filtered also by the language of their file.  The
+    file table is joined only where the findings do not carry the language themselves."""
     rows = _filtered(findings, {"severity": severity, "category": category}) \
         .filter(contains_word(word, SEARCHED["findings"]))
     if language is None:
         return rows
+    if "language" in findings.columns:
+        return rows.filter(F.col("language") == language)
     return rows.join(files.filter(F.col("language") == language).select("file_id"), "file_id", "left_semi")
 
 

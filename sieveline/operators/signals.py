@@ -29,10 +29,13 @@ def signals_sql(lines: str, line_no: str) -> str:
 def signals_for(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Signals for findings that arrive without them, e.g. from a stored table.
 
-    Only files with such findings are moved, as line arrays, once per file.
+    The flagged lines of a file are packed (there are no more of them than lines), so a
+    file's text meets them once.
     """
-    keys = findings.select("file_id", "line_start").distinct()
+    flagged = findings.groupBy("file_id").agg(F.collect_set("line_start").alias("flagged"))
     lined = with_lines(files.select("file_id", "source"))
-    found = keys.join(lined, "file_id").select(
-        "file_id", "line_start", F.expr(signals_sql("lines", "line_start")).alias("signals"))
+    each = F.expr("transform(flagged, n -> named_struct('line_start', n, 'signals', "
+                  + signals_sql("lines", "n") + "))")
+    found = lined.join(flagged, "file_id").select("file_id", F.explode_outer(each).alias("s")) \
+        .filter(F.col("s").isNotNull()).select("file_id", "s.*")
     return findings.join(found, ["file_id", "line_start"], "left")

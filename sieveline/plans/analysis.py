@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from sieveline.functions.scoring import risk_of_ranked, risk_weight
 from sieveline.functions.text import stored_line_count
-from sieveline.operators.lines import unnest
-from sieveline.operators.scan import describe, local_findings
+from sieveline.operators.lines import computed_once
+from sieveline.operators.scan import finding_rows, local_findings
 from sieveline.operators.structure import metrics
 from sieveline.rules import PACKS
+from sieveline.schema import SEVERITIES
 
 
 def analyze(files: DataFrame, packs: dict = PACKS, signals: bool = False) -> DataFrame:
@@ -27,20 +28,18 @@ def analyze(files: DataFrame, packs: dict = PACKS, signals: bool = False) -> Dat
 
 
 def file_scores(files: DataFrame, packs: dict = PACKS) -> DataFrame:
-    """Risk and counts per file without the findings themselves."""
+    """Risk and counts per file without the findings themselves, still without a shuffle."""
     found = local_findings(files, packs, signals=False)
     weights = F.transform("found", lambda f: risk_weight(f["severity"]) * f["confidence_score"])
-    return found.select(
-        "file_id", "project_id", "filename", "language", risk_of_ranked(weights).alias("risk_score"),
-        F.size("found").alias("findings"),
-        F.size(F.filter("found", lambda f: f["severity"] == "critical")).alias("critical"),
-        F.size(F.filter("found", lambda f: f["severity"] == "high")).alias("high"))
+    counts = [F.expr(f"size(filter(found, f -> f.severity = '{s}'))").alias(s) for s in SEVERITIES]
+    rated = found.select("file_id", "project_id", "filename", "language",
+                         risk_of_ranked(weights).alias("risk_score"), F.size("found").alias("findings"), *counts)
+    return computed_once(rated, "risk_score", "findings", *SEVERITIES)
 
 
 def findings_of(analyzed: DataFrame, packs: dict = PACKS) -> DataFrame:
     """The finding rows of an analysed table."""
-    rows = unnest(analyzed, "found", "f", ["file_id", "language"]).select("file_id", "language", "f.*")
-    return describe(rows, packs)
+    return finding_rows(analyzed, packs)
 
 
 def top_files(scores: DataFrame, limit: int = 25) -> DataFrame:

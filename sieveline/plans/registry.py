@@ -195,8 +195,7 @@ def findings_by_severity(spark, sf):
 
 @query
 def search_findings(spark, sf):
-    files = _file_list(spark, sf)
-    return search.search_findings(_findings(spark, sf), files, "injection", language="python") \
+    return search.search_findings(_findings(spark, sf), None, "injection", language="python") \
         .select("file_id", "rule_id", "line_start", "title")
 
 
@@ -284,8 +283,7 @@ def severity_weights(spark, sf):
 
 @query
 def project_summary(spark, sf):
-    scored = _scored(spark, sf)
-    return reports.summarise_projects(scored.withColumnsRenamed({"findings": "n", "critical": "c", "high": "h"}))
+    return reports.summarise_projects(_scored(spark, sf))
 
 
 @query
@@ -356,8 +354,8 @@ def enrich_optional(spark, sf):
 
 @query
 def file_detail(spark, sf):
-    files = _file_list(spark, sf)
-    return reports.file_details(files, _findings(spark, sf)).select(
+    files = _files(spark, sf).withColumn("status", _status())
+    return reports.file_details(scan.scan_files(files, keep=("filename", "status"), outer=True)).select(
         "file_id", "filename", "language_display", "status", "finding_id", "rule_id", "line_range", "severity")
 
 
@@ -391,8 +389,7 @@ def file_status(spark, sf):
 
 @query
 def report_header(spark, sf):
-    scored = _scored(spark, sf).select("file_id", "filename", "language", "status", "risk_score")
-    return reports.report_header(scored, _findings(spark, sf))
+    return reports.report_header(_scored(spark, sf))
 
 
 @query
@@ -402,12 +399,12 @@ def file_report(spark, sf):
 
 @query
 def risk_rollup(spark, sf):
-    return reports.risk_rollup(_file_list(spark, sf), _findings(spark, sf))
+    return reports.risk_rollup(_findings(spark, sf, keep=("project_id",)))
 
 
 @query
 def facet_cube(spark, sf):
-    return reports.facets(_file_list(spark, sf), _findings(spark, sf))
+    return reports.facets(_findings(spark, sf))
 
 
 @query
