@@ -2,8 +2,9 @@
 
 from pyspark.sql import Column, functions as F
 
-#: white space in the sense of the scanner: Unicode white space and the ASCII separators
-SPACE = r"[\s\x1c-\x1f]"
+# White space characters.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 #: every line boundary, carriage return + line feed counting once
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -16,12 +17,12 @@ def quote(text: str) -> str:
 
 #: the same helpers as SQL text, for long expressions that are written in SQL
 NOT_BLANK_SQL = "{0} RLIKE " + quote(r"(?U)[^\s\x1c-\x1f]")
-STRIP_SQL = "regexp_replace({0}, " + quote(rf"(?U)\A{SPACE}+|{SPACE}+\z") + ", '')"
+STRIP_SQL = "btrim({0}, " + quote(WHITE_SPACE) + ")"
 
 
 def strip(col: Column) -> Column:
-    """Remove white space at both ends (``trim`` alone would keep tabs)."""
-    return F.regexp_replace(col, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    """Remove white space of any kind at both ends (``trim`` alone removes blanks only)."""
+    return F.btrim(col, F.lit(WHITE_SPACE))
 
 
 def is_blank(col: Column) -> Column:

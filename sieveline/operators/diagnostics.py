@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sieveline.functions.text import or_default, split_lines, strip
 from sieveline.operators.dedup import merge
+from sieveline.operators.lines import computed_once
 from sieveline.schema import (CATEGORIES, CSHARP_RESPONSE, FINDING_COLUMNS, MAX_EXTERNAL_FINDINGS,
                               MAX_SNIPPET, SEVERITIES)
 
@@ -65,104 +66,138 @@ def java_kind(kind: Column) -> Column:
     return F.when(text.isin(*JAVA_KINDS), text)
 
 
+def _item(kind: str, **fields):
+    """One entry of a feed as it was reported; wording and clean-up come after the cap."""
+    names = ("code", "title", "text", "severity", "category", "recommendation", "cwe_id", "line", "fragment")
+    parts = [F.lit(kind).alias("kind")]
+    parts += [fields.get(n, F.lit(None)).cast("string").alias(n) for n in names]
+    return F.struct(*parts)
+
+
 def java_items(diagnostics: DataFrame) -> DataFrame:
-    """Diagnostics that become findings, in one common shape."""
-    kept = diagnostics.withColumn("k", java_kind(F.col("kind"))).filter(F.col("k").isNotNull())
-    k = F.col("k")
+    """Diagnostics that become findings: ``file_id, language, position, item``."""
+    kept = diagnostics.withColumn("code", java_kind(F.col("kind"))).filter(F.col("code").isNotNull())
     return kept.select(
-        "file_id", F.struct("seq", "sub").alias("position"),
-        _pick(k, JAVA_KINDS, 3).alias("rule_id"), _pick(k, JAVA_KINDS, 4).alias("title"),
-        or_default(F.col("message"), NO_MESSAGE).alias("description"),
-        _pick(k, JAVA_KINDS, 0).alias("severity"), _pick(k, JAVA_KINDS, 1).alias("category"),
-        _pick(k, JAVA_KINDS, 2).alias("confidence_score"),
-        _pick(k, JAVA_KINDS, 6).alias("recommendation"), F.lit("").alias("cwe_id"),
-        _pick(k, JAVA_KINDS, 5).alias("feature"), "line", F.col("source_fragment").alias("fragment"))
+        "file_id", F.lit("java").alias("language"),
+        F.struct(F.lit(0).alias("part"), "seq", "sub", F.lit(0).alias("pos")).alias("position"),
+        _item("java", code=F.col("code"), text=F.col("message"), line=F.col("line"),
+              fragment=F.col("source_fragment")).alias("item"))
 
 
 def csharp_items(responses: DataFrame) -> DataFrame:
-    """Diagnostics, then rule findings of the service, in one common shape."""
-    parsed = responses.select("file_id", "seq", "sub", F.from_json("response", CSHARP_RESPONSE).alias("r"))
-
-    diags = parsed.select("file_id", "seq", "sub", F.posexplode_outer("r.diagnostics").alias("pos", "d"))
-    s = F.lower(strip(F.col("d.severity")))
-    number = or_default(F.col("d.id"), "UNKNOWN")
-    diags = diags.filter(s.isin(*CSHARP_SEVERITIES)).select(
-        "file_id", F.struct(F.lit(0).alias("part"), "seq", "sub", "pos").alias("position"),
-        F.substring(F.concat(F.lit("CS-ROS-"), number), 1, 100).alias("rule_id"),
-        F.substring(F.concat(_pick(s, CSHARP_SEVERITIES, 3), F.lit(" ("), number, F.lit(")")), 1, 255).alias("title"),
-        or_default(F.col("d.message"), NO_MESSAGE).alias("description"),
-        _pick(s, CSHARP_SEVERITIES, 0).alias("severity"), _pick(s, CSHARP_SEVERITIES, 1).alias("category"),
-        _pick(s, CSHARP_SEVERITIES, 2).alias("confidence_score"),
-        _pick(s, CSHARP_SEVERITIES, 5).alias("recommendation"), F.lit("").alias("cwe_id"),
-        _pick(s, CSHARP_SEVERITIES, 4).alias("feature"), F.col("d.line").alias("line"),
-        F.col("d.source_fragment").alias("fragment"))
-
-    rules = parsed.select("file_id", "seq", "sub", F.posexplode_outer("r.findings").alias("pos", "f"))
-    rules = rules.filter((F.coalesce("f.title", F.lit("")) != "") & (F.coalesce("f.rule_id", F.lit("")) != "")).select(
-        "file_id", F.struct(F.lit(1).alias("part"), "seq", "sub", "pos").alias("position"),
-        F.substring("f.rule_id", 1, 100).alias("rule_id"), F.substring("f.title", 1, 255).alias("title"),
-        F.coalesce(F.nullif(F.col("f.description"), F.lit("")), F.col("f.title")).alias("description"),
-        normal_severity(F.col("f.severity")).alias("severity"),
-        normal_category(F.col("f.category"), "security").alias("category"),
-        F.lit(SERVICE_CONFIDENCE).alias("confidence_score"),
-        F.coalesce("f.recommendation", F.lit("")).alias("recommendation"),
-        F.substring(F.coalesce("f.cwe_id", F.lit("")), 1, 20).alias("cwe_id"),
-        F.lit(SERVICE_FEATURE).alias("feature"), F.col("f.line").alias("line"),
-        F.col("f.snippet").alias("fragment"))
-    return diags.unionByName(rules)
+    """Diagnostics, then rule findings of the service, in the same shape.  The JSON text is
+    parsed once."""
+    parsed = computed_once(
+        responses.select("file_id", "seq", "sub", F.from_json("response", CSHARP_RESPONSE).alias("r")), "r")
+
+    def level(d):
+        return F.lower(strip(d["severity"]))
+
+    def filled(col):
+        return F.coalesce(col, F.lit("")) != ""
+
+    empty = F.array()
+    diags = F.transform(
+        F.filter(F.coalesce("r.diagnostics", empty), lambda d: level(d).isin(*CSHARP_SEVERITIES)),
+        lambda d: _item("diagnostic", code=d["id"], text=d["message"], severity=level(d),
+                        line=d["line"], fragment=d["source_fragment"]))
+    rules = F.transform(
+        F.filter(F.coalesce("r.findings", empty), lambda f: filled(f["title"]) & filled(f["rule_id"])),
+        lambda f: _item("rule", code=f["rule_id"], title=f["title"], text=f["description"],
+                        severity=f["severity"], category=f["category"], recommendation=f["recommendation"],
+                        cwe_id=f["cwe_id"], line=f["line"], fragment=f["snippet"]))
+    rows = parsed.select("file_id", "seq", "sub", F.posexplode_outer(F.concat(diags, rules)).alias("pos", "item")) \
+        .filter(F.col("item").isNotNull())
+    part = F.when(F.col("item.kind") == "diagnostic", 0).otherwise(1)
+    return rows.select("file_id", F.lit("csharp").alias("language"),
+                       F.struct(part.alias("part"), "seq", "sub", "pos").alias("position"), "item")
 
 
 def capped(items: DataFrame, limit: int = MAX_EXTERNAL_FINDINGS) -> DataFrame:
-    """The first ``limit`` items of each file in feed order, numbered from 0."""
-    order = Window.partitionBy("file_id").orderBy("position")
+    """The first ``limit`` items of each file in feed order, numbered from 0.  Spark keeps
+    only so many per task before it shuffles them."""
+    order = Window.partitionBy("file_id", "language").orderBy("position")
     return items.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit) \
         .withColumn("n", F.col("n") - 1)
 
 
-def to_findings(items: DataFrame, files: DataFrame, language: str) -> DataFrame:
-    """Place capped items in the files of ``language``: clamp lines, fill in snippets."""
-    packed = capped(items).groupBy("file_id").agg(F.collect_list(F.struct(
-        "n", "rule_id", "title", "description", "severity", "category", "confidence_score",
-        "recommendation", "cwe_id", "feature", "line", "fragment")).alias("items"))
-    sources = files.filter(F.col("language") == language) \
-        .select("file_id", split_lines(F.col("source")).alias("lines"))
-    joined = sources.join(packed, "file_id")
-
-    def place(item):
-        line = clamp_line(item["line"], F.size("lines"))
-        return F.struct(item.alias("item"), line.alias("line_start"),
-                        F.coalesce(F.get("lines", line - 1), F.lit("")).alias("text"))
-
-    placed = joined.select("file_id", F.explode_outer(F.transform("items", place)).alias("p")) \
-        .filter(F.col("p").isNotNull())
-    fragment = strip(F.coalesce("p.item.fragment", F.lit("")))
-    snippet = F.when(fragment != "", fragment).otherwise(strip(F.col("p.text")))
+def place(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Items in the files they belong to: clamped line and the text of that line.
+
+    The capped items of a file are packed into one short array, so its lines are joined
+    once and not copied per item.
+    """
+    packed = capped(items).groupBy("file_id", "language").agg(F.collect_list(F.struct("n", "item")).alias("items"))
+    languages = ("java", "csharp")
+    sources = files.filter(F.col("language").isin(*languages)).select("file_id", "language", "source")
+    lined = sources.join(packed, ["file_id", "language"]) \
+        .select("file_id", "items", split_lines(F.col("source")).alias("lines"))
+
+    def one(entry):
+        line = clamp_line(entry["item"]["line"], F.size("lines"))
+        return F.struct(entry["n"].alias("n"), entry["item"].alias("item"), line.alias("line_start"),
+                        F.coalesce(F.get("lines", line - 1), F.lit("")).alias("line_text"))
+
+    return lined.select("file_id", F.explode_outer(F.transform("items", one)).alias("p")) \
+        .filter(F.col("p").isNotNull()).select("file_id", "p.n", "p.line_start", "p.line_text", "p.item.*")
+
+
+def worded(placed: DataFrame) -> DataFrame:
+    """Placed items as findings."""
+    kind, code = F.col("kind"), F.col("code")
+    number = or_default(code, "UNKNOWN")
+
+    def choose(java_field, csharp_field, rule):
+        return F.when(kind == "java", _pick(code, JAVA_KINDS, java_field)) \
+            .when(kind == "diagnostic", _pick(F.col("severity"), CSHARP_SEVERITIES, csharp_field)).otherwise(rule)
+
+    rule_id = F.when(kind == "java", _pick(code, JAVA_KINDS, 3)) \
+        .when(kind == "diagnostic", F.concat(F.lit("CS-ROS-"), number)).otherwise(code)
+    title = F.when(kind == "java", _pick(code, JAVA_KINDS, 4)) \
+        .when(kind == "diagnostic", F.concat(_pick(F.col("severity"), CSHARP_SEVERITIES, 3), F.lit(" ("), number, F.lit(")"))) \
+        .otherwise(F.col("title"))
+    text = F.when(kind == "rule", F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("title"))) \
+        .otherwise(or_default(F.col("text"), NO_MESSAGE))
+    fragment = strip(F.coalesce("fragment", F.lit("")))
+    snippet = F.when(fragment != "", fragment).otherwise(strip(F.col("line_text")))
     return placed.select(
-        "file_id", "p.item.rule_id", "p.line_start", F.lit(None).cast("int").alias("line_end"),
-        "p.item.title", "p.item.description", "p.item.category", "p.item.severity",
-        "p.item.confidence_score", "p.item.recommendation",
+        "file_id", F.substring(rule_id, 1, 100).alias("rule_id"), "line_start",
+        F.lit(None).cast("int").alias("line_end"), F.substring(title, 1, 255).alias("title"),
+        text.alias("description"),
+        choose(1, 1, normal_category(F.col("category"), "security")).alias("category"),
+        choose(0, 0, normal_severity(F.col("severity"))).alias("severity"),
+        choose(2, 2, F.lit(SERVICE_CONFIDENCE)).alias("confidence_score"),
+        choose(6, 5, F.coalesce("recommendation", F.lit(""))).alias("recommendation"),
         F.substring(snippet, 1, MAX_SNIPPET).alias("code_snippet"), F.lit("").alias("fixed_snippet"),
-        "p.item.cwe_id", F.lit("").alias("owasp_category"), F.array("p.item.feature").alias("shap_features"),
-        (F.lit(EXTERNAL_ORDINAL) + F.col("p.item.n")).alias("ordinal")).select(*FINDING_COLUMNS)
+        F.substring(F.coalesce("cwe_id", F.lit("")), 1, 20).alias("cwe_id"), F.lit("").alias("owasp_category"),
+        F.array(choose(5, 4, F.lit(SERVICE_FEATURE))).alias("shap_features"),
+        (F.lit(EXTERNAL_ORDINAL) + F.col("n")).alias("ordinal")).select(*FINDING_COLUMNS)
+
+
+def external_findings(files: DataFrame, java: DataFrame = None, csharp: DataFrame = None) -> DataFrame:
+    """Findings of the feeds that are there; None without any.  Both feeds meet the files
+    in one join."""
+    items = None
+    if java is not None:
+        items = java_items(java)
+    if csharp is not None:
+        more = csharp_items(csharp)
+        items = more if items is None else items.unionByName(more)
+    return None if items is None else worded(place(items, files))
 
 
 def java_findings(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
-    return to_findings(java_items(diagnostics), files, "java")
+    return external_findings(files, java=diagnostics)
 
 
 def csharp_findings(responses: DataFrame, files: DataFrame) -> DataFrame:
-    return to_findings(csharp_items(responses), files, "csharp")
+    return external_findings(files, csharp=responses)
 
 
 def enrich(local: DataFrame, files: DataFrame, java: DataFrame = None, csharp: DataFrame = None,
            enabled: bool = True) -> DataFrame:
     """Local findings with the feeds merged in; only Java and C# have one."""
-    external = None
-    if enabled and java is not None:
-        external = java_findings(java, files)
-    if enabled and csharp is not None:
-        more = csharp_findings(csharp, files)
-        external = more if external is None else external.unionByName(more)
+    external = external_findings(files, java, csharp) if enabled else None
     return merge(local.select(*FINDING_COLUMNS), external)
 
 

@@ -398,6 +398,13 @@ def _feed_position() -> Column:
     return F.col("l_orderkey") * 10 + F.col("l_linenumber")
 
 
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus")
+    return spread(lines, "l_orderkey")
+
+
 def java_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One compiler diagnostic per order line, for all files; those of other languages
     fall away when the feed is applied."""
@@ -406,7 +413,7 @@ def java_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("l_returnflag") == "R", "MANDATORY_WARNING").otherwise("NOTE"))
     line = F.when(F.col("l_quantity") >= 49, "n/a") \
         .otherwise((F.col("l_linenumber") * 3 - 5).cast("string"))
-    return read_table(spark, sf_dir, "lineitem").select(
+    return _order_lines(spark, sf_dir).select(
         _file_of(F.col("l_orderkey")).alias("file_id"), _feed_position().alias("seq"),
         (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sub"), kind.alias("kind"), line.alias("line"),
         F.when(F.col("l_tax") == 0.08, "  ")
@@ -434,7 +441,7 @@ def csharp_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","snippet":" s'), F.col("l_linenumber").cast("string"),
         F.lit('","cwe_id":"CWE-1"}]}'))
     broken = F.substr(response, F.lit(1), F.length(response) - 3)
-    return read_table(spark, sf_dir, "lineitem").select(
+    return _order_lines(spark, sf_dir).select(
         _file_of(F.col("l_orderkey")).alias("file_id"), _feed_position().alias("seq"),
         (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sub"),
         F.when(F.col("l_tax") == 0.07, broken).otherwise(response).alias("response"))
