@@ -13,11 +13,14 @@ SETTINGS = {
 }
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g",
+                  checkpoint_dir: str = None) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("sieveline")
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -35,6 +38,4 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sieveline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return tempfile.mkdtemp(prefix="sieveline-")
