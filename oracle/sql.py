@@ -118,6 +118,7 @@ def presence():
     return f"CASE u.name {cases} ELSE 1.0::DOUBLE END"
 
 
+TIE = "concat_ws('/', l_partkey, l_suppkey, l_quantity::INT, round(l_extendedprice * 100)::BIGINT)"
 SEVERITY_FEED = "CASE WHEN l_returnflag = 'A' THEN 'error' WHEN l_returnflag = 'R' THEN 'warning' END"
 
 
@@ -192,7 +193,7 @@ CTE = {
   || coalesce(' The risk is partially mitigated by ''' || s.minus[1].display || ''' (SHAP: ' || printf('%.3f', s.minus[1].v) || '), which reduces the score.', '') AS summary
   FROM predicted p JOIN (SELECT finding_id, coalesce(list({'display': display, 'v': shap_value} ORDER BY position) FILTER (shap_value > 0), []) AS plus,
   coalesce(list({'display': display, 'v': shap_value} ORDER BY position) FILTER (shap_value < 0), []) AS minus FROM sized GROUP BY finding_id) s USING (finding_id)"""),
-    "java_kept": ((), "java_kept", """SELECT l_orderkey // 15 AS file_id, l_orderkey * 10 + l_linenumber AS seq, l_partkey * 10000000 + l_suppkey AS sub,
+    "java_kept": ((), "java_kept", f"""SELECT l_orderkey // 15 AS file_id, l_orderkey * 10 + l_linenumber AS seq, {TIE} AS sub,
   CASE WHEN l_returnflag = 'A' THEN 'ERROR' WHEN l_linestatus = 'O' OR l_returnflag = 'R' THEN 'WARNING' END AS kind,
   CASE WHEN l_quantity >= 49 THEN 'n/a' ELSE (l_linenumber * 3 - 5)::VARCHAR END AS line,
   CASE WHEN l_tax = 0.08 THEN 'Compiler diagnostic' ELSE 'part ' || l_partkey END AS message,
@@ -204,12 +205,12 @@ CTE = {
   '' AS cwe_id, '' AS owasp_category, (100000 + n - 1)::INT AS ordinal, {picked('k.kind', JAVA_KINDS, 5)} AS features
   FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq, sub) AS n FROM java_kept WHERE kind IS NOT NULL) k
   JOIN lined f ON f.file_id = k.file_id AND f.language = 'java' WHERE n <= 50"""),
-    "cs_items": ((), "cs_items", f"""SELECT l_orderkey // 15 AS file_id, 0 AS part, l_orderkey * 10 + l_linenumber AS seq, l_partkey * 10000000 + l_suppkey AS sub, * FROM (
+    "cs_items": ((), "cs_items", f"""SELECT l_orderkey // 15 AS file_id, 0 AS part, l_orderkey * 10 + l_linenumber AS seq, {TIE} AS sub, * FROM (
   SELECT *, {SEVERITY_FEED} AS sev, CASE WHEN l_tax = 0 THEN 'UNKNOWN' ELSE 'CS0' || (l_suppkey % 7 + 100) END AS number FROM lineitem WHERE l_tax <> 0.07) WHERE sev IS NOT NULL"""),
     "cs_rows": (("cs_items",), "cs_rows", f"""SELECT file_id, part, seq, sub, 'CS-ROS-' || number AS rule_id, {picked('sev', CSHARP_SEVERITIES, 3)} || ' (' || number || ')' AS title,
   'part ' || l_partkey AS description, {picked('sev', CSHARP_SEVERITIES, 0)} AS severity, {picked('sev', CSHARP_SEVERITIES, 1)} AS category,
   {picked('sev', CSHARP_SEVERITIES, 2)} AS confidence_score, '' AS cwe_id, (l_linenumber * 3 - 5) AS line, '' AS fragment, {picked('sev', CSHARP_SEVERITIES, 4)} AS features FROM cs_items
-  UNION ALL SELECT l_orderkey // 15, 1, l_orderkey * 10 + l_linenumber, l_partkey * 10000000 + l_suppkey, CASE WHEN l_linestatus = 'O' THEN 'CS-SEC-002' ELSE 'CS-PERF-001' END,
+  UNION ALL SELECT l_orderkey // 15, 1, l_orderkey * 10 + l_linenumber, {TIE}, CASE WHEN l_linestatus = 'O' THEN 'CS-SEC-002' ELSE 'CS-PERF-001' END,
   'Service rule', 'Service rule', CASE WHEN l_discount < 0.03 THEN 'high' ELSE 'medium' END, CASE WHEN l_discount < 0.05 THEN 'style' ELSE 'security' END,
   0.75::DOUBLE, 'CWE-1', l_linenumber, 's' || l_linenumber, 'roslyn_rule_match' FROM lineitem WHERE l_tax <> 0.07 AND l_discount <> 0.1"""),
     "cs_found": (("cs_rows", "lined"), "cs_found", f"""SELECT k.file_id, k.rule_id, {line_of('k.line')} AS line_start, NULL::INT AS line_end, k.title, k.description, k.category, k.severity, k.confidence_score,

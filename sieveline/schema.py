@@ -26,9 +26,11 @@ FILES = T.StructType([
     T.StructField("source", T.StringType()),
 ])
 
+#: a feed keeps its order in ``seq`` and, where that is not unique, ``sub``
 JAVA_DIAGNOSTICS = T.StructType([
     T.StructField("file_id", T.LongType()),
     T.StructField("seq", T.LongType()),
+    T.StructField("sub", T.StringType()),
     T.StructField("kind", T.StringType()),
     T.StructField("line", T.StringType()),
     T.StructField("message", T.StringType()),

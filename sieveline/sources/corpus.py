@@ -398,10 +398,17 @@ def _feed_position() -> Column:
     return F.col("l_orderkey") * 10 + F.col("l_linenumber")
 
 
+def _tie_break() -> Column:
+    """Order lines may share order and line number; this tells them apart."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    return F.concat_ws("/", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                       F.col("l_quantity").cast("int").cast("string"), cents.cast("string"))
+
+
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus")
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus")
     return spread(lines, "l_orderkey")
 
 
@@ -415,7 +422,7 @@ def java_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise((F.col("l_linenumber") * 3 - 5).cast("string"))
     return _order_lines(spark, sf_dir).select(
         _file_of(F.col("l_orderkey")).alias("file_id"), _feed_position().alias("seq"),
-        (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sub"), kind.alias("kind"), line.alias("line"),
+        _tie_break().alias("sub"), kind.alias("kind"), line.alias("line"),
         F.when(F.col("l_tax") == 0.08, "  ")
         .otherwise(F.concat(F.lit("part "), F.col("l_partkey").cast("string"))).alias("message"),
         F.when(F.col("l_discount") == 0.0, "")
@@ -443,7 +450,7 @@ def csharp_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.substr(response, F.lit(1), F.length(response) - 3)
     return _order_lines(spark, sf_dir).select(
         _file_of(F.col("l_orderkey")).alias("file_id"), _feed_position().alias("seq"),
-        (F.col("l_partkey") * 10_000_000 + F.col("l_suppkey")).alias("sub"),
+        _tie_break().alias("sub"),
         F.when(F.col("l_tax") == 0.07, broken).otherwise(response).alias("response"))
 
 
