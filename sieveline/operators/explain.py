@@ -7,7 +7,6 @@ joined or shuffled.
 
 import hashlib
 import random
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -31,7 +30,6 @@ FALLBACK_INTERCEPT = 0.3
 _DRAWS = T.StructType([T.StructField("u", T.DoubleType()), T.StructField("z", T.ArrayType(T.DoubleType()))])
 
 
-@lru_cache(maxsize=65536)
 def draws(rule_id: str, line: int, salt: int, spread: float, count: int):
     """The reproducible noise of a finding: one uniform and ``count`` normal numbers from a
     generator seeded by rule, line and salt."""
@@ -43,7 +41,9 @@ def draws(rule_id: str, line: int, salt: int, spread: float, count: int):
 def _draw_udf(salt: int, spread: float):
     @F.pandas_udf(_DRAWS)
     def run(rule_id: pd.Series, line: pd.Series, count: pd.Series) -> pd.DataFrame:
-        rows = [draws(r, l, salt, spread, c) for r, l, c in zip(rule_id, line, count)]
+        # the same rule fires on the same line number of many files
+        known = {key: draws(*key[:2], salt, spread, key[2]) for key in set(zip(rule_id, line, count))}
+        rows = [known[key] for key in zip(rule_id, line, count)]
         return pd.DataFrame({"u": [r[0] for r in rows], "z": [r[1] for r in rows]})
     return run
 
