@@ -4,11 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from oracle.sql import ORACLE
+from sieveline.plans.registry import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,8 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {"shap_seeded", "lime_seeded"}
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
