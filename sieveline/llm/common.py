@@ -30,3 +30,21 @@ def words_of(text: str) -> list[bytes]:
 def remainder(column: str, modulus: int):
     """crc32 of a number's decimal text, modulo ``modulus``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def sampled(rows: DataFrame, key: str, by: str, limit: int | dict) -> DataFrame:
+    """About ``limit`` rows of every value of ``by``, at most twice that, chosen by a hash of the key.
+
+    Values with fewer rows stay whole. Null values of ``by`` are left out. A dict has a limit for each value.
+    """
+    counts = rows.filter(F.col(by).isNotNull()).groupBy(by).count().collect()
+    parts = []
+    for value, count in sorted(map(tuple, counts)):
+        most = limit[value] if isinstance(limit, dict) else limit
+        place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < 1_000_000 * most // max(1, count)
+        chosen = rows.filter(F.col(by) == F.lit(value)).filter(place if count > most else F.lit(True))
+        parts.append(chosen.limit(2 * most))
+    out = rows.limit(0)
+    for part in parts:
+        out = out.unionByName(part)
+    return out

@@ -1,10 +1,11 @@
 """The operators of this folder as queries over the given tables, with SQL counterparts where SQL can express them."""
 
-from sieveline.llm import fingerprint, url_filter
+from sieveline.llm import fingerprint, language, quality, toxicity, url_filter
 from sieveline.llm.common import table
 
 QUERIES = {}
-ORACLE = {"op4_multiset_fingerprint": fingerprint.ORACLE_SQL, "op8_url_vocabulary": url_filter.oracle_sql()}
+ORACLE = {"op4_multiset_fingerprint": fingerprint.ORACLE_SQL, "op8_url_vocabulary": url_filter.oracle_sql(),
+          "op10_weak_supervision": quality.oracle_sql()}
 
 
 def query(fn):
@@ -20,3 +21,25 @@ def op4_multiset_fingerprint(spark, sf_dir):
 @query
 def op8_url_vocabulary(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_weak_supervision(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).drop("quality")
+
+
+@query
+def op6_subword_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", language.held_out())
+    model = language.train(docs.filter("NOT held_out"), "doc_id", "text", "lang")
+    return language.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "_language.*")
+
+
+@query
+def op9_sentence_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    scored = toxicity.assess(docs, toxicity.train(docs, labels))
+    sentences = "array_join(transform(_toxicity.offending, s -> concat(s.begin, ':', s.end)), ',') AS offending"
+    return scored.withColumn("held_out", toxicity.held_out()).selectExpr(
+        "doc_id", "held_out", "_toxicity.score", "_toxicity.predicted", sentences)
