@@ -1,6 +1,6 @@
 """The operators of this folder as queries over the given tables, with SQL counterparts where SQL can express them."""
 
-from sieveline.llm import fingerprint, language, quality, toxicity, url_filter
+from sieveline.llm import fingerprint, language, packing, quality, toxicity, url_filter
 from sieveline.llm.common import table
 
 QUERIES = {}
@@ -43,3 +43,8 @@ def op9_sentence_toxicity(spark, sf_dir):
     sentences = "array_join(transform(_toxicity.offending, s -> concat(s.begin, ':', s.end)), ',') AS offending"
     return scored.withColumn("held_out", toxicity.held_out()).selectExpr(
         "doc_id", "held_out", "_toxicity.score", "_toxicity.predicted", sentences)
+
+
+@query
+def op5_vector_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
