@@ -1,6 +1,6 @@
 """The operators of this folder as queries over the given tables, with SQL counterparts where SQL can express them."""
 
-from sieveline.llm import fingerprint, language, packing, quality, toxicity, url_filter
+from sieveline.llm import fingerprint, language, packing, quality, secrets, toxicity, url_filter
 from sieveline.llm.common import table
 
 QUERIES = {}
@@ -48,3 +48,9 @@ def op9_sentence_toxicity(spark, sf_dir):
 @query
 def op5_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_guess_cost_secrets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.find_secrets(docs, secrets.word_ranks(docs)))
