@@ -48,3 +48,28 @@ def sampled(rows: DataFrame, key: str, by: str, limit: int | dict) -> DataFrame:
     for part in parts:
         out = out.unionByName(part)
     return out
+
+
+def range_starts(base: DataFrame, range_chars: int, accuracy: int = 100_000) -> tuple:
+    """Where ranges of the key ``k`` start, so that each holds about ``range_chars`` characters of ``t``.
+
+    Returns the ascending starts (keys of the table, the least first; empty without any), whether there are null keys, and
+    the number of characters.
+    """
+    facts = base.agg(F.sum(F.length("t")).alias("chars"), F.max(F.col("k").isNull()).alias("nulls"),
+                     F.min("k").alias("least")).first()
+    chars, least = facts["chars"] or 0, facts["least"]
+    ranges = 1 + chars // range_chars
+    starts = [] if least is None else [least]
+    if starts and ranges > 1:
+        cuts = [i / ranges for i in range(1, ranges)]
+        starts = sorted({least, *base.agg(F.percentile_approx("k", cuts, accuracy)).first()[0]})
+    return starts, bool(facts["nulls"]), chars
+
+
+def range_of(starts: list):
+    """The number of the range that holds the key ``k``; null keys lie in the first."""
+    if len(starts) < 2:
+        return F.lit(0)
+    start = F.array(*(F.lit(s) for s in starts))
+    return F.coalesce(F.greatest(F.lit(0), F.size(F.filter(start, lambda s: s <= F.col("k"))) - 1), F.lit(0))

@@ -14,6 +14,8 @@ insertion and deletion stay exact, only the likeness is blurred.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sieveline.llm.common import range_of, range_starts
+
 #: components, their modulus, and how they are packed: four fields of 15 bits a number, the upper bit of each a guard
 WIDTH, MODULUS, FIELD, PACKED = 128, 1 << 14, 15, 4
 _SPREAD = sum(1 << (FIELD - 1) * i for i in range(PACKED))
@@ -23,7 +25,6 @@ _GUARDS = sum(MODULUS << FIELD * i for i in range(PACKED))
 _PARTS = WIDTH // PACKED
 #: characters of text in one range of neighbouring documents
 RANGE_CHARS = 16_000_000
-ACCURACY = 100_000
 
 
 def paragraphs(text: str) -> str:
@@ -83,23 +84,13 @@ def with_next(docs: DataFrame, key: str, text: str, range_chars: int = RANGE_CHA
     to the range before it (``copy`` over 0); no range grows with the table. Also returns the window of that order.
     """
     base = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    facts = base.agg(F.sum(F.length("t")).alias("chars"), F.sum(F.col("k").isNull().cast("int")).alias("nulls"),
-                     F.min("k").alias("least")).first()
-    ranges = 1 + (facts["chars"] or 0) // range_chars
-    starts = [facts["least"]]
-    if ranges > 1 and facts["least"] is not None:
-        cuts = [i / ranges for i in range(1, ranges)]
-        starts = sorted({facts["least"], *(base.agg(F.percentile_approx("k", cuts, ACCURACY)).first()[0] or [])})
-    last = len(starts) - 1
-    if facts["least"] is None:
-        own, before = F.lit(0), F.lit(None).cast("int")
-    else:
-        start = F.array(*(F.lit(s) for s in starts))
-        own = F.greatest(F.lit(0), F.size(F.filter(start, lambda s: s <= F.col("k"))) - 1)
-        before = F.when((F.element_at(start, own + 1) == F.col("k")) & (own > 0), own - 1)
-    first = F.col("k").isNull() if facts["nulls"] else F.col("k") == F.lit(facts["least"])
+    starts, nulls, _ = range_starts(base, range_chars)
+    own, last = range_of(starts), max(0, len(starts) - 1)
+    start = F.array(*(F.lit(s) for s in starts)) if starts else F.array(F.lit(None).cast("long"))
+    before = F.when((F.element_at(start, own + 1) == F.col("k")) & (own > 0), own - 1)
+    first = F.col("k").isNull() if nulls or not starts else F.col("k") == F.lit(starts[0])
     places = F.array_compact(F.array(
-        F.struct(F.coalesce(own, F.lit(0)).alias("range"), F.lit(0).alias("copy")),
+        F.struct(own.alias("range"), F.lit(0).alias("copy")),
         F.when(before.isNotNull(), F.struct(before.alias("range"), F.lit(1).alias("copy"))),
         F.when(first, F.struct(F.lit(last).alias("range"), F.lit(2).alias("copy")))))
     placed = base.select("k", "t", F.inline(places))

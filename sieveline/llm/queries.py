@@ -1,11 +1,11 @@
 """The operators of this folder as queries over the given tables, with SQL counterparts where SQL can express them."""
 
-from sieveline.llm import fingerprint, language, packing, quality, secrets, toxicity, url_filter
+from sieveline.llm import fingerprint, language, packing, quality, secrets, substring, toxicity, url_filter
 from sieveline.llm.common import table
 
 QUERIES = {}
 ORACLE = {"op4_multiset_fingerprint": fingerprint.ORACLE_SQL, "op8_url_vocabulary": url_filter.oracle_sql(),
-          "op10_weak_supervision": quality.oracle_sql()}
+          "op10_weak_supervision": quality.oracle_sql(), "op3_repeated_windows": substring.ORACLE_SQL}
 
 
 def query(fn):
@@ -54,3 +54,8 @@ def op5_vector_packing(spark, sf_dir):
 def op7_guess_cost_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.find_secrets(docs, secrets.word_ranks(docs)))
+
+
+@query
+def op3_repeated_windows(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
