@@ -84,7 +84,7 @@ def windows(texts, size, known):
 def _packed(numbers):
     """Ascending numbers as compressed gaps, byte by byte."""
     import zstandard
-    gaps = np.diff(numbers, prepend=0).astype("<u8")
+    gaps = np.diff(numbers, prepend=np.uint64(0)).astype("<u8")
     return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
