@@ -1,6 +1,7 @@
 """The operators of this folder as queries over the given tables, with SQL counterparts where SQL can express them."""
 
-from sieveline.llm import fingerprint, language, packing, quality, secrets, substring, toxicity, url_filter
+from sieveline.llm import (fingerprint, language, packing, quality, secrets, simhash, substring, toxicity,
+                           url_filter)
 from sieveline.llm.common import table
 
 QUERIES = {}
@@ -59,3 +60,9 @@ def op7_guess_cost_secrets(spark, sf_dir):
 @query
 def op3_repeated_windows(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_pivot_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
+    return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
