@@ -21,7 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from sieveline.llm.common import remainder, sampled
 
 BUCKETS, DIMENSIONS, ORDERS = 1 << 15, 16, (2, 3, 4)
-SAMPLE, EPOCHS, RATE, SEED = 400, 12, 2.0, 7
+SAMPLE, EPOCHS, RATE, SEED = 400, 12, 0.5, 7
+#: share of each label spread over all languages in training, which keeps the weights bounded
+SMOOTHING = 0.02
 REJECTED = 0.002
 PIECE = 1 << 18
 UNKNOWN = "und"
@@ -81,13 +83,13 @@ def fit(examples, names):
             at, share, y = examples[i]
             rows = embedding[at]
             mean = share @ rows
-            slope = _softmax(mean @ weights + bias)
-            slope[y] -= 1
+            slope = _softmax(mean @ weights + bias) - SMOOTHING / len(names)
+            slope[y] -= 1 - SMOOTHING
             back = weights @ slope
             weights -= rate * np.outer(mean, slope)
             bias -= 0.1 * rate * slope
-            # the embeddings of a text share its gradient by their share, scaled up to move at all
-            embedding[at] = rows - (rate * 10) * share[:, None] * back
+            # subwords share the gradient by their share; divided by its square sum, the mean moves as one embedding would
+            embedding[at] = rows - rate * (share / (share @ share))[:, None] * back
     table = embedding @ weights
     held = held if len(held) else train
     z = np.array([examples[i][1] @ table[examples[i][0]] + bias for i in held]).reshape(-1, len(names))

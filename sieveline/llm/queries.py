@@ -1,6 +1,8 @@
 """The operators of this folder as queries over the given tables, with SQL counterparts where SQL can express them."""
 
-from sieveline.llm import (fingerprint, language, packing, quality, secrets, simhash, substring, toxicity,
+from pyspark.sql import functions as F
+
+from sieveline.llm import (fingerprint, language, mixing, packing, quality, secrets, simhash, substring, toxicity,
                            url_filter)
 from sieveline.llm.common import table
 
@@ -66,3 +68,11 @@ def op3_repeated_windows(spark, sf_dir):
 def op2_pivot_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, bits=4)
     return found.select("doc_id", simhash.hex_of().alias("fingerprint"), "component_id")
+
+
+@query
+def op1_soft_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = mixing.mix(docs, mixing.domain_of_labels(table(spark, sf_dir, "labels")))
+    shares = (F.col("p")[n].alias(f"p_{d}") for n, d in enumerate(sorted(mixing.TARGETS)))
+    return found.select(F.col("k").alias("doc_id"), "tokens", *shares, "rate", "copies")

@@ -189,9 +189,10 @@ def hex_of(fp: str = "fp"):
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **search) -> DataFrame:
     """The rows of ``docs`` without all but one of every component: the least key stays, ties by a hash of the text."""
     found = near_duplicates(docs, key, text, **search)
+    row, place = "_sieveline_row", "_sieveline_place"
     stay = stored(found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "row")).alias("x")).select(
-        F.col("x.row").alias("_row")), "simhash-kept")
-    kept = docs.withColumn("_row", F.xxhash64(key, text)).join(stay, "_row", "left_semi")
+        F.col("x.row").alias(row)), "simhash-kept")
+    kept = docs.withColumn(row, F.xxhash64(key, text)).join(stay, row, "left_semi")
     # rows repeated word for word share the hash: one of them stays
-    first = Window.partitionBy("_row").orderBy(key)
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_row")
+    first = Window.partitionBy(row).orderBy(key)
+    return kept.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).select(*docs.columns)
