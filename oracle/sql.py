@@ -82,9 +82,6 @@ def rule_rows(packs):
 
 RULE_COLUMNS = "language, ordinal, rule_id, title, severity, category, confidence, cwe_id, owasp_category, recommendation, description, features"
 
-# complexity of the template functions, counted by hand: template, name, line, paths
-COMPLEX = ((8, "classify", 1, 13), (32, "outer", 1, 13), (32, "inner", 2, 12))
-
 # C# templates counted by hand: classes, methods, properties, namespaces, usings, depth, async, unsafe
 CSHARP = {
     2: (1, 1, 1, 1, 1, 2, False, False), 6: (1, 1, 0, 0, 2, 2, False, False),
@@ -146,12 +143,19 @@ CTE = {
     "line_found": (("line_hits", "rules"), "line_found",
                    finding_select(f"NULL::INT AS line_end, r.description, {snippet('h.line')} AS code_snippet", "h.ordinal")
                    + " FROM line_hits h JOIN rules r ON h.language = r.language AND h.ordinal = r.ordinal"),
-    "complex_found": (("files", "lines", "rules"), "complex_found", finding_select(
+    "python_lines": (("files",), "python_lines", r"""SELECT file_id, n, line, length(regexp_extract(line, '^[ \t]*')) AS indent, regexp_matches(line, '[^\s"]') AS filled,
+  regexp_extract(line, '^\s*(?:async\s+)?def\s+(\w+)', 1) AS name, len(regexp_extract_all(line, '(?:^|[:;])\s*(?:if|elif|while|except|with|assert)\b'))
+  + len(regexp_extract_all(line, '\bfor\b')) - regexp_matches(line, '^\s*async for\b')::INT + regexp_matches(line, '\band\b')::INT + regexp_matches(line, '\bor\b')::INT AS paths
+  FROM (SELECT file_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM (SELECT file_id, regexp_split_to_array(regexp_replace(
+    array_to_string(list_transform(regexp_split_to_array(source, '\"\"\"|'''''''), lambda p, n: CASE WHEN n % 2 = 0 THEN regexp_replace(p, '[^\n\r]+', '', 'g') ELSE p END), '""'),
+    '"(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|#[^\n]*', '""', 'g'), '\r\n|\n|\r') AS l FROM files WHERE language = 'python'))"""),
+    "complex": (("python_lines",), "complex", """SELECT h.file_id, h.name, h.n AS line_no, 1 + sum(b.paths) AS paths
+  FROM (SELECT *, (SELECT min(n) FROM python_lines e WHERE e.file_id = o.file_id AND e.n > o.n AND e.filled AND e.indent <= o.indent) AS stop FROM python_lines o WHERE name <> '') h
+  JOIN python_lines b ON b.file_id = h.file_id AND b.n >= h.n AND b.n < coalesce(h.stop, 1e9) GROUP BY ALL HAVING sum(b.paths) >= 10"""),
+    "complex_found": (("complex", "lines", "rules"), "complex_found", finding_select(
         "NULL::INT AS line_end, 'Function ''' || c.name || ''' has cyclomatic complexity of ' || c.paths || ' (threshold: 10).' AS description, "
         + snippet("h.line") + " AS code_snippet", "1000").replace("r.confidence AS", "least(0.95::DOUBLE, 0.7::DOUBLE + (c.paths - 10) * 0.02::DOUBLE) AS")
-        + " FROM files f JOIN (" + values([(str(t), q(n), str(l), str(p)) for t, n, l, p in COMPLEX])
-        + ") c(template, name, line_no, paths) ON f.template = c.template JOIN lines h ON h.file_id = f.file_id AND h.line_no = c.line_no "
-        "JOIN rules r ON r.rule_id = 'PY-CMPLX-001'"),
+        + " FROM complex c JOIN lines h ON h.file_id = c.file_id AND h.line_no = c.line_no JOIN rules r ON r.rule_id = 'PY-CMPLX-001'"),
     "heads": (("lines",), "heads", f"""SELECT *, lead(line_no) OVER w AS next_no, lead(line) OVER w AS next_line,
   CASE language {' '.join(f"WHEN {q(k)} THEN regexp_extract(line, {q(p)}, 1)" for k, p in HEADER.items())} END AS name
   FROM lines WHERE {by_language(HEADER)} WINDOW w AS (PARTITION BY file_id ORDER BY line_no)"""),
@@ -204,7 +208,7 @@ CTE = {
   substring(CASE WHEN k.fragment <> '' THEN k.fragment ELSE {strip('coalesce(f.lines[' + line_of('k.line') + "], '')")} END, 1, 500) AS code_snippet,
   '' AS cwe_id, '' AS owasp_category, (100000 + n - 1)::INT AS ordinal, {picked('k.kind', JAVA_KINDS, 5)} AS features
   FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY seq, sub) AS n FROM java_kept WHERE kind IS NOT NULL) k
-  JOIN lined f ON f.file_id = k.file_id AND f.language = 'java' WHERE n <= 50"""),
+  JOIN lined f ON f.file_id = k.file_id AND f.language = 'java'"""),
     "cs_items": ((), "cs_items", f"""SELECT l_orderkey // 15 AS file_id, 0 AS part, l_orderkey * 10 + l_linenumber AS seq, {TIE} AS sub, * FROM (
   SELECT *, {SEVERITY_FEED} AS sev, CASE WHEN l_tax = 0 THEN 'UNKNOWN' ELSE 'CS0' || (l_suppkey % 7 + 100) END AS number FROM lineitem WHERE l_tax <> 0.07) WHERE sev IS NOT NULL"""),
     "cs_rows": (("cs_items",), "cs_rows", f"""SELECT file_id, part, seq, sub, 'CS-ROS-' || number AS rule_id, {picked('sev', CSHARP_SEVERITIES, 3)} || ' (' || number || ')' AS title,
@@ -217,7 +221,7 @@ CTE = {
   substring(CASE WHEN k.fragment <> '' THEN k.fragment ELSE {strip('coalesce(f.lines[' + line_of('k.line') + "], '')")} END, 1, 500) AS code_snippet,
   k.cwe_id, '' AS owasp_category, (100000 + n - 1)::INT AS ordinal, k.features
   FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY part, seq, sub) AS n FROM cs_rows) k
-  JOIN lined f ON f.file_id = k.file_id AND f.language = 'csharp' WHERE n <= 50"""),
+  JOIN lined f ON f.file_id = k.file_id AND f.language = 'csharp'"""),
     "merged": (("findings", "java_found", "cs_found"), "merged", """SELECT * EXCLUDE (place, first_ordinal), first_ordinal AS ordinal FROM (
   SELECT file_id, rule_id, line_start, severity, confidence_score, title, min(ordinal) OVER k AS first_ordinal,
   row_number() OVER (PARTITION BY file_id, rule_id, line_start ORDER BY confidence_score DESC, ordinal) AS place
@@ -251,7 +255,7 @@ def sql(body, *needs):
         add(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{CTE[n][1]} AS ({CTE[n][2]})" for n in ordered) + "\n" + body
+    return "WITH " + ",\n".join(f"{CTE[n][1]} AS MATERIALIZED ({CTE[n][2]})" for n in ordered) + "\n" + body
 
 
 def reason(limit):
@@ -294,7 +298,7 @@ RULE_COVERAGE = """SELECT k.rule_id, k.title, k.severity, coalesce(u.findings, 0
 
 ORACLE = {
     "ingest_files": sql("SELECT file_id, project_id, filename, CASE extension WHEN '.py' THEN 'python' WHEN '.java' THEN 'java' ELSE 'javascript' END AS language, size::INT AS size_bytes, "
-                        "(length(text) - length(replace(text, chr(10), '')) + 1)::INT AS line_count, 'pending' AS status, md5(text) AS text_md5 FROM raw_files WHERE " + reason(1048576) + " IS NULL", "raw_files"),
+                        "(length(text) - length(replace(text, chr(10), '')) + 1)::INT AS line_count, 'pending' AS status, md5(text) AS text_md5 FROM raw_files WHERE " + reason(registry.RAW_LIMIT) + " IS NULL", "raw_files"),
     "ingest_rejects": sql(f"SELECT file_id, filename, reason FROM (SELECT *, {reason(registry.RAW_LIMIT)} AS reason FROM raw_files) WHERE reason IS NOT NULL", "raw_files"),
     "ingest_totals": sql(f"SELECT count(*) FILTER (reason IS NULL) AS total_created, count(*) FILTER (reason IS NOT NULL) AS total_errors FROM (SELECT {reason(registry.RAW_LIMIT)} AS reason FROM raw_files)", "raw_files"),
     "detect_language": sql("SELECT file_id, extension, CASE WHEN file_id % 5 = 0 THEN 'csharp' WHEN extension = '.java' THEN 'java' WHEN extension = '.mjs' THEN 'javascript' ELSE 'python' END AS language FROM raw_files", "raw_files"),
@@ -370,7 +374,7 @@ ORACLE = {
     "file_report": sql(f"""SELECT file_id, rank AS position, upper(severity) AS label, {ESCAPE.format('title')} AS title,
   'line ' || line_start || CASE WHEN line_end IS NOT NULL THEN '–' || line_end ELSE '' END AS place, rule_id, cwe_id,
   CASE WHEN cwe_id <> '' THEN 'https://cwe.mitre.org/data/definitions/' || substr(cwe_id, 5) || '.html' END AS link,
-  CASE WHEN in_file <= 15 THEN {ESCAPE.format('description')} END AS description, CASE WHEN in_file <= 15 THEN {ESCAPE.format('recommendation')} END AS recommendation,
+  {ESCAPE.format('description')} AS description, {ESCAPE.format('recommendation')} AS recommendation,
   CASE WHEN length(description) > 160 THEN left(description, 157) || '…' ELSE description END AS callout FROM ranked""", "ranked"),
     "risk_rollup": sql("SELECT project_id, file_id, severity, count(*) AS findings, grouping(project_id, file_id, severity)::INT AS level FROM findings JOIN file_list USING (file_id) GROUP BY ROLLUP (project_id, file_id, severity)", "findings", "file_list"),
     "facet_cube": sql("SELECT v.language, severity, count(*) AS findings FROM findings v GROUP BY CUBE (v.language, severity)", "findings"),
@@ -401,7 +405,7 @@ ORACLE = {
   FROM predicted p JOIN findings f USING (finding_id)""", "predicted", "findings"),
     "page_links": sql("SELECT page_id, url, link, target, kind FROM page_targets", "page_targets"),
     "broken_links": sql("""SELECT page_id, 'BROKEN' AS problem, target FROM (SELECT DISTINCT page_id, target FROM page_targets) t
-  WHERE target NOT IN (SELECT regexp_replace(url, '#.*', '') FROM pages) AND page_id NOT IN (SELECT page_id FROM links WHERE link = '')
+  WHERE target NOT IN (SELECT regexp_replace(url, '#.*', '') FROM pages)
   UNION ALL SELECT page_id, 'PARSE ERROR', url FROM pages WHERE page_id IN (SELECT page_id FROM links WHERE link = '')""", "page_targets", "links"),
     "page_weight": sql(r"""SELECT p.page_id, octet_length(encode(html))::INT AS html_bytes, coalesce(a.assets, 0) AS assets, coalesce(a.bytes, 0)::BIGINT AS asset_bytes,
   (octet_length(encode(html)) + coalesce(a.bytes, 0))::BIGINT AS total_bytes, octet_length(encode(html)) + coalesce(a.bytes, 0) > 512000 AS over_budget

@@ -1,9 +1,9 @@
 """Compiler and service diagnostics as findings.
 
-Feeds are tables.  A feed is first reduced to the rows that count, capped per file in feed
-order (a window limit that Spark applies before its shuffle), packed into one short array
-per file and joined once with that file's lines.  A missing feed, or broken JSON in it,
-leaves the local findings as they are.
+Feeds are tables.  A feed is first reduced to the rows that count, packed in feed order into
+one array per file and joined once with that file's lines.  All items are kept unless a limit
+per file is given; ``beyond_limit`` counts what it leaves out.  A missing feed, or broken JSON
+in it, leaves the local findings as they are.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sieveline.functions.text import or_default, split_lines, strip
 from sieveline.operators.dedup import merge
 from sieveline.operators.lines import computed_once
-from sieveline.schema import (CATEGORIES, CSHARP_RESPONSE, FINDING_COLUMNS, MAX_EXTERNAL_FINDINGS,
-                              MAX_SNIPPET, SEVERITIES)
+from sieveline.schema import CATEGORIES, CSHARP_RESPONSE, FINDING_COLUMNS, MAX_SNIPPET, SEVERITIES
 
 #: external findings come behind every local one
 EXTERNAL_ORDINAL = 100_000
@@ -113,29 +112,37 @@ def csharp_items(responses: DataFrame) -> DataFrame:
                        F.struct(part.alias("part"), "seq", "sub", "pos").alias("position"), "item")
 
 
-def capped(items: DataFrame, limit: int = MAX_EXTERNAL_FINDINGS) -> DataFrame:
-    """The first ``limit`` items of each file in feed order, numbered from 0.  Spark keeps
-    only so many per task before it shuffles them."""
+def capped(items: DataFrame, limit: int = None) -> DataFrame:
+    """The first ``limit`` items of each file in feed order; all of them without a limit.  Spark
+    keeps only so many per task before it shuffles them."""
+    if limit is None:
+        return items
     order = Window.partitionBy("file_id", "language").orderBy("position")
-    return items.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit) \
-        .withColumn("n", F.col("n") - 1)
+    return items.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= limit).drop("n")
 
 
-def place(items: DataFrame, files: DataFrame) -> DataFrame:
+def beyond_limit(items: DataFrame, limit: int) -> DataFrame:
+    """How many items of each file a limit leaves out: ``file_id, language, left_out``."""
+    return items.groupBy("file_id", "language").agg((F.count(F.lit(1)) - limit).alias("left_out")) \
+        .filter(F.col("left_out") > 0)
+
+
+def place(items: DataFrame, files: DataFrame, limit: int = None) -> DataFrame:
     """Items in the files they belong to: clamped line and the text of that line.
 
-    The capped items of a file are packed into one short array, so its lines are joined
-    once and not copied per item.
+    The items of a file are packed into one array in feed order, so its lines are joined once
+    and not copied per item.
     """
-    packed = capped(items).groupBy("file_id", "language").agg(F.collect_list(F.struct("n", "item")).alias("items"))
+    packed = capped(items, limit).groupBy("file_id", "language").agg(
+        F.sort_array(F.collect_list(F.struct("position", "item"))).alias("items"))
     languages = ("java", "csharp")
     sources = files.filter(F.col("language").isin(*languages)).select("file_id", "language", "source")
     lined = sources.join(packed, ["file_id", "language"]) \
         .select("file_id", "items", split_lines(F.col("source")).alias("lines"))
 
-    def one(entry):
+    def one(entry, n):
         line = clamp_line(entry["item"]["line"], F.size("lines"))
-        return F.struct(entry["n"].alias("n"), entry["item"].alias("item"), line.alias("line_start"),
+        return F.struct(n.alias("n"), entry["item"].alias("item"), line.alias("line_start"),
                         F.coalesce(F.get("lines", line - 1), F.lit("")).alias("line_text"))
 
     return lined.select("file_id", F.explode_outer(F.transform("items", one)).alias("p")) \
@@ -161,7 +168,7 @@ def worded(placed: DataFrame) -> DataFrame:
     fragment = strip(F.coalesce("fragment", F.lit("")))
     snippet = F.when(fragment != "", fragment).otherwise(strip(F.col("line_text")))
     return placed.select(
-        "file_id", F.substring(rule_id, 1, 100).alias("rule_id"), "line_start",
+        "file_id", rule_id.alias("rule_id"), "line_start",
         F.lit(None).cast("int").alias("line_end"), F.substring(title, 1, 255).alias("title"),
         text.alias("description"),
         choose(1, 1, normal_category(F.col("category"), "security")).alias("category"),
@@ -174,7 +181,7 @@ def worded(placed: DataFrame) -> DataFrame:
         (F.lit(EXTERNAL_ORDINAL) + F.col("n")).alias("ordinal")).select(*FINDING_COLUMNS)
 
 
-def external_findings(files: DataFrame, java: DataFrame = None, csharp: DataFrame = None) -> DataFrame:
+def external_findings(files: DataFrame, java: DataFrame = None, csharp: DataFrame = None, limit: int = None) -> DataFrame:
     """Findings of the feeds that are there; None without any.  Both feeds meet the files
     in one join."""
     items = None
@@ -183,21 +190,21 @@ def external_findings(files: DataFrame, java: DataFrame = None, csharp: DataFram
     if csharp is not None:
         more = csharp_items(csharp)
         items = more if items is None else items.unionByName(more)
-    return None if items is None else worded(place(items, files))
+    return None if items is None else worded(place(items, files, limit))
 
 
-def java_findings(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
-    return external_findings(files, java=diagnostics)
+def java_findings(diagnostics: DataFrame, files: DataFrame, limit: int = None) -> DataFrame:
+    return external_findings(files, java=diagnostics, limit=limit)
 
 
-def csharp_findings(responses: DataFrame, files: DataFrame) -> DataFrame:
-    return external_findings(files, csharp=responses)
+def csharp_findings(responses: DataFrame, files: DataFrame, limit: int = None) -> DataFrame:
+    return external_findings(files, csharp=responses, limit=limit)
 
 
 def enrich(local: DataFrame, files: DataFrame, java: DataFrame = None, csharp: DataFrame = None,
-           enabled: bool = True) -> DataFrame:
+           enabled: bool = True, limit: int = None) -> DataFrame:
     """Local findings with the feeds merged in; only Java and C# have one."""
-    external = external_findings(files, java, csharp) if enabled else None
+    external = external_findings(files, java, csharp, limit) if enabled else None
     return merge(local.select(*FINDING_COLUMNS), external)
 
 

@@ -14,7 +14,7 @@ ASSET_PREFIXES = ("http://", "https://", "#", "mailto:", "data:")
 BUDGET_BYTES = 500 * 1024
 
 _HIDDEN = r"(?is)<!--.*?-->|(<script\b[^>]*>).*?</script\s*>|(<style\b[^>]*>).*?</style\s*>"
-_TAG = r"""(?is)<(?:a|link|img|script|iframe|source|meta)(?:[\s/](?:[^>"']|"[^"]*"|'[^']*')*)?>"""
+_TAG = r"""(?is)<(?:a|link|img|script|iframe|source|meta)(?:[\s/](?:[^>"']|"[^"]*"|'[^']*')*+)?>"""
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -112,22 +112,22 @@ def _address(url: Column) -> Column:
     return F.regexp_replace(url, "#.*", "")
 
 
-def broken_links(pages: DataFrame, strict: bool = True) -> DataFrame:
+def broken_links(pages: DataFrame, strict: bool = False) -> DataFrame:
     """Internal links that lead to no known page: ``page_id, problem, target``.
 
-    With ``strict`` a page whose link list has an empty entry is reported as unreadable and
-    its links are not checked.  The check is an anti join on the address; a much linked
-    address is split by adaptive execution.
+    A page whose link list has an empty entry is reported as unreadable too; its other links
+    are checked, unless ``strict`` leaves such pages at that.  The check is an anti join on
+    the address; a much linked address is split by adaptive execution.
     """
     known = pages.select(_address(F.col("url")).alias("address")).distinct()
     missing = page_links(pages).filter(F.col("kind") != "external") \
         .withColumn("address", _address(F.col("target"))).join(known, "address", "left_anti") \
         .select("page_id", F.lit("BROKEN").alias("problem"), "target").distinct()
-    if not strict:
-        return missing
     unreadable = pages.filter(F.array_contains(raw_links(F.col("html")), "")) \
         .select("page_id", F.lit("PARSE ERROR").alias("problem"), F.col("url").alias("target"))
-    return missing.join(unreadable.select("page_id"), "page_id", "left_anti").unionByName(unreadable)
+    if strict:
+        missing = missing.join(unreadable.select("page_id"), "page_id", "left_anti")
+    return missing.unionByName(unreadable)
 
 
 def page_assets(pages: DataFrame) -> DataFrame:

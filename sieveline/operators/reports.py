@@ -6,12 +6,12 @@ from sieveline.functions.scoring import exact_round, percent, risk_badge, risk_b
 from sieveline.functions.text import cwe_link, ellipsis, html_escape, line_range
 from sieveline.operators.joins import with_children
 from sieveline.operators.lines import covered_lines
-from sieveline.operators.score import mean_risk, rank_in_file
+from sieveline.operators.scan import describe
+from sieveline.operators.score import mean_risk
 from sieveline.schema import LANGUAGE_LABELS, SEVERITIES, severity_rank
 
 # Fixed values.
 PAGE_SIZE = 25
-DETAIL_LIMIT = 15
 
 #: columns of a finding in a list; the long texts are left out
 COMPACT_FINDING = ("finding_id", "title", "severity", "category", "line_start", "line_end", "line_range",
@@ -139,15 +139,18 @@ def report_header(scored: DataFrame) -> DataFrame:
         F.col("findings").alias("total"), *SEVERITIES)
 
 
-def report_findings(findings: DataFrame) -> DataFrame:
-    """The findings of each report in order.  Full texts appear only where a file has at
-    most 15 findings."""
-    ranked = rank_in_file(findings)
-    counts = findings.groupBy("file_id").agg(F.count(F.lit(1)).alias("in_file"))
-    full = F.col("in_file") <= DETAIL_LIMIT
+def report_findings(analysed: DataFrame, detail_limit: int = None) -> DataFrame:
+    """The findings of each report in order, from analysed files and their ``found`` arrays,
+    which are in that order.  With a limit full texts appear only where a file has at most so
+    many findings."""
+    rows = analysed.select("file_id", "language", F.size("found").alias("in_file"), F.posexplode_outer("found").alias("at", "f")) \
+        .filter(F.col("f").isNotNull()) \
+        .select("file_id", "language", "in_file", (F.col("at") + 1).cast("long").alias("position"), "f.*")
+    found = describe(rows, keep=("in_file", "position"))
+    full = F.lit(True) if detail_limit is None else F.col("in_file") <= detail_limit
     end = F.coalesce("line_end", F.lit(0))
-    return ranked.join(counts, "file_id").select(
-        "file_id", (F.col("rank") + 1).alias("position"), F.upper("severity").alias("label"),
+    return found.select(
+        "file_id", "position", F.upper("severity").alias("label"),
         html_escape(F.col("title")).alias("title"),
         F.concat(F.lit("line "), F.col("line_start").cast("string"),
                  F.when(end != 0, F.concat(F.lit("–"), end.cast("string"))).otherwise("")).alias("place"),
@@ -157,19 +160,15 @@ def report_findings(findings: DataFrame) -> DataFrame:
         ellipsis(F.col("description")).alias("callout"))
 
 
-def navigation(findings: DataFrame) -> DataFrame:
-    """Next and previous finding inside the file, wrapping at the ends.
-
-    Positions are joined with themselves, so the work is spread by file and position."""
-    ranked = with_ids(rank_in_file(findings)).select("file_id", "rank", "finding_id")
-    sizes = findings.groupBy("file_id").agg(F.count(F.lit(1)).alias("size"))
-    here = ranked.join(sizes, "file_id").select(
-        "file_id", "rank", "finding_id", F.pmod(F.col("rank") + 1, F.col("size")).alias("after"),
-        F.pmod(F.col("rank") - 1 + F.col("size"), F.col("size")).alias("before"))
-    to = ranked.select("file_id", F.col("rank").alias("after"), F.col("finding_id").alias("next_id"))
-    back = ranked.select("file_id", F.col("rank").alias("before"), F.col("finding_id").alias("previous_id"))
-    return here.join(to, ["file_id", "after"]).join(back, ["file_id", "before"]).select(
-        "file_id", (F.col("rank") + 1).alias("position"), "finding_id", "next_id", "previous_id")
+def navigation(analysed: DataFrame) -> DataFrame:
+    """Next and previous finding inside the file, wrapping at the ends: the neighbours in the
+    ``found`` array, which is in reporting order."""
+    ids = F.transform("found", lambda f: finding_id(F.col("file_id"), f["rule_id"], f["line_start"]))
+    return analysed.select("file_id", F.explode_outer(F.array(ids)).alias("ids")) \
+        .select("file_id", "ids", F.posexplode_outer("ids").alias("at", "finding_id")).filter(F.col("finding_id").isNotNull()) \
+        .select("file_id", (F.col("at") + 1).cast("long").alias("position"), "finding_id",
+                F.get("ids", F.pmod(F.col("at") + 1, F.size("ids"))).alias("next_id"),
+                F.get("ids", F.pmod(F.col("at") - 1 + F.size("ids"), F.size("ids"))).alias("previous_id"))
 
 
 def risk_rollup(rows: DataFrame) -> DataFrame:

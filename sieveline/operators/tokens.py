@@ -47,7 +47,11 @@ TOKENS = {
 
 
 def _ascii_bounds(pattern: str) -> str:
-    """Word bounds between ASCII word characters, independent of the Java version."""
+    """Word bounds between ASCII word characters, independent of the Java version; loops over
+    characters and escapes made possessive, which matches the same and does not recurse."""
+    # an unclosed verbatim string ends at its last quote, which takes going back
+    pattern = pattern.replace('@"(?:[^"]|"")*"', '@"(?:[^"]|"")*+"|@"[^"]*+(?:""[^"]*+)*"')
+    pattern = pattern.replace(r"\\.)*", r"\\.)*+").replace(r"|\\.)+/", r"|\\.)++/")
     if pattern.startswith(r"\b"):
         pattern = r"(?<![A-Za-z0-9_])" + pattern[2:]
     if pattern.endswith(r"\b"):
@@ -64,7 +68,7 @@ def token_pattern(language: str) -> str:
 def _classify(language: str, token: Column) -> Column:
     out = None
     for kind, pattern in TOKENS[language]:
-        bare = pattern.removeprefix(r"\b").removesuffix(r"\b")
+        bare = _ascii_bounds(pattern.removeprefix(r"\b").removesuffix(r"\b"))
         hit = token.rlike(rf"\A(?:{bare})\z")
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out

@@ -76,6 +76,7 @@ def _raw_files(spark, sf):
         F.when(damaged, F.concat(F.lit(b"\xff"), content)).otherwise(content).alias("content"))
 
 
+#: the size limit of the ingest queries; the operators have none unless it is given
 RAW_LIMIT = 8192
 
 
@@ -83,7 +84,7 @@ RAW_LIMIT = 8192
 
 @query
 def ingest_files(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.accepted(_raw_files(spark, sf)).select(
+    return ingest.accepted(_raw_files(spark, sf), RAW_LIMIT).select(
         "file_id", "project_id", "filename", "language", "size_bytes", "line_count", "status",
         F.md5("source").alias("text_md5"))
 
@@ -394,7 +395,7 @@ def report_header(spark, sf):
 
 @query
 def file_report(spark, sf):
-    return reports.report_findings(_findings(spark, sf))
+    return reports.report_findings(scan.local_findings(_files(spark, sf), signals=False))
 
 
 @query
@@ -414,7 +415,7 @@ def rule_coverage(spark, sf):
 
 @query
 def finding_navigation(spark, sf):
-    return reports.navigation(_findings(spark, sf))
+    return reports.navigation(scan.local_findings(_files(spark, sf), signals=False))
 
 
 @query

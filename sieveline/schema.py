@@ -13,8 +13,6 @@ EXTENSIONS = {".py": "python", ".java": "java", ".cs": "csharp",
               ".js": "javascript", ".mjs": "javascript"}
 
 # Limits.
-MAX_FILE_BYTES = 1_048_576
-MAX_EXTERNAL_FINDINGS = 50
 MAX_SNIPPET = 500
 MAX_ERROR_TEXT = 2000
 

@@ -41,8 +41,12 @@ def test_lines_and_snippets(spark, make_files):
 
 
 def test_cap_keeps_feed_order(spark, make_files):
-    rows = java(spark, make_files, *[("ERROR" if n % 2 else "NOTE", "1", f"m{n}", "") for n in range(199)])
+    feed = java_feed(spark, *[("ERROR" if n % 2 else "NOTE", "1", f"m{n}", "") for n in range(199)])
+    files = make_files(("java", SOURCE))
+    rows = diagnostics.java_findings(feed, files, limit=50).orderBy("ordinal").collect()
     assert [r.description for r in rows] == [f"m{n}" for n in range(1, 100, 2)]
+    assert diagnostics.java_findings(feed, files).count() == 99
+    assert [tuple(r) for r in diagnostics.beyond_limit(diagnostics.java_items(feed), 50).collect()] == [(0, "java", 49)]
 
 
 def test_csharp_response(spark, make_files):
@@ -65,10 +69,16 @@ def test_csharp_response(spark, make_files):
 def test_diagnostics_come_first_under_the_shared_cap(spark, make_files):
     responses = [{"diagnostics": [{"severity": "error", "id": f"C{n}", "line": 1}],
                   "findings": [{"rule_id": f"S{n}", "title": "t", "line": 1}]} for n in range(40)]
-    rows = diagnostics.csharp_findings(csharp_feed(spark, *responses), make_files(("csharp", SOURCE))).orderBy("ordinal").collect()
+    rows = diagnostics.csharp_findings(csharp_feed(spark, *responses), make_files(("csharp", SOURCE)), limit=50).orderBy("ordinal").collect()
     assert [r.rule_id for r in rows] == [f"CS-ROS-C{n}" for n in range(40)] + [f"S{n}" for n in range(10)]
 
 
+def test_long_rule_names_stay_apart(spark, make_files):
+    response = {"findings": [{"rule_id": "R" * 120 + end, "title": "t", "line": 1} for end in "ab"]}
+    rows = diagnostics.csharp_findings(csharp_feed(spark, response), make_files(("csharp", SOURCE))).collect()
+    assert len({r.rule_id for r in rows}) == 2
+
+
 def test_broken_feed_changes_nothing(spark, make_files):
     files = make_files(("csharp", "new BinaryFormatter();"))
     local = scan.scan_files(files)
@@ -94,6 +104,6 @@ def test_counts(spark):
 
 
 def test_cap_is_applied_before_the_shuffle(spark, make_files):
-    plan = diagnostics.java_findings(java_feed(spark, ("ERROR", "1", "", "")), make_files(("java", SOURCE))) \
+    plan = diagnostics.java_findings(java_feed(spark, ("ERROR", "1", "", "")), make_files(("java", SOURCE)), limit=50) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -39,10 +39,19 @@ def test_links(spark):
         "/js/a.js": ("http://s.org/js/a.js", "asset"), "/one.html": ("http://s.org/one.html", "page"),
         "two&x": ("http://s.org/d/two&x", "asset"), "/p.jpg": ("http://s.org/p.jpg", "asset"),
         "/q.jpg": ("http://s.org/q.jpg", "asset"), "https://else.org/": ("https://else.org/", "external")}
-    strict = pages.broken_links(frame).collect()
+    strict = pages.broken_links(frame, strict=True).collect()
     assert {(r.page_id, r.problem) for r in strict} == {(1, "BROKEN"), (2, "PARSE ERROR")}
     assert not [r for r in strict if r.target.endswith("one.html") and r.problem == "BROKEN"]
-    assert {r.problem for r in pages.broken_links(frame, strict=False).collect()} == {"BROKEN"}
+    both = pages.broken_links(frame).collect()
+    assert {r.problem for r in both} == {"BROKEN", "PARSE ERROR"} and len(both) > len(strict)
+
+
+def test_very_long_attributes(spark):
+    long = "v" * 1_000_000
+    html = f"<a title={long} href='/x.html'>x</a><!-- {long} --><a href='/{long}'>y</a>"
+    frame = spark.createDataFrame([(1, "http://s.org/", html)], "page_id long, url string, html string")
+    assert {len(r.link) for r in pages.page_links(frame).collect()} == {7, 1_000_001}
+    assert pages.broken_links(frame).count() == 2 and pages.page_weight(frame).count() == 1
 
 
 def test_weight(spark):

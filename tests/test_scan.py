@@ -176,6 +176,36 @@ def test_complexity(make_files):
     assert got == want and want
 
 
+def test_complexity_of_awkward_files(make_files):
+    """Tabs, remarks, literals, inner functions, loops over async iterators; compared with the parser."""
+    body = "".join(f"\tif a == {n} and b or c:\n\t\tpass\n" for n in range(4))
+    sources = [
+        "def\tf(a, b, c):\n" + body, "def f(a, b, c):\n" + body.replace("\n", "\r\n"),
+        'def f(a):\n    """\n' + "if and or for while\n" * 9 + '"""\n    x = "if and or" # if and or\n    return 1\n',
+        "class C:\n    def f(self):\n        def g(x):\n" + "".join(f"            if x == {n}: return {n}\n" for n in range(11)) + "        return g\n\n    def h(self): pass\n",
+        "async def f(x):\n    async for i in x:\n        pass\n" + "".join("    y = [i async for i in x if i]\n" for _ in range(10)),
+        "def f(x):\n" + "    with x: assert x\n" * 3 + "    while x:\n        try:\n            pass\n        except ValueError:\n            pass\n    return (x and\n        x) or [i for i in x for j in i if j]\n"]
+    got = {(r.file_id, r.line_start): r.confidence_score
+           for r in scan.scan_files(make_files(*[("python", s) for s in sources])).filter("rule_id = 'PY-CMPLX-001'").collect()}
+    want = {(n, node.lineno): min(0.95, 0.7 + (_paths(node) - 10) * 0.02) for n, source in enumerate(sources)
+            for node in ast.walk(ast.parse(source)) if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and _paths(node) > 10}
+    assert got == want and len(want) >= 5
+
+
+def test_very_long_literals(make_files):
+    long = "x\\n" * 250_000
+    rows = make_files(("csharp", f'class A {{ string s = "{long}"; string t = @"{"y" * 500_000}""z"; /* {long} */ }}'),
+                      ("python", f'a = "{long}"\nb = f\'{long}\' # {long}'), ("javascript", f"a = `{long}`; b = /{'z' * 300_000}/g"),
+                      ("java", f'String s = "{long}"; // {long}'), ("csharp", '@"open ""quote"" and on'))
+    from sieveline.operators import tokens
+    counts = {(r.language, r.kind): r.tokens for r in tokens.token_counts(rows).collect()}
+    assert counts["csharp", "string"] == 3 and counts["python", "string"] == 2
+    assert counts["javascript", "string"] == counts["javascript", "regex"] == counts["java", "string"] == 1
+    first = structure.csharp_metrics(rows).orderBy("file_id").collect()[0]
+    assert (first.class_count, first.max_nesting_depth) == (1, 0)
+    assert scan.scan_files(rows).count() >= 0
+
+
 def test_metrics(make_files):
     source = "# top\nimport os\n\ndef f():\n    return 1"
     row = structure.file_metrics(make_files(("python", source), ("python", ""), ("cobol", "a\n\nbcd\n"))).orderBy("file_id").collect()
