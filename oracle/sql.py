@@ -138,6 +138,7 @@ CTE = {
     "lined": (("files",), "lined", f"""SELECT file_id, language, CASE WHEN parts[-1] = '' THEN list_slice(parts, 1, len(parts) - 1) ELSE parts END AS lines
   FROM (SELECT file_id, language, regexp_split_to_array(source, '{BREAK}') AS parts FROM files)"""),
     "lines": (("lined",), "lines", "SELECT file_id, language, unnest(lines) AS line, unnest(range(1, len(lines) + 1))::INT AS line_no FROM lined"),
+    "fed_lines": (("files",), "fed_lines", "SELECT file_id, language, unnest(l) AS line, unnest(range(1, len(l) + 1))::INT AS line_no FROM (SELECT file_id, language, string_split(source, chr(10)) AS l FROM files)"),
     "rules": ((), f"rules({RULE_COLUMNS})", rule_rows(PACKS)),
     "line_hits": (("lines",), "line_hits", hits(PACKS)),
     "line_found": (("line_hits", "rules"), "line_found",
@@ -289,8 +290,8 @@ METRICS = f"""SELECT f.file_id, coalesce(c.n, 0)::INT AS line_count, coalesce(bl
   FROM lines GROUP BY file_id) c USING (file_id)"""
 
 SERVICE_SQL = sql(f"""SELECT h.file_id, r.rule_id, h.line_no::INT AS line_start, r.title, r.severity, r.category, r.confidence AS confidence_score,
-  substring({snippet('h.line')}, 1, 200) AS snippet FROM ({hits(SERVICE_PACK)}) h
-  JOIN ({rule_rows(SERVICE_PACK)}) r({RULE_COLUMNS}) ON h.ordinal = r.ordinal""", "lines")
+  substring(regexp_replace(h.line, '^\\s+', ''), 1, 200) AS snippet FROM ({hits(SERVICE_PACK).replace("FROM lines", "FROM fed_lines")}) h
+  JOIN ({rule_rows(SERVICE_PACK)}) r({RULE_COLUMNS}) ON h.ordinal = r.ordinal""", "fed_lines")
 
 RULE_COVERAGE = """SELECT k.rule_id, k.title, k.severity, coalesce(u.findings, 0) AS findings, coalesce(u.files, 0) AS files
   FROM (SELECT rule_id, min(title) AS title, min(severity) AS severity FROM rules GROUP BY rule_id) k
@@ -420,7 +421,6 @@ ORACLE = {
   FROM (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN lag(epoch_us(ts)) OVER w IS NULL OR epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 THEN 1 ELSE 0 END AS opens
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))) GROUP BY user_id, session""",
     "stream_findings": sql("SELECT file_id, rule_id, line_start, severity FROM findings", "findings"),
-    "stream_rate_windows": """SELECT epoch(w)::BIGINT AS window_start, user_id, count(*) AS requests FROM (SELECT user_id, date_trunc('hour', ts) AS w FROM events)
-  WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY w, user_id""",
+    "stream_rate_windows": "SELECT epoch(w)::BIGINT AS window_start, user_id, count(*) AS requests FROM (SELECT user_id, date_trunc('hour', ts) AS w FROM events) GROUP BY w, user_id",
     "stream_stuck_files": sql("""SELECT file_id, epoch_us(ts) // 1000 AS since_ms FROM last_status WHERE status = 'analyzing' AND epoch_us(ts) // 1000 + 120000 < (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000""", "last_status"),
 }

@@ -169,6 +169,20 @@ def finding_rows(found: DataFrame, packs: dict = PACKS, keep=(), outer: bool = F
     return describe(rows.select(*columns, "f.*"), packs, keep)
 
 
+#: characters that part lines elsewhere, but not for the service
+_OTHER_BREAKS = "[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+SERVICE_SNIPPET = 200
+
+
+def service_findings(files: DataFrame, packs: dict) -> DataFrame:
+    """Findings as the service reports them: lines end at line feeds alone, and a snippet is the
+    line without leading white space, up to 200 characters."""
+    flat = files.withColumn("original", F.col("source")).withColumn("source", F.regexp_replace("source", _OTHER_BREAKS, " "))
+    line = F.get(F.split("original", "\n"), F.col("line_start") - 1)
+    return scan_files(flat, packs, structural=False, keep=("original",)).withColumn(
+        "snippet", F.substring(F.regexp_replace(line, r"(?U)^\s+", ""), 1, SERVICE_SNIPPET))
+
+
 def describe(rows: DataFrame, packs: dict = PACKS, keep=()) -> DataFrame:
     """Add the rule's wording and references to findings that carry only its id."""
     rules = rule_table(rows.sparkSession, packs).select(

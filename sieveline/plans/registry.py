@@ -152,9 +152,8 @@ def rule_join_findings(spark, sf):
 @query
 def service_findings(spark, sf):
     """The rule pack of the C# service, whose ids partly mean something else."""
-    return _findings(spark, sf, packs=SERVICE_PACK, structural=False).select(
-        "file_id", "rule_id", "line_start", "title", "severity", "category", "confidence_score",
-        F.substring("code_snippet", 1, 200).alias("snippet"))
+    return scan.service_findings(_files(spark, sf), SERVICE_PACK).select(
+        "file_id", "rule_id", "line_start", "title", "severity", "category", "confidence_score", "snippet")
 
 
 @query
@@ -609,20 +608,20 @@ def _stream(spark, sf, table):
 @query
 def stream_findings(spark, sf):
     """The corpus scanned as a stream; the resulting finding table."""
-    from sieveline.sources.sinks import read_table
+    from sieveline.sources.sinks import read_latest
     folder = _run_folder(spark, "stream-findings")
     documents = _stream(spark, sf, "documents").select("doc_id", "source", "text")
     arriving = corpus.files_of(documents)
     stream_scan.scan_stream(arriving, f"{folder}/findings", f"{folder}/checkpoint").awaitTermination()
-    return read_table(spark, f"{folder}/findings").select("file_id", "rule_id", "line_start", "severity")
+    return read_latest(spark, f"{folder}/findings").select("file_id", "rule_id", "line_start", "severity")
 
 
 @query
 def stream_rate_windows(spark, sf):
     folder = _run_folder(spark, "stream-rates")
     windows = rates.rate_windows(_stream(spark, sf, "events"), width="1 hour")
-    rates.to_table(windows, f"{folder}/windows", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.schema(windows.schema).parquet(f"{folder}/windows")
+    rates.counts_to_table(windows, f"{folder}/windows", f"{folder}/checkpoint").awaitTermination()
+    return rates.latest_counts(spark, f"{folder}/windows")
 
 
 @query

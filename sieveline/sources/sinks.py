@@ -1,64 +1,42 @@
 """Writing results.
 
-Tables are partitioned by a bucket of the file key.  A run overwrites exactly the buckets
-it touched: within a bucket the old rows of files outside the run are carried over, so a
-bucket is replaced whole or not at all and a repeated run gives the same table.
+A table grows by runs.  A run writes its rows to a folder of its own and then, as the mark
+that it is complete, the files it scanned; nothing written before is touched.  Reading takes
+for every file the rows of its last complete run.  So a run costs what it scanned, a failed
+run changes nothing, and a repeated run replaces only itself.  ``compact`` rewrites the
+latest state as one run, apart from the runs.
 """
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BUCKETS = 256
 
+def append_run(new: DataFrame, scanned: DataFrame, path: str, run: int) -> None:
+    """Add the rows of one run.  ``scanned`` names its files (``file_id``), also those without
+    rows now; a higher ``run`` wins."""
+    new.write.mode("overwrite").parquet(f"{path}/rows/run={run}")
+    scanned.select("file_id").distinct().write.mode("overwrite").parquet(f"{path}/files/run={run}")
 
-def bucketed(table: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    return table.withColumn("file_bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
 
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """For every file the rows of its last complete run."""
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{path}/rows")
+    last = spark.read.parquet(f"{path}/files").groupBy("file_id").agg(F.max("run").alias("run"))
+    return rows.join(last, ["file_id", "run"], "left_semi").drop("run")
 
-def _write(rows: DataFrame, path: str) -> None:
-    # rebalance: one output file per bucket of usual size, several for a large one
-    rows.hint("rebalance", "file_bucket").write.mode("overwrite") \
-        .option("partitionOverwriteMode", "dynamic").partitionBy("file_bucket").parquet(path)
 
-
-def write_table(table: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Overwrite the buckets present in ``table``; others stay."""
-    _write(bucketed(table, buckets), path)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a table, without the markers that keep an emptied bucket in place."""
-    return spark.read.parquet(path).filter(F.col("file_id").isNotNull()).drop("file_bucket")
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
+def next_run(spark: SparkSession, path: str) -> int:
+    """The number behind the last complete run; 0 for a new table."""
     try:
-        spark.read.parquet(path)
-        return True
+        return 1 + spark.read.parquet(f"{path}/files").agg(F.max("run")).first()[0]
     except AnalysisException:
-        return False
-
+        return 0
 
-def replace_files(spark: SparkSession, new: DataFrame, scanned: DataFrame, path: str,
-                  buckets: int = BUCKETS) -> None:
-    """Put the rows of the ``scanned`` files in place of their old ones.
 
-    ``scanned`` names the files of the run (``file_id``), also those without rows now.  The
-    next state of the touched buckets is written beside the table first and then moved in,
-    so the table is never read and overwritten by the same job.  Every touched bucket gets
-    a marker row: a bucket that became empty is overwritten too.
-    """
-    keys = bucketed(scanned.select("file_id").distinct(), buckets)
-    touched = keys.select("file_bucket").distinct()
-    old = spark.read.parquet(path).filter(F.col("file_id").isNotNull())
-    kept = old.join(touched, "file_bucket", "left_semi").join(keys.select("file_id"), "file_id", "left_anti")
-    columns = [c for c in old.columns if c != "file_bucket"]
-    rows = kept.select(*columns, "file_bucket") \
-        .unionByName(bucketed(new.select(*columns), buckets)) \
-        .unionByName(touched, allowMissingColumns=True)
-    staged = path.rstrip("/") + "_staged"
-    rows.write.mode("overwrite").parquet(staged)
-    _write(spark.read.parquet(staged), path)
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """The latest state of a table as a new table of one run."""
+    files = spark.read.parquet(f"{path}/files").select("file_id")
+    append_run(read_latest(spark, path), files, to, 0)
 
 
 def write_report(report: DataFrame, path: str, fmt: str = "json") -> None:

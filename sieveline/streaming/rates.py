@@ -1,6 +1,6 @@
 """Request rates of users as a stream of windows."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sieveline.operators.activity import USER_PER_MINUTE
@@ -27,6 +27,21 @@ def over_limit(windows: DataFrame, limit: int = USER_PER_MINUTE) -> DataFrame:
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished windows to a table; runs over what is there and stops."""
+    """Append finished rows to a table; runs over what is there and stops."""
     return (stream.writeStream.outputMode("append").format("parquet").option("path", path)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def counts_to_table(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write every count whenever it changes, so windows still open are there too.  A batch has a
+    folder of its own and replaces only itself when repeated."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (windows.writeStream.outputMode("update").foreachBatch(put)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The last count of every user and window."""
+    return spark.read.parquet(path).groupBy("window_start", "user_id").agg(F.max_by("requests", "batch").alias("requests"))

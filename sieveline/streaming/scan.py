@@ -1,11 +1,11 @@
 """Scanning as a stream: new files in, findings and scores out."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from sieveline.plans.analysis import analyze, findings_of
 from sieveline.rules import PACKS
-from sieveline.sources.sinks import BUCKETS, replace_files, table_exists, write_table
+from sieveline.sources.sinks import append_run
 
 
 def without_repeats(files: DataFrame, key: str = "file_id", ts: str = "uploaded_at", delay: str = "1 hour") -> DataFrame:
@@ -15,24 +15,13 @@ def without_repeats(files: DataFrame, key: str = "file_id", ts: str = "uploaded_
 
 def scan_stream(files: DataFrame, findings_path: str, checkpoint: str, packs: dict = PACKS,
                 trigger: dict = None) -> StreamingQuery:
-    """Scan every arriving file and replace its findings in the table.
+    """Scan every arriving file and append its findings as a run of the table.
 
-    A repeated batch overwrites the same buckets with the same rows, so a restart after a
-    lost executor or driver leaves no duplicates.
+    The batch number is the run, so a batch repeated after a lost executor or driver replaces
+    only itself, and ``sinks.read_latest`` shows each file as last scanned.
     """
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        analyzed = analyze(batch, packs)
-        new = findings_of(analyzed, packs)
-        if table_exists(spark, findings_path):
-            replace_files(spark, new, batch.select("file_id"), findings_path, BUCKETS)
-        else:
-            write_table(new, findings_path, BUCKETS)
+        append_run(findings_of(analyze(batch, packs), packs), batch, findings_path, batch_id)
 
     writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def arrival_counts(files: DataFrame, ts: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    return files.withWatermark(ts, delay).groupBy(F.window(ts, width), "language") \
-        .agg(F.count(F.lit(1)).alias("files"))

@@ -6,7 +6,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sieveline.operators.activity import STUCK_SECONDS
 
-_STATE = "status string, since_ms long"
+_STATE = "status string, since_ms long, event_id long"
 _OUT = "file_id long, since_ms long"
 
 
@@ -14,27 +14,28 @@ def stuck_stream(events: DataFrame, delay: str = "10 minutes", seconds: int = ST
     """Emit a file once its last status has been ``analyzing`` for ``seconds`` of event time
     without a newer one.
 
-    The state of a file is its last status and time; its rows arrive in batches and are never
-    held together.  Late rows beyond the watermark are dropped.
+    The state of a file is its last status, its time and event; of equal times the higher
+    ``event_id`` counts, as in the batch form.  Rows arrive in batches and are never held
+    together.  Late rows beyond the watermark are dropped.
     """
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
     def follow(key, frames, state):
         if state.hasTimedOut:
-            status, since = state.get
+            status, since, _ = state.get
             state.remove()
             if status == "analyzing":
                 yield pd.DataFrame({"file_id": [key[0]], "since_ms": [since]})
             return
-        status, since = state.get if state.exists else (None, -1)
+        status, since, event = state.get if state.exists else (None, -1, -1)
         for frame in frames:
-            row = frame.loc[frame["ms"].idxmax()]
-            if int(row["ms"]) >= since:
-                status, since = row["status"], int(row["ms"])
-        state.update((status, since))
+            row = frame.sort_values(["ms", "event_id"]).iloc[-1]
+            if (int(row["ms"]), int(row["event_id"])) >= (since, event):
+                status, since, event = row["status"], int(row["ms"]), int(row["event_id"])
+        state.update((status, since, event))
         due = since + seconds * 1000
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
-    rows = timed.select("file_id", "status", "ts", F.unix_millis("ts").alias("ms"))
+    rows = timed.select("file_id", "event_id", "status", "ts", F.unix_millis("ts").alias("ms"))
     return rows.groupBy("file_id").applyInPandasWithState(
         follow, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

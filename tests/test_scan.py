@@ -230,3 +230,11 @@ namespace A {
     assert (row[0].class_count, row[0].method_count, row[0].property_count, row[0].namespace_count,
             row[0].using_count, row[0].comment_count, row[0].max_nesting_depth,
             row[0].has_async_methods, row[0].has_unsafe_blocks) == (1, 2, 1, 1, 1, 1, 2, True, False)
+
+
+def test_service_lines_and_snippets(make_files):
+    from sieveline.rules import SERVICE_PACK
+    source = "a\x0bb\rc\n\t  new BinaryFormatter();\x0c " + "x" * 300 + "  \nend"
+    rows = scan.service_findings(make_files(("csharp", source)), SERVICE_PACK).collect()
+    assert {r.line_start for r in rows} == {2}
+    assert all(r.snippet == ("new BinaryFormatter();\x0c " + "x" * 300)[:200] for r in rows)

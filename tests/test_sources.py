@@ -77,22 +77,42 @@ def test_keys():
             vault.check_key(bad)
 
 
-def test_replace_files_in_a_table(spark, make_files, tmp_path):
-    path = str(tmp_path / "findings")
+def test_runs_of_a_table(spark, make_files, tmp_path):
+    import os
+    path = str(tmp_path / "t")
     files = make_files(*[("python", "eval(x)\n" * (n + 1)) for n in range(6)])
-    sinks.write_table(scan_files(files), path, buckets=4)
-    assert sinks.read_table(spark, path).count() == 21
+    assert sinks.next_run(spark, path) == 0
+    sinks.append_run(scan_files(files), files, path, 0)
+    assert sinks.read_latest(spark, path).count() == 21 and sinks.next_run(spark, path) == 1
+    first = {f: os.stat(f).st_mtime_ns for d, _, fs in os.walk(f"{path}/rows/run=0") for f in (os.path.join(d, x) for x in fs)}
     changed = spark.createDataFrame([(1, "p", "f1", "python", "exec(x)"), (2, "p", "f2", "python", "clean")],
                                     "file_id long, project_id string, filename string, language string, source string")
+    # a run that fails before its mark changes nothing
+    scan_files(changed).write.parquet(f"{path}/rows/run=1")
+    assert sinks.read_latest(spark, path).count() == 21
     for _ in range(2):   # a repeated run leaves the same table
-        sinks.replace_files(spark, scan_files(changed), changed, path, buckets=4)
-        rows = sinks.read_table(spark, path).groupBy("file_id").agg(F.count("*").alias("n"), F.min("rule_id").alias("r"))
+        sinks.append_run(scan_files(changed), changed, path, 1)
+        rows = sinks.read_latest(spark, path).groupBy("file_id").agg(F.count("*").alias("n"), F.min("rule_id").alias("r"))
         assert {r.file_id: (r.n, r.r) for r in rows.collect()} == {
             0: (1, "PY-SEC-003"), 1: (1, "PY-SEC-003b"), 3: (4, "PY-SEC-003"), 4: (5, "PY-SEC-003"), 5: (6, "PY-SEC-003")}
+    assert first == {f: os.stat(f).st_mtime_ns for f in first}
+    sinks.compact(spark, path, str(tmp_path / "c"))
+    same = [sorted(map(str, sinks.read_latest(spark, p).collect())) for p in (path, str(tmp_path / "c"))]
+    assert same[0] == same[1]
     # a table that becomes empty
     nothing = files.withColumn("source", F.lit("clean"))
-    sinks.replace_files(spark, scan_files(nothing), nothing, path, buckets=4)
-    assert sinks.read_table(spark, path).count() == 0
+    sinks.append_run(scan_files(nothing), nothing, path, 2)
+    assert sinks.read_latest(spark, path).count() == 0
+
+
+def test_reports_are_written(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a,b"), (2, None)], "n long, t string")
+    for fmt in ("json", "csv", "parquet"):
+        sinks.write_report(frame, str(tmp_path / fmt), fmt)
+        back = spark.read.schema(frame.schema).option("header", "true").format(fmt).load(str(tmp_path / fmt))
+        assert sorted(map(tuple, back.collect())) == [(1, "a,b"), (2, None)]
+    with pytest.raises(ValueError):
+        sinks.write_report(frame, str(tmp_path / "x"), "xml")
 
 
 def test_runnable_and_replacement(spark, make_files):
@@ -113,7 +133,7 @@ def test_stream_scan_equals_batch(spark, make_files, tmp_path):
     stream_scan.scan_stream(stream(), out, mark).awaitTermination()
     arrive("b", (2, "p", "b.js", "javascript", "console.log(x)"), (3, "p", "c.py", "python", "print(x)"))
     stream_scan.scan_stream(stream(), out, mark).awaitTermination()
-    got = sorted((r.file_id, r.rule_id) for r in sinks.read_table(spark, out).collect())
+    got = sorted((r.file_id, r.rule_id) for r in sinks.read_latest(spark, out).collect())
     assert got == [(1, "PY-SEC-003"), (1, "PY-SEC-003b"), (2, "JS-MAINT-001"), (3, "PY-MAINT-004")]
 
 
@@ -127,6 +147,8 @@ def test_stream_of_repeats_and_windows(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "w"))
     assert sorted((r.user_id, r.requests) for r in out.collect()) == [(1, 1), (1, 2)]
     assert [r.requests for r in rates.over_limit(out, 1).collect()] == [2]
+    rates.counts_to_table(rates.rate_windows(stream), str(tmp_path / "u"), str(tmp_path / "um")).awaitTermination()
+    assert sorted((r.user_id, r.requests) for r in rates.latest_counts(spark, str(tmp_path / "u")).collect()) == [(1, 1), (1, 2), (2, 1)]
     once = stream_scan.without_repeats(rates.timed(stream), key="user_id", ts="ts")
     rates.to_table(once, str(tmp_path / "d"), str(tmp_path / "dm")).awaitTermination()
     assert sorted(r.user_id for r in spark.read.parquet(str(tmp_path / "d")).collect()) == [1, 2]
@@ -134,7 +156,8 @@ def test_stream_of_repeats_and_windows(spark, tmp_path):
 
 def test_stuck_files_as_stream_and_batch(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00", 1, "analyzing"), (2, "2024-01-01 00:00:00", 2, "analyzing"),
-            (2, "2024-01-01 00:01:00", 3, "complete"), (3, "2024-01-01 01:00:00", 4, "analyzing")]
+            (2, "2024-01-01 00:01:00", 3, "complete"), (3, "2024-01-01 01:00:00", 4, "analyzing"),
+            (5, "2024-01-01 00:00:00", 9, "complete"), (5, "2024-01-01 00:00:00", 8, "analyzing")]
     frame = spark.createDataFrame(rows, "file_id long, ts string, event_id long, status string").withColumn("ts", F.col("ts").cast("timestamp"))
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     stuck = stream_status.stuck_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")))
