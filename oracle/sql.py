@@ -361,6 +361,10 @@ ORACLE = {
     "file_detail": sql("""SELECT f.file_id, f.filename, CASE f.language WHEN 'python' THEN 'Python' WHEN 'java' THEN 'Java' WHEN 'csharp' THEN 'C#' ELSE 'JavaScript' END AS language_display, f.status,
   v.finding_id, v.rule_id, CASE WHEN v.line_end IS NOT NULL AND v.line_end <> v.line_start THEN v.line_start || '–' || v.line_end ELSE v.line_start::VARCHAR END AS line_range, v.severity
   FROM file_list f LEFT JOIN findings v USING (file_id)""", "file_list", "findings"),
+    "file_lookup": sql("""SELECT f.file_id, f.filename, CASE f.language WHEN 'python' THEN 'Python' WHEN 'java' THEN 'Java' WHEN 'csharp' THEN 'C#' ELSE 'JavaScript' END AS language_display, f.status,
+  v.finding_id, v.rule_id, CASE WHEN v.line_end IS NOT NULL AND v.line_end <> v.line_start THEN v.line_start || '–' || v.line_end ELSE v.line_start::VARCHAR END AS line_range, v.severity
+  FROM file_list f LEFT JOIN findings v USING (file_id) WHERE file_id = 8""", "file_list", "findings"),
+    "stored_order": sql("SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY severity DESC, line_start, ordinal) AS position, rule_id, line_start, severity FROM findings", "findings"),
     "project_tree": sql("""SELECT p.project_id, p.name, f.file_id, f.filename, v.finding_id, v.rule_id, v.line_start, t.top_feature_name FROM projects p LEFT JOIN file_list f USING (project_id)
   LEFT JOIN findings v USING (file_id) LEFT JOIN (SELECT finding_id, top_feature_name FROM tops JOIN grave USING (finding_id)) t USING (finding_id)""", "projects", "file_list", "findings", "tops", "grave"),
     "project_listing": sql("""SELECT p.*, coalesce(f.files, 0) AS files, (SELECT count(*) FROM projects) AS count FROM projects p

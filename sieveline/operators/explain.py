@@ -15,6 +15,7 @@ from sieveline.functions.scoring import exact_round
 from sieveline.functions.text import humanise, quote
 from sieveline.operators.lines import computed_once
 from sieveline.rules.features import DISPLAY, FEATURE_SIGNAL, WEIGHTS
+from sieveline.schema import METHODS
 
 # The explanation model.
 BASE_VALUE = 0.25
@@ -49,29 +50,34 @@ def _draw_udf(salt: int, spread: float):
 
 
 def _map_sql(table: dict) -> str:
+    if not table:
+        return "CAST(map() AS map<string, string>)"
     pairs = (f"{quote(k)}, {quote(v) if isinstance(v, str) else f'{v}D'}" for k, v in table.items())
     return f"map({', '.join(pairs)})"
 
 
-def _features_sql() -> str:
+def _features_sql(weights: dict, wording: dict, detectors: dict) -> str:
     """SQL text over ``names`` and ``signals``: every feature with its strength in the
     surroundings, its weight and its wording."""
     cases = []
-    for feature, signal in FEATURE_SIGNAL.items():
+    for feature, signal in detectors.items():
         value = f"1D - signals.{signal[1:]}" if signal.startswith("!") else f"signals.{signal}"
         cases.append(f"WHEN {quote(feature)} THEN {value}")
     return (f"transform(names, (n, i) -> named_struct('name', n, "
-            f"'strength', CASE n {' '.join(cases)} ELSE 1D END, "
-            f"'weight', coalesce(try_element_at({_map_sql(WEIGHTS)}, n), 0D), "
-            f"'display', try_element_at({_map_sql(DISPLAY)}, n)))")
+            f"'strength', {'CASE n ' + ' '.join(cases) + ' ELSE 1D END' if cases else '1D'}, "
+            f"'weight', coalesce(try_element_at({_map_sql(weights)}, n), 0D), "
+            f"'display', try_element_at({_map_sql(wording)}, n)))")
 
 
-def attribute(findings: DataFrame, noise: str = "none") -> DataFrame:
+def attribute(findings: DataFrame, noise: str = "none", weights: dict = WEIGHTS, wording: dict = DISPLAY,
+              detectors: dict = FEATURE_SIGNAL) -> DataFrame:
     """Add ``base_value``, ``prediction`` and ``features``, the latter sorted by size:
     ``array<struct<name, value, shap_value, display>>``.
 
     ``noise="seeded"`` adds the small reproducible noise drawn per rule and line;
-    ``"none"`` leaves the closed form.
+    ``"none"`` leaves the closed form.  ``weights`` and ``wording`` belong to features;
+    ``detectors`` names for a feature the signal that gives its strength, ``!`` in front
+    turning it round, and features without one have full strength.
     """
     if noise not in ("none", "seeded"):
         raise ValueError(noise)
@@ -81,7 +87,7 @@ def attribute(findings: DataFrame, noise: str = "none") -> DataFrame:
         base = exact_round(F.lit(BASE_VALUE) + F.col("draw.u"), 3)
     else:
         base = F.lit(BASE_VALUE)
-    rows = rows.withColumn("base_value", base).withColumn("known", F.expr(_features_sql()))
+    rows = rows.withColumn("base_value", base).withColumn("known", F.expr(_features_sql(weights, wording, detectors)))
 
     def rated(f, i):
         value = f["weight"] * (F.lit(0.7) + f["strength"] * F.lit(0.3))
@@ -205,10 +211,22 @@ def read_explanation(document: Column) -> Column:
 
 def explain(findings: DataFrame, noise: str = "none", method: str = "shap") -> DataFrame:
     """The whole explanation of findings that carry ``signals``.  ``method="rule"`` keeps
-    to the rule itself: no features, no local weights."""
+    to the rule itself: no features, no local weights; ``"lime"`` tells from the local weights,
+    ``"shap"`` from the attribution."""
+    if method not in METHODS:
+        raise ValueError(method)
     if method == "rule":
         findings = findings.withColumn("shap_features", F.array().cast("array<string>"))
     out = attribute(findings, noise)
     if method != "rule":
         out = localise(out, noise)
+    if method == "lime":
+        local = F.transform("lime.features", lambda f: F.struct(f["name"].alias("name"), f["weight"].alias("shap_value"),
+                                                                f["display"].alias("display")))
+        told = summarise(out.withColumn("features", by_size(local, "shap_value")))
+        names = [c for c in told.columns if c != "features"]
+        out = told.select(*names, F.transform("features", lambda f: F.struct(
+            f["name"].alias("name"), F.lit(None).cast("int").alias("value"), f["shap_value"].alias("shap_value"),
+            f["display"].alias("display"))).alias("features"))
+        return out.withColumn("method", F.lit(method))
     return summarise(out).withColumn("method", F.lit(method))

@@ -17,11 +17,25 @@ _HIDDEN = r"(?is)<!--.*?-->|(<script\b[^>]*>).*?</script\s*>|(<style\b[^>]*>).*?
 _TAG = r"""(?is)<(?:a|link|img|script|iframe|source|meta)(?:[\s/](?:[^>"']|"[^"]*"|'[^']*')*+)?>"""
 
 
+def _numeric_entities(value: Column) -> Column:
+    """``&#233;`` and ``&#xe9;`` as characters; numbers that are none stay as they are."""
+    codes = F.array_distinct(F.regexp_extract_all(value, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
+
+    def resolve(text, code):
+        number = F.when(F.lower(F.substring(code, 1, 1)) == "x", F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        known = ((number > 0) & (number < 0xD800)) | ((number > 0xDFFF) & (number < 0x110000))
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(known, F.replace(text, F.concat(F.lit("&#"), code, F.lit(";")), char)).otherwise(text)
+
+    return F.when(F.contains(value, F.lit("&#")), F.aggregate(codes, value, resolve)).otherwise(value)
+
+
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute, quotes removed and entities resolved; NULL when absent."""
     raw = F.regexp_extract(tag, rf"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
     value = F.regexp_replace(raw, r"""\A["']|["']\z""", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    value = _numeric_entities(value)
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")):
         value = F.replace(value, F.lit(entity), F.lit(char))
     return F.when(raw != "", value)
 

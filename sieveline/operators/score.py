@@ -62,9 +62,7 @@ def file_counts(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def in_text_order(findings: DataFrame) -> DataFrame:
-    """The stored listing order: severity as text, descending, then line."""
-    return findings.orderBy(F.desc("severity"), "line_start", "ordinal")
-
-
-def in_rank_order(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(severity_rank(F.col("severity")), "line_start", "ordinal")
+    """Add ``position``, the place (from 1) inside the file in the stored listing order:
+    severity as text, descending, then line."""
+    order = Window.partitionBy("file_id").orderBy(F.desc("severity"), "line_start", "ordinal")
+    return findings.withColumn("position", F.row_number().over(order))

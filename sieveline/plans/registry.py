@@ -359,6 +359,20 @@ def file_detail(spark, sf):
         "file_id", "filename", "language_display", "status", "finding_id", "rule_id", "line_range", "severity")
 
 
+LOOKED_UP = 8
+
+
+@query
+def file_lookup(spark, sf):
+    return reports.file_detail(_file_list(spark, sf), _findings(spark, sf), LOOKED_UP).select(
+        "file_id", "filename", "language_display", "status", "finding_id", "rule_id", "line_range", "severity")
+
+
+@query
+def stored_order(spark, sf):
+    return score.in_text_order(_findings(spark, sf)).select("file_id", "position", "rule_id", "line_start", "severity")
+
+
 @query
 def project_tree(spark, sf):
     return reports.project_tree(corpus.projects(spark, sf), _file_list(spark, sf), _findings(spark, sf),

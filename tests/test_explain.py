@@ -126,3 +126,17 @@ def test_signals_of_stored_findings(make_files):
     again = signals.signals_for(found.drop("signals"), files)
     key = ["rule_id", "line_start", "signals"]
     assert sorted(map(str, found.select(key).collect())) == sorted(map(str, again.select(key).collect()))
+
+
+def test_own_tables_and_local_method(make_files):
+    rows = scan.scan_files(make_files(("python", "eval(x)")), signals=True)
+    names = rows.first().shap_features
+    own = explain.attribute(rows, weights={names[0]: 0.5}, wording={names[0]: "Mine"}, detectors={}).first()
+    assert [(f.display, f.shap_value) for f in own.features][0] == ("Mine", 0.5)
+    assert all(f.shap_value == 0 for f in own.features[1:])
+    assert explain.attribute(rows, weights={}, wording={}, detectors={names[0]: "!loop"}).first().features[0].shap_value == 0
+    shap, lime = (explain.explain(rows, method=m).first() for m in ("shap", "lime"))
+    assert lime.method == "lime" and [f.name for f in lime.features] == [f.name for f in shap.features]
+    assert [f.shap_value for f in lime.features] == [f.weight for f in lime.lime.features]
+    with pytest.raises(ValueError):
+        explain.explain(rows, method="other")

@@ -46,6 +46,12 @@ def test_links(spark):
     assert {r.problem for r in both} == {"BROKEN", "PARSE ERROR"} and len(both) > len(strict)
 
 
+def test_entities_of_links(spark):
+    html = "<a href='/&#233;&#x1F600;&#xE9;&amp;#233;&#0;&#xD800;&apos;&lt;'>x</a>"
+    frame = spark.createDataFrame([(1, "http://s.org/", html)], "page_id long, url string, html string")
+    assert [r.link for r in pages.page_links(frame).collect()] == ["/\u00e9\U0001f600\u00e9&#233;&#0;&#xD800;'<"]
+
+
 def test_very_long_attributes(spark):
     long = "v" * 1_000_000
     html = f"<a title={long} href='/x.html'>x</a><!-- {long} --><a href='/{long}'>y</a>"
