@@ -131,9 +131,9 @@ def line_of(expr):
 CTE = {
     "templates": ((), "templates(template, language, extension, comment, head)", values(
         [(str(n), q(l), q(e), q(COMMENT[l]), q(t)) for n, (l, e, t) in enumerate(TEMPLATES)])),
-    "files": (("templates",), "files", """SELECT d.doc_id AS file_id, d.source AS project_id, 'f' || d.doc_id || t.extension AS filename, t.language, t.template,
-  t.head || chr(10) || t.comment || replace(d.text, chr(10), chr(10) || t.comment) AS source
-  FROM documents d JOIN templates t ON d.doc_id % """ + str(len(TEMPLATES)) + " = t.template"),
+    "files": (("templates",), "files", """SELECT doc_id AS file_id, source AS project_id, 'f' || doc_id || extension AS filename, language, template,
+  array_to_string(list_concat(list_concat(l[1:length(text) % (len(l) + 1)], [t.head]), l[1 + length(text) % (len(l) + 1):]), chr(10)) AS source
+  FROM (SELECT d.*, t.*, list_transform(string_split(d.text, chr(10)), lambda x: t.comment || x) AS l FROM documents d JOIN templates t ON d.doc_id % """ + str(len(TEMPLATES)) + " = t.template) AS t"),
     "file_list": (("files",), "file_list", f"SELECT file_id, project_id, filename, language, file_id + {UPLOAD_EPOCH} AS uploaded_at, {STATUS} AS status FROM files"),
     "lined": (("files",), "lined", f"""SELECT file_id, language, CASE WHEN parts[-1] = '' THEN list_slice(parts, 1, len(parts) - 1) ELSE parts END AS lines
   FROM (SELECT file_id, language, regexp_split_to_array(source, '{BREAK}') AS parts FROM files)"""),
@@ -171,7 +171,7 @@ CTE = {
     "risk": (("ranked",), "risk", f"SELECT file_id, {rounded('least(sum(' + RISK_WEIGHT.format('severity') + ' * confidence_score * (1.0 / sqrt(rank)) * 0.35::DOUBLE ORDER BY rank), 0.98)', 4)} AS risk_score, "
              "count(*) AS findings, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high FROM ranked GROUP BY file_id"),
     "scored": (("file_list", "risk"), "scored", "SELECT f.*, CASE WHEN status = 'complete' THEN coalesce(r.risk_score, 0.0::DOUBLE) END AS risk_score, coalesce(findings, 0) AS findings, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high FROM file_list f LEFT JOIN risk r USING (file_id)"),
-    "projects": ((), "projects", f"SELECT source AS project_id, 'Project ' || source AS name, 'Documents, mostly ' || max(lang) AS description, min(doc_id) * 86400 + {UPLOAD_EPOCH} AS created_at FROM documents GROUP BY source"),
+    "projects": ((), "projects", f"SELECT source AS project_id, 'Project ' || source AS name, 'Documents, among them ' || max(lang) AS description, min(doc_id) * 86400 + {UPLOAD_EPOCH} AS created_at FROM documents GROUP BY source"),
     "signals": (("findings", "lined"), "signals", "SELECT file_id, rule_id, line_start, finding_id, title, severity, confidence_score, features, "
                 + ", ".join(signal(n) for n in SIGNALS) + """ FROM (SELECT *, lower(line) || ' ' || around AS both_text FROM (
   SELECT f.*, l.lines[f.line_start] AS line, lower(array_to_string(list_slice(l.lines, greatest(f.line_start - 5, 1), least(f.line_start + 4, len(l.lines))), ' ')) AS around

@@ -356,7 +356,11 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def files_of(documents: DataFrame) -> DataFrame:
     """Documents as files: ``file_id, project_id, filename, language, source``.  The 40
-    templates are broadcast."""
+    templates are broadcast.
+
+    The lines of the text become remarks; the template stands behind as many of them as the
+    length of the text says, so that places and surroundings differ from file to file.
+    """
     spark = documents.sparkSession
     numbered = documents.withColumn("template", (F.col("doc_id") % len(TEMPLATES)).cast("int"))
     joined = numbered.join(F.broadcast(templates(spark)), "template")
@@ -364,8 +368,9 @@ def files_of(documents: DataFrame) -> DataFrame:
         F.col("doc_id").alias("file_id"), F.col("source").alias("project_id"),
         F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.col("extension")).alias("filename"),
         "language",
-        F.concat("head", F.lit("\n"), "comment",
-                 F.replace(F.col("text"), F.lit("\n"), F.concat(F.lit("\n"), F.col("comment")))).alias("source"))
+        F.expr("transform(array(transform(split(text, '\\n'), x -> concat(comment, x))), l -> array_join(concat("
+               "slice(l, 1, length(text) % (size(l) + 1)), array(head), "
+               "slice(l, 1 + length(text) % (size(l) + 1), size(l))), '\\n'))[0]").alias("source"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +391,7 @@ def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.min("doc_id").alias("first"), F.max("lang").alias("lang"))
             .select(F.col("source").alias("project_id"),
                     F.concat(F.lit("Project "), F.col("source")).alias("name"),
-                    F.concat(F.lit("Documents, mostly "), F.col("lang")).alias("description"),
+                    F.concat(F.lit("Documents, among them "), F.col("lang")).alias("description"),
                     (F.col("first") * 86400 + UPLOAD_EPOCH).alias("created_at")))
 
 
