@@ -15,6 +15,7 @@ table gives an empty result.
 
 import re
 import zlib
+from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 SAMPLE, STEPS, TOLERANCE, MOST = 1000, 30, 1e-4, 4.0
 REMEMBERED = 300_000
 _SHAPE = re.compile(r"(.)\1+")
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def domain_of_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -38,29 +40,40 @@ def domain_of_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.select(F.col(key).alias("k"), domain.alias("domain")).filter("k IS NOT NULL")
 
 
-def _look(word):
+class _Kinds(dict):
+    """Code points to ``a``, ``A``, ``0`` or themselves."""
+
+    def __missing__(self, code):
+        c = chr(code)
+        self[code] = kind = "a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c
+        return kind
+
+
+def _look(word, kinds):
     """Runs of letters, capitals, digits and signs of a word, each once."""
-    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in word[:32])
-    return _SHAPE.sub(r"\1", kinds)
+    return _SHAPE.sub(r"\1", word[:32].translate(kinds))
 
 
 class _Features(dict):
     """Words to their two buckets."""
 
+    def __init__(self):
+        super().__init__()
+        self.kinds = _Kinds()
+
     def __missing__(self, word):
         if len(self) > REMEMBERED:
             self.clear()
-        start = re.sub(r"[\W_]+", "", word.lower())[:4]
-        value = self[word] = [zlib.crc32(("l" + _look(word)).encode("utf-8", "surrogatepass")) % BUCKETS,
-                              zlib.crc32(("s" + start).encode("utf-8", "surrogatepass")) % BUCKETS]
+        start = word.lower().lstrip(_SIGNS)[:4]
+        value = self[word] = (zlib.crc32(("l" + _look(word, self.kinds)).encode("utf-8", "surrogatepass")) % BUCKETS,
+                              zlib.crc32(("s" + start).encode("utf-8", "surrogatepass")) % BUCKETS)
         return value
 
 
 def features(text, known):
     """The distinct buckets of a text, their weights, and its number of words."""
     words = text.split() if isinstance(text, str) else []
-    flat = [b for w in words for b in known[w]]
-    at = np.unique(np.array(flat, np.int32))
+    at = np.unique(np.fromiter(chain.from_iterable([known[w] for w in set(words)]), np.int32))
     return at, np.full(len(at), 1 / max(1, len(at)), np.float32), len(words)
 
 
