@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import prose
+from samples import prose
 from pyspark.sql import functions as F
 
 from sieveline.llm import language, mixing, packing, quality, secrets, toxicity, url_filter

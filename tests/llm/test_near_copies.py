@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
-from conftest import prose
+from samples import prose
 
 from sieveline.llm import simhash
 from sieveline.llm.components import components

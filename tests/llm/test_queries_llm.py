@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import EDGES
+from samples import EDGES
 from pyspark.sql import functions as F
 
 import corpus_pipeline
