@@ -2,9 +2,8 @@
 
 A classifier, trained on the documents of a labelled table, gives each document a posterior over domains. Nonnegative
 rates are then fitted so that the expected tokens of each domain, sum of rate x tokens x posterior, meet their targets:
-least squares by projected gradients with momentum. A step needs one sum a domain over all documents, and a document's
-rate follows from its own posterior and the few steps so far; so no state of documents is kept between steps, and nothing
-but those sums reaches the driver. A document stays ``copies`` times: its rate, rounded up or down by a hash.
+least squares by projected gradients with momentum. A step needs one sum a domain over all documents, and nothing but those
+sums reaches the driver. A document's rate follows from its last written rate, its posterior and the few steps since. A document stays ``copies`` times: its rate, rounded up or down by a hash.
 
 The classifier averages embeddings of hashed features (what a word looks like, its first letters) under a linear softmax, on
 about ``SAMPLE`` labelled documents a domain, at most twice that. Null and empty texts have no tokens and equal posteriors
@@ -15,7 +14,6 @@ table gives an empty result.
 
 import re
 import zlib
-from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -28,6 +26,8 @@ from sieveline.llm.language import BUCKETS, _softmax, fit
 #: shares of the tokens wanted of each domain
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 SAMPLE, STEPS, TOLERANCE, MOST = 1000, 30, 1e-4, 4.0
+#: steps after which the rates are written, so that a pass has few to repeat
+FOLDED = 6
 REMEMBERED = 300_000
 _SHAPE = re.compile(r"(.)\1+")
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -54,26 +54,37 @@ def _look(word, kinds):
     return _SHAPE.sub(r"\1", word[:32].translate(kinds))
 
 
+class _Buckets(dict):
+    """Features to their buckets."""
+
+    def __missing__(self, feature):
+        if len(self) > REMEMBERED:
+            self.clear()
+        value = self[feature] = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+        return value
+
+
 class _Features(dict):
-    """Words to their two buckets."""
+    """Words to their two buckets, in one number."""
 
     def __init__(self):
         super().__init__()
-        self.kinds = _Kinds()
+        self.kinds, self.bucket = _Kinds(), _Buckets()
 
     def __missing__(self, word):
         if len(self) > REMEMBERED:
             self.clear()
-        start = word.lower().lstrip(_SIGNS)[:4]
-        value = self[word] = (zlib.crc32(("l" + _look(word, self.kinds)).encode("utf-8", "surrogatepass")) % BUCKETS,
-                              zlib.crc32(("s" + start).encode("utf-8", "surrogatepass")) % BUCKETS)
+        low = word.lower()
+        look = "a" if word.isalpha() and word == low else _look(word, self.kinds)
+        value = self[word] = self.bucket["l" + look] * BUCKETS + self.bucket["s" + low.lstrip(_SIGNS)[:4]]
         return value
 
 
 def features(text, known):
     """The distinct buckets of a text, their weights, and its number of words."""
     words = text.split() if isinstance(text, str) else []
-    at = np.unique(np.fromiter(chain.from_iterable([known[w] for w in set(words)]), np.int32))
+    both = np.fromiter(map(known.__getitem__, set(words)), np.int64)
+    at = np.unique(np.concatenate([both // BUCKETS, both % BUCKETS])).astype(np.int32)
     return at, np.full(len(at), 1 / max(1, len(at)), np.float32), len(words)
 
 
@@ -127,9 +138,10 @@ def posteriors(docs: DataFrame, model, domains, key: str = "doc_id", text: str =
 
 
 def _rate(history, n, most):
-    """The state (r, before) after the steps of ``history``: pairs of a K-vector and the momentum before the step."""
+    """The state (r, before) after the steps of ``history``, from the stored one: pairs of a K-vector and the momentum."""
+    start = F.struct(F.col("r").alias("r"), F.col("before").alias("before"))
     if not history:
-        return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before"))
+        return start
     steps = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in g)).alias("g"), F.lit(float(b)).alias("b"))
                       for g, b in history))
 
@@ -138,18 +150,25 @@ def _rate(history, n, most):
         down = sum((F.col("p")[k] * h["g"][k] for k in range(n)), F.lit(0.0))
         return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(most), ahead - down)).alias("r"), s["r"].alias("before"))
 
-    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("before")), step)
+    return F.aggregate(steps, start, step)
+
+
+def _moved(members, history, n, most):
+    """Members with their state after the steps of ``history``."""
+    others = [c for c in members.columns if c not in ("r", "before")]
+    return members.withColumn("s", _rate(history, n, most)).select(*others, "s.r", "s.before")
 
 
 def fit_rates(members: DataFrame, targets: list, steps: int = STEPS, most: float = MOST, tolerance: float = TOLERANCE):
-    """The steps whose result are the rates, and the relative error left; ``members`` holds tokens and p."""
+    """``members`` (with tokens and p) with their rate ``r``, and the relative error left."""
     n = len(targets)
+    members = members.withColumn("r", F.lit(1.0)).withColumn("before", F.lit(1.0))
     weight = [F.col("tokens") * F.col("p")[k] for k in range(n)]
     first = members.agg(F.sum("tokens").alias("t"), *(F.sum(w).alias(f"a{k}") for k, w in enumerate(weight)),
                         *(F.sum(w * F.col("p")[j]).alias(f"c{k}_{j}") for k, w in enumerate(weight) for j in range(n))).first()
     total = float(first["t"] or 0)
     if not total:
-        return [], 0.0
+        return members.drop("before"), 0.0
     # everything in shares of all tokens
     goal = np.array(targets, float)
     have = np.array([first[f"a{k}"] for k in range(n)]) / total
@@ -166,12 +185,14 @@ def fit_rates(members: DataFrame, targets: list, steps: int = STEPS, most: float
         at_rate, at_ahead = np.array(got[:n]) / total - goal, np.array(got[n:]) / total - goal
         now = float(np.linalg.norm(at_rate) / max(np.linalg.norm(goal), 1e-12))
         if now <= tolerance or abs(error - now) <= 1e-3 * tolerance:
-            return history, now
+            return _moved(members, history, n, most).drop("before"), now
         if now > error:  # overshot: momentum starts afresh
             following, b, at_ahead = 1.0, 0.0, at_rate
+        if len(history) >= FOLDED:
+            members, history = stored(_moved(members, history, n, most), "mixing-rates"), []
         history.append((rate * at_ahead, b))
         momentum, error = following, now
-    return history, error
+    return _moved(members, history, n, most).drop("before"), error
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict = None, key: str = "doc_id", text: str = "text",
@@ -180,9 +201,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict = None, key: str = "do
     targets = targets or TARGETS
     domains = sorted(targets)
     members = stored(posteriors(docs, train(docs, labels, key, text), domains, key, text), "mixing")
-    history, _ = fit_rates(members, [targets[d] for d in domains], most=most)
+    rated, _ = fit_rates(members, [targets[d] for d in domains], most=most)
     chance = F.pmod(F.xxhash64(F.col("k"), F.lit("mixing")), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    return members.withColumn("rate", _rate(history, len(domains), most)["r"]).withColumn(
+    return rated.withColumnRenamed("r", "rate").withColumn(
         "copies", F.floor(F.col("rate") + chance).cast("int"))
 
 
