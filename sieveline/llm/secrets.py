@@ -18,6 +18,8 @@ from typing import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from sieveline.llm.common import stored
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -160,7 +162,16 @@ def word_ranks(docs: DataFrame, text: str = "text", ranks: int = RANKS) -> dict:
     """The rank of each of the most frequent words of all documents, after the usual passwords; at most ``ranks``."""
     words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")) \
         .filter(F.length("w").between(LEAST_WORD, LONGEST_WORD)).groupBy("w").count()
-    top = words.orderBy(F.desc("count"), "w").limit(ranks).collect()
+    counts = stored(words, "word-counts")
+    # how many words lie in each eighth of a power of two of the count tells from which on the first ones are among them
+    step = F.floor(F.log2("count") * 8).cast("int")
+    least, seen = 0, 0
+    for place, size in sorted(map(tuple, counts.groupBy(step.alias("s")).agg(F.count("*")).collect()), reverse=True):
+        least, seen = place, seen + size
+        if seen >= ranks:
+            break
+    top = stored(counts.filter(step >= least).orderBy(F.desc("count"), "w").limit(ranks), "word-ranks") \
+        .orderBy(F.desc("count"), "w").collect()
     out = {}
     for word in (*USUAL, *(r["w"] for r in top)):
         out.setdefault(word, len(out) + 1)
