@@ -26,8 +26,8 @@ LIMITS = (2048, 512, 2048)
 #: examples a partition lets wait for a place
 WINDOW = 256
 CLOSING_ID = 1
-#: words remembered by a task before it starts afresh, and the longest of them in characters
-REMEMBERED, LONGEST = 300_000, 48
+#: words remembered by a worker before it starts afresh, and the longest of them in characters
+REMEMBERED, LONGEST = 1_000_000, 48
 
 
 class Pool:
@@ -104,37 +104,103 @@ def pack_examples(examples: DataFrame, key: str, tokens: str, loss: str, limits=
         .withColumnRenamed("k", key)
 
 
+#: texts of other characters than these are encoded word by word as they are; these split and change case alike everywhere
+_UNUSUAL = r"[^\t\n\r -~\xa1-\u012f\u0131-\u024f]|<\|"
+#: fixed value: how the vocabulary's own splitter parts lower-cased text
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: characters that end words and make one part where they stand together
+_TAIL = ".,;:!?#$%&*|"
+
+
 class _Words(dict):
-    """Words to their ids as little-endian bytes."""
+    """Words to their ids as little-endian bytes.
+
+    White space parts words and leaves nothing behind, so words are encoded apart and remembered. In usual texts a word is
+    parted as the tokenizer does, new parts are encoded many at a time, and the ids come apart again where one ends a part.
+    """
 
     def __init__(self, path):
+        import re
+
+        import regex
+        from tokenizers import Tokenizer
         super().__init__()
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.whole, self.of_parts = path, None, Tokenizer.from_file(path)
+        self.of_parts.normalizer = None  # parts are lower-cased already
+        self.unusual, self.split = re.compile(_UNUSUAL).search, regex.compile(_PARTS).findall
+        vocabulary = self.of_parts.get_vocab(with_added_tokens=True)
+        self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ending[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.closing = np.array([CLOSING_ID], "<u4").tobytes()
+        self.parts, self.fresh = {}, []
         self[""] = b""
 
+    def __missing__(self, word):
+        self.fresh.append(word)
+        return b""
+
+    def as_they_are(self, words):
+        """Ids of words of any characters."""
+        if self.whole is None:
+            self.whole = type(self.of_parts).from_file(self.path)
+        found = self.whole.encode_batch_fast(words, add_special_tokens=False)
+        return b"".join([np.array(e.ids, "<u4").tobytes() for e in found])
+
+    def learn(self, words):
+        """Remembers new words of usual texts."""
+        known, parted, fresh = self.parts, [], set()
+        for w in words:
+            core = w.rstrip(_TAIL)
+            parts = (core.lower(), w[len(core):]) if core.isalpha() else self.split(w.lower())
+            parted.append(parts)
+            fresh.update(parts)
+        fresh.discard("")
+        fresh = [p for p in fresh if p not in known]
+        for k in range(0, len(fresh), 512):
+            some = fresh[k:k + 512]
+            ids = np.array(self.of_parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            data, bounds = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ending[ids]) + 4).tolist()]
+            known.update(zip(some, [data[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))
+        known[""] = b""
+        for w, parts in zip(words, parted):
+            self[w] = known[parts[0]] + known[parts[1]] if len(parts) == 2 else b"".join([known[p] for p in parts])
+
     def encode(self, text):
-        """The ids of a text and the closing id.
-
-        The tokenizer drops white space and joins nothing across it, so words are encoded one by one and remembered.
-        """
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        fresh = list(set(words).difference(self))
-        if fresh:
-            if len(self) > REMEMBERED:
-                self.clear()
-                self[""] = b""
-                fresh = list(set(words).difference(self))
-            found = {w: np.array(e.ids, "<u4").tobytes()
-                     for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False))}
-            out = b"".join([found[w] if w in found else self[w] for w in words])
-            self.update((w, ids) for w, ids in found.items() if len(w) <= LONGEST)
-            return out + self.closing
-        return b"".join(map(self.__getitem__, words)) + self.closing
+        """The ids of a text and the closing id."""
+        if len(self) > REMEMBERED or len(self.parts) > REMEMBERED:
+            self.clear()
+            self.parts.clear()
+            self[""] = b""
+        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        words = flat.split(" ")
+        plain = flat.isascii() and flat.isprintable() and "<|" not in flat
+        if not plain and self.unusual(flat):
+            return self.as_they_are(words) + self.closing
+        self.fresh.clear()
+        out = b"".join(map(self.__getitem__, words))
+        if self.fresh:
+            fresh = list(set(self.fresh))
+            self.learn(fresh)
+            out = b"".join(map(self.__getitem__, words))
+            for w in fresh:
+                if len(w) > LONGEST:
+                    del self[w]
+        return out + self.closing
+
+
+def _words(path):
+    """The words a worker remembers from one task to the next.
+
+    They hang on the tokenizer library's module: functions that travel by value have no module of their own there.
+    """
+    import tokenizers
+    kept = tokenizers.__dict__.setdefault("_sieveline_words", {})
+    if path not in kept:
+        kept[path] = _Words(path)
+    return kept[path]
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = None, limits=LIMITS,
@@ -150,7 +216,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     def pack(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, pool, numbers = _Words(tokenizer), Pool(limits), _numbers()
+        words, pool, numbers = _words(tokenizer), Pool(limits), _numbers()
         rows = []
 
         def place(k, ids, begin, n, total, number, at):
