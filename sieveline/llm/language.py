@@ -5,7 +5,7 @@ stand for one boundary mark. Each hashes to one of ``BUCKETS`` embeddings, a tex
 and a linear softmax over it gives the languages. Embeddings and softmax are trained together by stochastic gradient
 descent in numpy on a bounded sample: about ``SAMPLE`` labelled texts a language, at most twice that. On a fifth of the
 sample, held back, the temperature of the scores is fitted (as if one more text were wrong) and the score is found below which a text is rejected: the
-``REJECTED`` quantile there, but never over one half.
+``REJECTED`` quantile there, but never over ``CERTAIN``.
 
 Texts that are null or have no letter get ``und``, score 0 and are rejected. Null labels are not learnt from; without any
 labelled row all texts are ``und``. Long texts are read whole, in pieces. Repeated rows get equal results. Only the text
@@ -24,7 +24,9 @@ BUCKETS, DIMENSIONS, ORDERS = 1 << 15, 16, (2, 3, 4)
 SAMPLE, EPOCHS, RATE, SEED = 400, 12, 0.5, 7
 #: share of each label spread over all languages in training, which keeps the weights bounded
 SMOOTHING = 0.02
-REJECTED = 0.002
+#: share of the held-back texts that may be rejected, and the score from which none is: short texts of a known language often
+#: stay below one half
+REJECTED, CERTAIN = 0.002, 1 / 3
 PIECE = 1 << 18
 UNKNOWN = "und"
 
@@ -103,7 +105,7 @@ def fit(examples, names):
 
     temperature = min(np.geomspace(0.1, 10, 41), key=loss)
     scores = _softmax(z / temperature).max(axis=1)
-    return table.astype(np.float32), bias, float(temperature), float(min(0.5, np.quantile(scores, REJECTED)))
+    return table.astype(np.float32), bias, float(temperature), float(min(CERTAIN, np.quantile(scores, REJECTED)))
 
 
 def train(rows: DataFrame, key: str, text: str, label: str):
