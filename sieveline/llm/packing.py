@@ -27,7 +27,7 @@ LIMITS = (2048, 512, 2048)
 WINDOW = 256
 CLOSING_ID = 1
 #: words remembered by a worker before it starts afresh, and the longest of them in characters
-REMEMBERED, LONGEST = 1_000_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 
 
 class Pool:
