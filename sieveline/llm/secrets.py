@@ -3,7 +3,8 @@
 Fixed patterns give the base spans: assignments to credential names, access keys and hex runs. Further values that follow a
 credential name (or stand as the password of a URL) are judged by the work to guess them: dynamic programming finds the
 segmentation into words, dates, repeats, keyboard walks and brute-force spans with the least guesses in total, counted in
-bits; from ``MIN_BITS`` on the value is reported as ``guess``. Words cost the rank they have among the words of the corpus,
+bits; from ``MIN_BITS`` on the value is reported as ``guess``. A value that a base span covers only in part is judged whole, so
+its guess span lies over the base one; a value inside a base span is not judged again. Words cost the rank they have among the words of the corpus,
 counted over all documents; ``RANKS`` is the size of that dictionary, rarer words are spelt out.
 
 Places are code points, ends exclusive; spans come by start, then kind as listed in ``KINDS``. Null texts count as empty and
@@ -145,7 +146,7 @@ def base_spans(text, low=None):
 
 
 def all_spans(text, ranks):
-    """Base spans and hard-to-guess values outside them, in order."""
+    """Base spans and hard-to-guess values that none of them holds whole, in order; these may overlap."""
     low = text.lower()
     base = base_spans(text, low)
     more = []
@@ -153,7 +154,7 @@ def all_spans(text, ranks):
         for m in re.finditer(CONTEXT, text, re.I | re.A):
             group = 1 if m[1] is not None else 2
             start, end = m.span(group)
-            if not any(s < end and start < e for s, _, e in base) and guess_bits(text[start:end], ranks) >= MIN_BITS:
+            if not any(s <= start and end <= e for s, _, e in base) and guess_bits(text[start:end], ranks) >= MIN_BITS:
                 more.append((start, 3, end))
     return sorted(base + more)
 
@@ -198,7 +199,7 @@ def find_secrets(docs: DataFrame, ranks: dict, text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, ranks: dict, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of ``docs`` with every span of secrets in ``text`` replaced by ``mark``; other texts stay as they are."""
+    """The rows of ``docs`` with every span of secrets in ``text`` replaced by ``mark``, overlapping ones by one; other texts stay as they are."""
     def clean(texts):
         for batch in texts:
             out = []

@@ -1,5 +1,6 @@
 """Language, toxicity, quality, mixing, packing, secrets and URL terms against plain computations and held-out rows."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -256,6 +257,17 @@ def test_spans():
         assert [(secrets.KINDS[k], s, e) for s, k, e in secrets.all_spans(text, RANKS)] == want, text
 
 
+def test_values_past_the_base_pattern_are_judged_whole(spark):
+    text = "password: hunter22!Zq8#kf$2 and more"
+    spans = [(secrets.KINDS[k], s, e) for s, k, e in secrets.all_spans(text, RANKS)]
+    assert spans == [("assign", 0, 18), ("guess", 10, 27)]
+    docs = spark.createDataFrame([(1, text), (2, "password: hunter22x and more")], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(docs, RANKS).orderBy("doc_id").collect()] == ["[SECRET] and more"] * 2
+    found = secrets.digest(secrets.find_secrets(docs, RANKS)).orderBy("doc_id").first()
+    assert (found["n_assign"], found["spans"]) == (1, "assign:0:18,guess:10:27")
+    assert found["base_sha256"] == hashlib.sha256(b"assign:0:18").hexdigest()
+
+
 def test_hidden_assignment_is_dropped_with_the_failing_match():
     assert secrets.base_spans("secret=token: abcdefgh") == []
     assert [s for s in secrets.base_spans("secret=abc token: abcdefgh")] == [(11, 0, 26)]
