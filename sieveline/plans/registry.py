@@ -76,8 +76,8 @@ def _raw_files(spark, sf):
         F.when(damaged, F.concat(F.lit(b"\xff"), content)).otherwise(content).alias("content"))
 
 
-#: the size limit of the ingest queries; the operators have none unless it is given
-RAW_LIMIT = 8192
+#: the size limit of the ingest queries, that of the original behaviour; the operators have none unless it is given
+RAW_LIMIT = 1_048_576
 
 
 # --- sources ----------------------------------------------------------------------------

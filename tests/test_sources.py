@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sieveline.operators import activity, runs
 from sieveline.operators.scan import scan_files
 from sieveline.plans import analysis
+from sieveline.plans.registry import QUERIES
 from sieveline.schema import FILES
 from sieveline.sources import ingest, sinks, vault
 from sieveline.streaming import rates, scan as stream_scan, status as stream_status
@@ -38,6 +39,16 @@ def test_accept_and_reject(spark):
     assert tuple(ingest.totals(files, 100).collect()[0]) == (len(good), len(bad))
 
 
+def test_ingest_queries_refuse_only_over_a_megabyte(spark, tmp_path):
+    sizes = {1: 10, 2: 8193, 3: 1_048_576, 4: 1_048_577}
+    docs = [(n, "src0", "x" * size, "en") for n, size in sizes.items()]
+    spark.createDataFrame(docs, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    good, bad, totals = (QUERIES[f"ingest_{n}"](spark, str(tmp_path)).collect() for n in ("files", "rejects", "totals"))
+    assert {r.file_id: r.size_bytes for r in good} == {n: sizes[n] for n in (1, 2, 3)}
+    assert [(r.file_id, r.reason) for r in bad] == [(4, "too_large")]
+    assert tuple(totals[0]) == (3, 1)
+
+
 def test_folder(spark, tmp_path):
     os.makedirs(tmp_path / "one" / "deep")
     (tmp_path / "one" / "deep" / "a.py").write_text("eval(x)")
