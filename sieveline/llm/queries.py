@@ -61,7 +61,8 @@ def op7_guess_cost_secrets(spark, sf_dir):
 
 @query
 def op3_repeated_windows(spark, sf_dir):
-    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query

@@ -8,7 +8,7 @@ Documents are stored once, divided into ranges of the key, each about ``RANGE_CH
    more. Estimates never fall short, so no repeated window is lost.
 3. The ranges send the 96-bit hashes of the windows estimated repeated in every row, and only these, to be grouped exactly.
    Ranges ascend with the key, so the lowest range that holds a hash has its first occurrence: one bit back a hash.
-4. Each range removes the words under windows that started earlier, in a lower range or in itself.
+4. Each range removes the words under windows that started earlier, in a lower range or in itself, and gives the text left.
 
 What moves besides the documents is a few bits a window, and nothing of it depends on how often a passage occurs: a
 range names a hash once. Null texts have no words. Documents shorter than a window lose nothing. Rows of equal key
@@ -16,7 +16,6 @@ count as one after the other, in order of their texts; null keys come first. An
 read whole; other columns are ignored.
 """
 
-import hashlib
 import uuid
 
 import numpy as np
@@ -193,7 +192,7 @@ def _first(key, rows):
 
 
 def _remove(bits, slice_bits, part_bits, size):
-    columns = ["nul", "k", "n_words", "n_removed", "kept_sha256"]
+    columns = ["nul", "k", "n_words", "kept", "removed"]
 
     def remove(rows, replies):
         if not len(rows):
@@ -219,8 +218,12 @@ def _remove(bits, slice_bits, part_bits, size):
         out, begin = [], 0
         for nul, k, n, ws in zip(rows["nul"], rows["k"], lengths.tolist(), words):
             keep = kept[begin:begin + n]
-            left = ws if keep.all() else [w for w, x in zip(ws, keep.tolist()) if x]
-            out.append((nul, k, n, n - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
+            left, spans = ws, []
+            if not keep.all():
+                left = [w for w, x in zip(ws, keep.tolist()) if x]
+                edges = np.flatnonzero(np.diff(keep, prepend=True, append=True)).tolist()
+                spans = [{"begin": i, "end": j} for i, j in zip(edges[::2], edges[1::2])]
+            out.append((nul, k, n, b" ".join(left).decode("utf-8", "surrogatepass"), spans))
             begin += n
         return pd.DataFrame(out, columns=columns)
     return remove
@@ -228,7 +231,11 @@ def _remove(bits, slice_bits, part_bits, size):
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW,
                    range_chars: int = RANGE_CHARS) -> DataFrame:
-    """key, n_words, n_removed and the hash of the words that stay, of every document."""
+    """key, n_words, kept, removed, n_removed and kept_sha256 of every document.
+
+    ``kept`` is the text without its repeats, the words that stay with one blank between them; ``removed`` holds the spans of
+    removed words, ends exclusive. The other two are the number of removed words and the hash of ``kept``.
+    """
     spark = docs.sparkSession
     base = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     starts, _, chars = range_starts(base, range_chars)
@@ -254,9 +261,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     answers = named.groupBy("part").applyInPandas(_first, told)
     result = by_range.cogroup(replies.unionByName(answers).groupBy("range")).applyInPandas(
         _remove(bits, slice_bits, part_bits, size),
-        "nul boolean, k long, n_words long, n_removed long, kept_sha256 string")
-    return result.select(F.when(~F.col("nul"), F.col("k")).cast(docs.schema[key].dataType).alias(key),
-                         "n_words", "n_removed", "kept_sha256")
+        "nul boolean, k long, n_words long, kept string, removed array<struct<begin: long, end: long>>")
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return result.select(F.when(~F.col("nul"), F.col("k")).cast(docs.schema[key].dataType).alias(key), "n_words", "kept",
+                         "removed", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = f"""

@@ -49,6 +49,19 @@ def test_removal(make_docs, size, chars):
     assert {k: sorted(v) for k, v in got.items()} == plain_removal(rows, size)
 
 
+def test_kept_text_and_removed_words(make_docs):
+    """The operator gives the text without its repeats, and where they were."""
+    rows = [(n, text) for n, (_, text) in enumerate(texts())]
+    plain = plain_removal(rows, 20)
+    got = substring.remove_repeats(make_docs(rows), range_chars=5000).collect()
+    assert len(got) == len(rows) and any(r["removed"] for r in got)
+    for r in got:
+        words = re.findall(r"[^\x20\x09-\x0D]+", rows[r["doc_id"]][1] or "")
+        gone = {i for s in r["removed"] for i in range(s["begin"], s["end"])}
+        assert r["kept"] == " ".join(w for i, w in enumerate(words) if i not in gone)
+        assert plain[r["doc_id"]] == [(len(words), len(gone), hashlib.sha256(r["kept"].encode()).hexdigest())]
+
+
 def test_narrow_sketch_loses_nothing(make_docs, monkeypatch):
     """Where every cell is crowded, the exact pass alone decides."""
     monkeypatch.setattr(substring, "SLICE_BITS", 4)
