@@ -1,9 +1,12 @@
 """Mixing to target weights by soft membership.
 
 A classifier, trained on the documents of a labelled table, gives each document a posterior over domains. Nonnegative
-rates are then fitted so that the expected tokens of each domain, sum of rate x tokens x posterior, meet their targets:
-least squares by projected gradients with momentum. A step needs one sum a domain over all documents, and nothing but those
-sums reaches the driver. A document's rate follows from its last written rate, its posterior and the few steps since. A document stays ``copies`` times: its rate, rounded up or down by a hash.
+rates are then fitted so that the expected tokens of each domain, sum of rate x tokens x posterior, meet their targets: of
+all such rates the ones nearest to 1, weighted by tokens; if no rates meet them, the least squares. Such a rate is 1 less a
+multiplier a domain times the posterior, cut at 0 (and at an upper bound, if one is given), so Newton steps on the
+multipliers find it. A step needs a few sums a domain over all documents, and nothing but those sums reaches the driver; steps
+go on until the targets are met to ``TOLERANCE`` or cannot be met better. A document stays ``copies`` times: its rate, rounded
+up or down by a hash.
 
 The classifier averages embeddings of hashed features (what a word looks like, its first letters) under a linear softmax, on
 about ``SAMPLE`` labelled documents a domain, at most twice that. Null and empty texts have no tokens and equal posteriors
@@ -12,6 +15,8 @@ document all posteriors are equal. Long texts are read whole. Repeated rows shar
 table gives an empty result.
 """
 
+import logging
+import math
 import re
 import zlib
 from typing import Iterator
@@ -25,9 +30,10 @@ from sieveline.llm.language import BUCKETS, _softmax, fit
 
 #: shares of the tokens wanted of each domain
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
-SAMPLE, STEPS, TOLERANCE, MOST = 1000, 30, 1e-4, 4.0
-#: steps after which the rates are written, so that a pass has few to repeat
-FOLDED = 6
+SAMPLE, TOLERANCE = 1000, 1e-4
+#: upper bound of a rate where none is asked for, and the weight of small changes against the targets
+MOST, RIDGE = math.inf, 1e-8
+_LOG = logging.getLogger(__name__)
 REMEMBERED = 300_000
 _SHAPE = re.compile(r"(.)\1+")
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -137,74 +143,88 @@ def posteriors(docs: DataFrame, model, domains, key: str = "doc_id", text: str =
         "k", "row", "f.tokens", "f.p")
 
 
-def _rate(history, n, most):
-    """The state (r, before) after the steps of ``history``, from the stored one: pairs of a K-vector and the momentum."""
-    start = F.struct(F.col("r").alias("r"), F.col("before").alias("before"))
-    if not history:
-        return start
-    steps = F.array(*(F.struct(F.array(*(F.lit(float(x)) for x in g)).alias("g"), F.lit(float(b)).alias("b"))
-                      for g, b in history))
+def _rate(slope, most):
+    """The rate before and within the bounds, at one multiplier a domain."""
+    free = F.lit(1.0) - sum((F.col("p")[k] * float(x) for k, x in enumerate(slope)), F.lit(0.0))
+    rate = F.greatest(F.lit(0.0), free)
+    return free, rate if np.isinf(most) else F.least(F.lit(float(most)), rate)
 
-    def step(s, h):
-        ahead = s["r"] + h["b"] * (s["r"] - s["before"])
-        down = sum((F.col("p")[k] * h["g"][k] for k in range(n)), F.lit(0.0))
-        return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(most), ahead - down)).alias("r"), s["r"].alias("before"))
 
-    return F.aggregate(steps, start, step)
-
-
-def _moved(members, history, n, most):
-    """Members with their state after the steps of ``history``."""
-    others = [c for c in members.columns if c not in ("r", "before")]
-    return members.withColumn("s", _rate(history, n, most)).select(*others, "s.r", "s.before")
-
-
-def fit_rates(members: DataFrame, targets: list, steps: int = STEPS, most: float = MOST, tolerance: float = TOLERANCE):
-    """``members`` (with tokens and p) with their rate ``r``, and the relative error left."""
-    n = len(targets)
-    members = members.withColumn("r", F.lit(1.0)).withColumn("before", F.lit(1.0))
+def _sums(members, slope, most, total):
+    """Shares of all tokens that the domains get, the function to minimise but for its part in the multipliers alone, and its
+    second derivative."""
+    n = len(slope)
+    free, rate = _rate(slope, most)
+    inside = (F.col("free") > 0) & (F.col("free") < most)
     weight = [F.col("tokens") * F.col("p")[k] for k in range(n)]
-    first = members.agg(F.sum("tokens").alias("t"), *(F.sum(w).alias(f"a{k}") for k, w in enumerate(weight)),
-                        *(F.sum(w * F.col("p")[j]).alias(f"c{k}_{j}") for k, w in enumerate(weight) for j in range(n))).first()
-    total = float(first["t"] or 0)
+    s = members.select("tokens", "p", free.alias("free"), rate.alias("r"))
+    got = s.agg(F.sum(F.col("tokens") * F.col("r") * (F.col("free") - F.col("r") / 2)), *(F.sum(w * F.col("r")) for w in weight),
+                *(F.sum(F.when(inside, weight[k] * F.col("p")[j]).otherwise(0.0)) for k in range(n) for j in range(k + 1))).first()
+    got = np.array(got, float) / total
+    second = np.zeros((n, n))
+    second[np.tril_indices(n)] = got[1 + n:]
+    return got[1:1 + n], got[0], second + np.tril(second, -1).T
+
+
+def fit_rates_and_shares(members: DataFrame, targets: list, steps: int = None, most: float = None,
+                         tolerance: float = TOLERANCE):
+    """``members`` (with tokens and p) with their rate ``r``, and the share of all tokens that each domain gets by the rates.
+
+    ``most`` bounds the rates, ``steps`` the passes over the members; neither is bounded without them.
+    """
+    most = MOST if most is None else most
+    goal = np.array(targets, float)
+    total = float(members.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return members.drop("before"), 0.0
-    # everything in shares of all tokens
+        return members.withColumn("r", F.lit(1.0)), np.zeros(len(goal))
+    size = max(np.linalg.norm(goal), 1e-12)
+
+    def at(slope):
+        shares, value, second = _sums(members, slope, most, total)
+        return slope, shares, value + goal @ slope + RIDGE / 2 * slope @ slope, second
+
+    slope, shares, value, second = at(np.zeros(len(goal)))
+    passes, length, down = 1, 1.0, None
+    while np.linalg.norm(shares - goal) > tolerance * size and (steps is None or passes < steps):
+        if down is None:
+            gradient = RIDGE * slope + goal - shares
+            if np.linalg.norm(gradient) <= tolerance / 10 * size:  # as near as any rates come
+                break
+            down, length = np.linalg.solve(second + RIDGE * np.eye(len(goal)), -gradient), 1.0
+        trial = at(slope + length * down)
+        passes += 1
+        if trial[2] <= value + 1e-4 * length * gradient @ down:
+            (slope, shares, value, second), down = trial, None
+        elif length < 1e-9:  # differences are below the precision of the sums
+            break
+        else:
+            length /= 4
+    return members.withColumn("r", _rate(slope, most)[1]), shares
+
+
+def fit_rates(members: DataFrame, targets: list, steps: int = None, most: float = None, tolerance: float = TOLERANCE):
+    """``members`` (with tokens and p) with their rate ``r``, and the relative error left; 1 without tokens."""
+    rated, shares = fit_rates_and_shares(members, targets, steps, most, tolerance)
     goal = np.array(targets, float)
-    have = np.array([first[f"a{k}"] for k in range(n)]) / total
-    second = np.array([[first[f"c{k}_{j}"] for j in range(n)] for k in range(n)]) / total
-    rate = 1 / max(np.linalg.eigvalsh(second)[-1], 1e-12)
-    # the first step goes where the minimum lies if no bound is met, the others follow the gradient
-    history = [(np.linalg.lstsq(second, have - goal, rcond=1e-9)[0], 0.0)]
-    momentum, error = 1.0, np.inf
-    for _ in range(steps):
-        following = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
-        b = (momentum - 1) / following
-        s = members.withColumn("s", _rate(history, n, most)).withColumn("ahead", F.expr(f"s.r + {float(b)!r}D * (s.r - s.before)"))
-        got = s.agg(*(F.sum(w * F.col("s.r")) for w in weight), *(F.sum(w * F.col("ahead")) for w in weight)).first()
-        at_rate, at_ahead = np.array(got[:n]) / total - goal, np.array(got[n:]) / total - goal
-        now = float(np.linalg.norm(at_rate) / max(np.linalg.norm(goal), 1e-12))
-        if now <= tolerance or abs(error - now) <= 1e-3 * tolerance:
-            return _moved(members, history, n, most).drop("before"), now
-        if now > error:  # overshot: momentum starts afresh
-            following, b, at_ahead = 1.0, 0.0, at_rate
-        if len(history) >= FOLDED:
-            members, history = stored(_moved(members, history, n, most), "mixing-rates"), []
-        history.append((rate * at_ahead, b))
-        momentum, error = following, now
-    return _moved(members, history, n, most).drop("before"), error
+    return rated, float(np.linalg.norm(shares - goal) / max(np.linalg.norm(goal), 1e-12))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict = None, key: str = "doc_id", text: str = "text",
-        most: float = MOST) -> DataFrame:
-    """k, row, tokens, p, rate and copies of every document; ``labels`` holds k and domain, ``targets`` shares of all tokens."""
+        most: float = None) -> DataFrame:
+    """k, row, tokens, p, rate, copies and shares of every document; ``labels`` holds k and domain, ``targets`` shares of all
+    tokens. ``shares``, the same in all rows, are the shares that the domains get by the rates; missed targets are logged."""
     targets = targets or TARGETS
     domains = sorted(targets)
     members = stored(posteriors(docs, train(docs, labels, key, text), domains, key, text), "mixing")
-    rated, _ = fit_rates(members, [targets[d] for d in domains], most=most)
+    goal = [targets[d] for d in domains]
+    rated, shares = fit_rates_and_shares(members, goal, most=most)
+    missed = np.linalg.norm(shares - goal) > TOLERANCE * np.linalg.norm(goal)
+    _LOG.log(logging.WARNING if missed else logging.INFO, "mixing: %s", ", ".join(
+        f"{d} {share:.5f} of {wanted:.5f}" for d, share, wanted in zip(domains, shares, goal)))
     chance = F.pmod(F.xxhash64(F.col("k"), F.lit("mixing")), F.lit(1 << 32)) / F.lit(float(1 << 32))
     return rated.withColumnRenamed("r", "rate").withColumn(
-        "copies", F.floor(F.col("rate") + chance).cast("int"))
+        "copies", F.floor(F.col("rate") + chance).cast("int")).withColumn(
+        "shares", F.array(*(F.lit(float(x)) for x in shares)))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict = None, key: str = "doc_id", text: str = "text") -> DataFrame:

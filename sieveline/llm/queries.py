@@ -76,4 +76,5 @@ def op1_soft_mixture(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = mixing.mix(docs, mixing.domain_of_labels(table(spark, sf_dir, "labels")))
     shares = (F.col("p")[n].alias(f"p_{d}") for n, d in enumerate(sorted(mixing.TARGETS)))
-    return found.select(F.col("k").alias("doc_id"), "tokens", *shares, "rate", "copies")
+    reached = (F.col("shares")[n].alias(f"share_{d}") for n, d in enumerate(sorted(mixing.TARGETS)))
+    return found.select(F.col("k").alias("doc_id"), "tokens", *shares, "rate", "copies", *reached)

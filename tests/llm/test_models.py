@@ -166,6 +166,24 @@ def test_mixture_comes_as_near_its_targets_as_any(spark, sf_dir):
     assert all(math.floor(r["rate"]) <= r["copies"] <= math.ceil(r["rate"]) for r in rows)
 
 
+def test_scarce_domains_reach_their_targets(spark):
+    """Toxic tokens are four in a thousand, two in a hundred are wanted: rates over 4 are needed."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([6, 0.5, 0.02], 3000)
+    p[rng.random(3000) < 0.004] = [0.01, 0.01, 0.98]
+    t = rng.integers(1, 900, 3000)
+    frame = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "tokens long, p array<double>").repartition(4)
+    goal = [0.9, 0.08, 0.02]
+    assert (t @ p / t.sum())[2] < goal[2] / 3
+    rated, shares = mixing.fit_rates_and_shares(frame, goal)
+    got = rated.collect()
+    rates = np.array([r["r"] for r in got])
+    reached = (np.array([r["tokens"] for r in got]) * rates) @ np.array([r["p"] for r in got]) / t.sum()
+    assert np.allclose(reached, goal, atol=2e-4) and np.allclose(shares, reached) and rates.min() >= 0
+    bounded, shares = mixing.fit_rates_and_shares(frame, goal, most=1.2)
+    assert max(r["r"] for r in bounded.collect()) <= 1.2 and shares[2] < goal[2] - 1e-3
+
+
 # --- packing -------------------------------------------------------------------------------
 
 def test_documents_round_trip(spark, make_docs):
