@@ -49,6 +49,26 @@ def test_languages_held_out(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows) and not any(r["rejected"] for r in held if r["score"] > 0.5)
 
 
+@pytest.mark.parametrize("known", [("en", "fr"), ("de", "en", "es", "fr")])
+def test_foreign_texts_go_and_short_clean_texts_stay(spark, make_docs, known):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taught = docs.filter(F.col("lang").isin(*known))
+    model = language.train(taught.filter(~language.held_out()), "doc_id", "text", "lang")
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "xkqzj wvbqx zzkjq pqxwv kjhgf qwzxv bvnmq xzqjk wkqpz vxqzj kqjwx zvbxk qpwjz xvkqz jwqxk pzvqx kwjzq"]
+    got = language.identify(make_docs(list(enumerate(foreign))), model).collect()
+    assert all(r["_language"]["rejected"] for r in got), got
+    others = language.identify(docs.filter(~F.col("lang").isin(*known) & (F.length("text") > 500)), model).collect()
+    assert sum(r["_language"]["rejected"] for r in others) >= 0.95 * len(others)
+    held = taught.filter(language.held_out())
+    short = held.select("doc_id", F.explode(F.array(F.substring("text", 1, 30), F.substring_index("text", " ", 4), "text")).alias("text"))
+    kept = language.identify(short, model).filter("text RLIKE '[a-z]'").collect()
+    assert len(kept) > 200 and sum(r["_language"]["rejected"] for r in kept) <= 0.005 * len(kept)
+
+
 # --- toxicity ------------------------------------------------------------------------------
 
 def test_noisy_or_and_places(spark):
