@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from sieveline.llm import (fingerprint, language, mixing, packing, quality, secrets, simhash, substring, toxicity,
-                           url_filter)
+from sieveline.llm import (fingerprint, jaccard, language, mixing, negatives, packing, quality, secrets, simhash, substring,
+                           toxicity, url_filter, whitening)
 from sieveline.llm.common import table
 
 QUERIES = {}
 ORACLE = {"op4_multiset_fingerprint": fingerprint.ORACLE_SQL, "op8_url_vocabulary": url_filter.oracle_sql(),
-          "op10_weak_supervision": quality.oracle_sql(), "op3_repeated_windows": substring.ORACLE_SQL}
+          "op10_weak_supervision": quality.oracle_sql(), "op3_repeated_windows": substring.ORACLE_SQL,
+          "op11_blocked_jaccard": jaccard.ORACLE_SQL, "op13_bond_negatives": negatives.ORACLE_SQL}
 
 
 def query(fn):
@@ -78,3 +79,20 @@ def op1_soft_mixture(spark, sf_dir):
     shares = (F.col("p")[n].alias(f"p_{d}") for n, d in enumerate(sorted(mixing.TARGETS)))
     reached = (F.col("shares")[n].alias(f"share_{d}") for n, d in enumerate(sorted(mixing.TARGETS)))
     return found.select(F.col("k").alias("doc_id"), "tokens", *shares, "rate", "copies", *reached)
+
+
+@query
+def op11_blocked_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op12_chebyshev_whitening(spark, sf_dir):
+    return whitening.digest(*whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op13_bond_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+    return found.withColumns({c: F.expr(f"try_cast({c} AS long)") for c in ("positive_score", "negative_score")})
