@@ -28,6 +28,8 @@ from sieveline.llm.vectors import exact, matrix, quantized
 COMPONENTS = 4
 #: columns of the block beside the wanted ones, degree of the polynomial, and the residual by the first eigenvalue
 SPARE, DEGREE, PRECISION = 28, 10, 1e-13
+#: bytes of a tile of the fit list, were its entries longs
+TILE = 1 << 22
 _CELL = pa.schema([("at", pa.int32()), ("value", pa.float64())])
 _SUM = pa.schema([("at", pa.int32()), ("value", pa.decimal128(38, 0)), ("rows", pa.int64()), ("most", pa.decimal128(38, 0))])
 
@@ -48,14 +50,47 @@ class Whitener:
         return self.values / self.trace if self.trace else self.values
 
 
+_TILE = pa.schema([("d", pa.int32()), ("bits", pa.int32()), ("tile", pa.binary())])
+
+
+def tiles(vectors: DataFrame, tile_bytes: int = TILE) -> DataFrame:
+    """Vectors ``x``, many to a row and in the fewest bytes that hold them, so that a pass reads them at little cost."""
+    def packed(parts):
+        x = np.concatenate(parts)
+        most = max(-int(x.min()), int(x.max()))
+        bits = 16 if most < 1 << 15 else 32 if most < 1 << 31 else 64
+        return pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([bits], pa.int32()),
+                                           pa.array([x.astype(f"<i{bits // 8}").tobytes()], pa.binary())], schema=_TILE)
+
+    def pack(batches):
+        parts, held = [], 0
+        for batch in batches:
+            x = matrix(batch)
+            size = max(1, tile_bytes // (8 * max(1, x.shape[1])))
+            for n in range(0, len(x), size):
+                parts.append(x[n:n + size])
+                held += len(parts[-1])
+                if held >= size:
+                    yield packed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield packed(parts)
+
+    return vectors.mapInArrow(pack, "d int, bits int, tile binary")
+
+
+def _read(batches):
+    """The matrices of tiles."""
+    for batch in batches:
+        for d, bits, tile in zip(*(batch.column(c) for c in ("d", "bits", "tile"))):
+            yield np.frombuffer(tile.as_buffer(), f"<i{bits.as_py() // 8}").reshape(-1, d.as_py())
+
+
 def _moments(fit: DataFrame):
     """Rows, exact sums and the greatest absolute entry of the fit list."""
     def add(batches):
         sums, rows, most = None, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch)
+        for x in _read(batches):
             top = max(-int(x.min()), int(x.max()), 0)
             part = exact(x, top * len(x)).sum(axis=0)
             sums = [int(a) + int(b) for a, b in zip(sums or [0] * x.shape[1], part)]
@@ -82,10 +117,9 @@ def _product(fit: DataFrame, mean, q):
     """XᵀXQ of the centred fit list divided by its length, and the trace of XᵀX so divided: one pass."""
     def multiply(batches):
         total, trace, rows = 0.0, 0.0, 0
-        for batch in batches:
-            if batch.num_rows:
-                z = matrix(batch) - mean
-                total, trace, rows = total + z.T @ (z @ q), trace + float(np.einsum("ij,ij->", z, z)), rows + len(z)
+        for x in _read(batches):
+            z = x - mean
+            total, trace, rows = total + z.T @ (z @ q), trace + float(np.einsum("ij,ij->", z, z)), rows + len(z)
         if rows:
             cells = np.concatenate([total.ravel(), [trace, float(rows)]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)], schema=_CELL)
@@ -158,7 +192,8 @@ def leading(times, d: int, wanted: int, trace, seed: int = 0, spare: int = SPARE
 
 def fit(rows: DataFrame, components: int = COMPONENTS, x: str = "x") -> Whitener:
     """The whitener of the distinct vectors ``x`` of ``rows``, with the greatest error of the whitened covariance."""
-    fit_list = stored(rows.select(F.col(x).alias("x")).groupBy("x").agg(F.lit(1).alias("one")).drop("one"), "whitening-fit")
+    distinct = rows.select(F.col(x).alias("x")).groupBy("x").agg(F.lit(1).alias("one")).drop("one")
+    fit_list = stored(tiles(distinct), "whitening-fit")
     n, sums, most = _moments(fit_list)
     d = len(sums)
     mean = np.array([float(s) / n for s in sums]) if n else np.zeros(0)

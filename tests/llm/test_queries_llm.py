@@ -15,7 +15,7 @@ from sieveline.llm.queries import ORACLE, QUERIES
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     yield con
     con.close()
@@ -34,7 +34,7 @@ def test_same_rows_as_sql(spark, duck, sf_dir, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
