@@ -234,9 +234,9 @@ def _product(size, percent):
     return product
 
 
-def _links(blocks: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The links within blocks of rows (row, g, i, j, side, node), whose texts are fetched by ``row``."""
-    return docs.join(blocks, "row").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").select(
+def _links(blocks: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links within blocks of rows (g, i, j, side, node)."""
+    return texts.join(blocks, "node").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").select(
         "g", "i", "j", "side", "node", "t").mapInPandas(_product(size, percent), "u long, v long")
 
 
@@ -253,13 +253,16 @@ def links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int = SHINGL
     above = shared.groupBy(F.col("node").alias("m")).agg(F.min("m").alias("g"))
     members = stored(shared.join(above, "m").select("g", "node").distinct().join(nodes, "node").select(
         "g", "node", "n", "row"), "jaccard-members")
+    # the texts move once, and only those of sets in blocks move again
+    texts = stored(docs.join(members.select("row", "node").distinct(), "row").groupBy("node").agg(F.first("t").alias("t")),
+                   "jaccard-texts")
     parts = stored(members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / shingles)).cast("int")
                                             .alias("parts")), "jaccard-parts")
     dealt = members.join(parts, "g").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     first = dealt.withColumn("i", F.explode(F.when(F.col("node") == F.col("g"), every).otherwise(F.array("own")))).select(
-        "row", "g", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "node")
-    found = stored(_links(first, docs, size, percent), "jaccard-links")
+        "g", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "node")
+    found = stored(_links(first, texts, size, percent), "jaccard-links")
 
     split = stored(dealt.filter("parts > 1"), "jaccard-split")
     if split.isEmpty():
@@ -269,16 +272,16 @@ def links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int = SHINGL
     counts = stored(rooted.groupBy("g", "root").count(), "jaccard-roots")
     largest = counts.groupBy("g").agg(F.max(F.struct("count", "root")).alias("most")).select(
         "g", F.col("most.root").alias("largest"))
-    apart = stored(rooted.join(largest, "g").filter("root <> largest").select("row", "g", "node", "n", "parts"), "jaccard-apart")
+    apart = stored(rooted.join(largest, "g").filter("root <> largest").select("g", "node", "n", "parts"), "jaccard-apart")
     if apart.isEmpty():
         return found
     groups = stored(apart.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / shingles)).cast("int")
                                            .alias("groups")), "jaccard-groups")
     own = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
-    one = apart.join(groups, "g").select("row", "g", own.alias("i"), F.explode(every).alias("j"), F.lit(1).alias("side"), "node")
-    other = split.join(groups, "g").select("row", "g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"),
+    one = apart.join(groups, "g").select("g", own.alias("i"), F.explode(every).alias("j"), F.lit(1).alias("side"), "node")
+    other = split.join(groups, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"),
                                            F.col("own").alias("j"), F.lit(0).alias("side"), "node")
-    return found.union(stored(_links(one.union(other), docs, size, percent), "jaccard-links"))
+    return found.union(stored(_links(one.union(other), texts, size, percent), "jaccard-links"))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
