@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from sieveline.functions.text import NOT_BLANK_SQL, STRIP_SQL, is_blank, odd_letters, quote, strip
 from sieveline.operators.lines import explode_lines, unnest, with_lines
+from sieveline.operators.literals import fold, grams, index
 from sieveline.operators.signals import signals_sql
 from sieveline.operators.structure import complex_functions, long_functions_sql
 from sieveline.rules import PACKS
 from sieveline.schema import FINDING_COLUMNS, MAX_SNIPPET, severity_rank_sql
+from sieveline.session import written
 
 #: ignore case, Unicode classes
 FLAGS = "(?iU)"
@@ -195,31 +197,55 @@ def describe(rows: DataFrame, packs: dict = PACKS, keep=()) -> DataFrame:
     return full.select(*FINDING_COLUMNS, *extra)
 
 
-#: rule tables up to this many rows are broadcast
-BROADCAST_RULES = 10_000
-#: a larger table is joined on language and one of this many salts
+#: an index of rules up to this many bytes goes to every task; a larger one meets the lines by a shuffle on the gram
+BROADCAST_BYTES = 64 << 20
+#: rules without a literal are spread over so many salts
 RULE_SALTS = 64
 
 
+def literal_hits(lines: DataFrame, index: DataFrame, sizes, small: bool) -> DataFrame:
+    """Pairs of lines and rules whose literal occurs in the line, each once, with the columns of both.
+
+    A line holds each of its grams once and a literal is filed under one gram, so a literal hits a line once; of a rule's
+    literals the first that occurs makes the pair.
+    """
+    grammed = lines.withColumn("gram", F.explode(grams(F.col("folded"), sizes)))
+    hits = grammed.join(F.broadcast(index) if small else index, ["language", "gram"])
+    return hits.filter(F.contains("folded", "literal") & ~F.exists("earlier", lambda s: F.contains("folded", s)))
+
+
 def scan_with_table(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Match every line against rules given as a table (``language, rule_id, pattern,
-    rule_ordinal, severity, confidence``).
+    """Match lines against rules given as a table (``language, rule_id, pattern, rule_ordinal, severity, confidence``).
 
-    The table is counted first.  A small one is broadcast and joined on language, the
-    expression being the join's residual condition.  A larger one is spread over salts, so
-    that neither the four languages nor one hot language decide the parallelism.
+    A rule is tried only on lines that hold one of the literals its expression requires (``literals.index``). The index is
+    written once and measured: within ``BROADCAST_BYTES`` it goes to every task and no line is moved, beyond that lines and
+    index meet by language and gram, where adaptive execution splits frequent grams. Rules that require nothing meet every
+    line of their language, dealt over salts if there are too many to send.
     """
     usable = rules.filter(F.col("pattern").isNotNull()).select(
-        "language", "rule_id", "rule_ordinal", "severity", "confidence",
-        F.concat(F.lit(FLAGS), F.col("pattern")).alias("pattern"))
-    lines = explode_lines(files).filter(~is_blank(F.col("line")))
-    if usable.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        joined = lines.join(F.broadcast(usable), "language")
-    else:
-        salted = usable.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
-        lines = lines.withColumn("salt", F.pmod(F.hash("file_id", "line_no"), F.lit(RULE_SALTS)))
-        joined = lines.join(salted, ["language", "salt"])
-    return joined.filter(F.expr("line RLIKE pattern")).select(
+        "language", "rule_id", "rule_ordinal", "severity", "confidence", "pattern")
+    entries = written(index(usable), "rule-index").withColumn("pattern", F.concat(F.lit(FLAGS), F.col("pattern")))
+    size = F.sum(F.octet_length("pattern") + F.coalesce(F.octet_length("literal"), F.lit(0)) + F.octet_length("rule_id")
+                 + F.coalesce(F.octet_length(F.array_join("earlier", "")), F.lit(0)) + 128)
+    facts = entries.agg(F.coalesce(F.sum(F.when(F.col("literal").isNotNull(), F.lit(1))), F.lit(0)), F.count(F.lit(1)), size,
+                        F.collect_set(F.length("gram"))).first()
+    small = (facts[2] or 0) <= BROADCAST_BYTES
+    lines = explode_lines(files).filter(~is_blank(F.col("line"))).withColumn("folded", fold(F.col("line")))
+    found = []
+    if facts[0]:
+        found.append(literal_hits(lines, entries.filter("literal IS NOT NULL"), sorted(facts[3]), small))
+    if facts[1] > facts[0]:
+        free = entries.filter("literal IS NULL")
+        if small:
+            found.append(lines.join(F.broadcast(free), "language"))
+        else:
+            salted = free.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
+            dealt = lines.withColumn("salt", F.pmod(F.hash("file_id", "line_no"), F.lit(RULE_SALTS)))
+            found.append(dealt.join(salted, ["language", "salt"]))
+    columns = ["file_id", "rule_id", "line_no", "line", "severity", "confidence", "rule_ordinal", "pattern"]
+    pairs = [f.select(*columns) for f in found] or [lines.join(entries.limit(0), "language").select(*columns)]
+    out = pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])
+    return out.filter(F.expr("line RLIKE pattern")).select(
         "file_id", "rule_id", F.col("line_no").alias("line_start"), "severity",
         F.col("confidence").alias("confidence_score"), F.col("rule_ordinal").alias("ordinal"),
         F.substring(strip(F.col("line")), 1, MAX_SNIPPET).alias("code_snippet"))

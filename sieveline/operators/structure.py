@@ -65,62 +65,120 @@ def long_functions_sql() -> str:
     return f"CASE WHEN size(lines) > {LONG_FUNCTION_LINES + 1} THEN {_by_language(of)} END"
 
 
-# One path more for each of these: a statement at the start of a line or behind ``:`` or ``;``, a loop or comprehension,
-# and each of the two operators a line uses.
-_STATEMENT = r"(?:^|[:;])\s*(?:if|elif|while|except|with|assert)\b"
-_LOOP = r"(?<!\basync )\bfor\b|(?<=[\[({,\w] async )for\b"
-_OPERATORS = (r"\band\b", r"\bor\b")
+# --- complexity of Python functions: a lexer, and a stack over its tokens -------------------
+
 _BRANCH_WORDS = r"\b(?:if|elif|for|while|except|with|assert|and|or)\b"
-_DEFINED = r"^\s*(?:async\s+)?def\s+(\w+)"
-_TRIPLE = "\"\"\"|'''"
-_LITERAL_OR_REMARK = r'''"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|#[^\n]*'''
+#: one ordered expression; what it skips decides nothing, and its loops are possessive as they never need to go back
+_TOKENS = "(?sU)" + "|".join((
+    r'''\b[a-zA-Z]{1,2}+(?=["'])''',
+    r'''"""[^"\\]*+(?:(?:\\.|"(?!""))[^"\\]*+)*+"""''', r"""'''[^'\\]*+(?:(?:\\.|'(?!''))[^'\\]*+)*+'''""",
+    r'''"[^"\\\n\r]*+(?:\\(?:\r\n|.)[^"\\\n\r]*+)*+"''', r"""'[^'\\\n\r]*+(?:\\(?:\r\n|.)[^'\\\n\r]*+)*+'""",
+    r"#[^\n\r]*+", r"\\(?:\r\n|\n|\r)", r"(?:\r\n|\n|\r)[ \t\f]*+", r"\w++",
+    r"[=!<>]=", r"->", r"[-+*/%&|^@<>:]*+=", r"[()\[\]{}:;,@]", r"""["']"""))
+_AT_START = ("if", "elif", "while", "except", "assert")
+_PARTS = ("if", "else", "for", "lambda", "return", "yield")
+_OPEN = "array<struct<name:string,line:int,indent:int,before:int>>"
+_DONE = "array<struct<name:string,line:int,complexity:int>>"
+_STATE = ("line", "indent", "fresh", "stmt", "prev", "levels", "total", "deco", "open", "done", "broken")
+
+
+def _after(state: Column, **changed) -> Column:
+    return F.struct(*(changed.get(name, state[name]).alias(name) for name in _STATE))
+
+
+def _closed(functions: Column, total: Column) -> Column:
+    grown = F.filter(functions, lambda f: total - f["before"] >= COMPLEXITY_LIMIT)
+    return F.transform(grown, lambda f: F.struct(
+        f["name"].alias("name"), f["line"].alias("line"), (total - f["before"] + 1).alias("complexity"))).cast(_DONE)
+
+
+def _breaks(token: Column) -> Column:
+    """Line ends inside a token."""
+    return F.regexp_count(token, F.lit(r"\r\n|\n|\r")).cast("int")
+
+
+def _line_begun(state: Column, token: Column) -> Column:
+    """The first token of a logical line ends the functions that are not indented less."""
+    deco = F.when((token == "@") & (state["deco"] < 0), state["total"]) \
+        .when(token.isin("@", "def", "async"), state["deco"]).otherwise(F.lit(-1))
+    over = F.filter(state["open"], lambda f: f["indent"] >= state["indent"])
+    return F.when(state["fresh"], _after(
+        state, fresh=F.lit(False), deco=deco, open=F.filter(state["open"], lambda f: f["indent"] < state["indent"]),
+        done=F.concat(state["done"], _closed(over, state["total"])).cast(_DONE))).otherwise(state)
+
+
+def _token_read(state: Column, token: Column) -> Column:
+    """The state after a token that is no line end or remark.
+
+    ``levels`` has a letter for every open bracket, which tells the operators of the expression inside: ``0`` none, ``A`` a
+    chain of ``and``, ``O`` one of ``or``, ``B`` a chain of ``and`` within one of ``or``. A chain that begins is a path.
+    """
+    none, no = F.lit(""), F.lit(False)
+    outside = F.length(state["levels"]) == 1
+    top = F.right(state["levels"], F.lit(1))
+    rest = F.substr(state["levels"], F.lit(1), F.length(state["levels"]) - 1)
+    anew = F.concat(rest, F.lit("0"))
+    both = F.when(top.isin("0", "A"), "A").otherwise("B")
+    either = F.lit("O")
+    chain = (top == "0") | ((token == "and") & (top == "O")) | ((token == "or") & (top == "A"))
+    counts = F.when(state["stmt"], token.isin(*_AT_START) | (token.isin("for", "with") & (state["prev"] != "async"))) \
+        .otherwise(token == "for")
+    named = F.struct(token.alias("name"), state["line"].alias("line"), state["indent"].alias("indent"),
+                     F.when(state["deco"] >= 0, state["deco"]).otherwise(state["total"]).alias("before"))
+    return F.when((state["prev"] == "def") & token.rlike(r"(?U)^\w"), _after(
+        state, open=F.concat(state["open"], F.array(named)).cast(_OPEN), prev=none, deco=F.lit(-1), stmt=no)) \
+        .when(token.isin("(", "[", "{"), _after(state, levels=F.concat(state["levels"], F.lit("0")), stmt=no, prev=none)) \
+        .when(token.isin(")", "]", "}"), _after(
+            state, levels=F.when(outside, F.lit("0")).otherwise(rest), broken=state["broken"] | outside, stmt=no, prev=none)) \
+        .when(token.isin("and", "or"), _after(
+            state, levels=F.concat(rest, F.when(token == "and", both).otherwise(either)),
+            total=state["total"] + chain.cast("int"), stmt=no, prev=none)) \
+        .when(token.isin(*_AT_START, "with", *_PARTS), _after(
+            state, levels=anew, total=state["total"] + counts.cast("int"), stmt=no, prev=none)) \
+        .when(token.isin(":", ";"), _after(state, levels=anew, stmt=outside, prev=none)) \
+        .when(token.isin(",", "->") | (token.endswith("=") & ~token.isin("==", "!=", "<=", ">=")), _after(
+            state, levels=anew, stmt=no, prev=none)) \
+        .when(token.isin("async", "def") & state["stmt"], _after(state, prev=token)) \
+        .when(token.isin('"', "'"), _after(state, broken=F.lit(True))) \
+        .otherwise(_after(state, line=state["line"] + F.when(token.rlike("^[\"']"), _breaks(token)).otherwise(F.lit(0)),
+                          stmt=no, prev=none))
 
 
 def complex_functions(language: Column, source: Column) -> Column:
     """Python functions above complexity 10: ``array<struct<name, line, complexity>>``.
 
-    Told from the text alone: literals and remarks are blanked, a function reaches to the next filled line that is not
-    indented deeper, and its paths are counted from words, those of inner functions included. One pass over the lines keeps
-    the open functions as state. Against a parser this differs where an operator is chained over lines, where a line inside
-    brackets is indented less than its function, and in files that do not parse at all. Files with fewer than ten branch
-    words in total cannot hold such a function and are settled by counting.
+    One ordered expression cuts the text into literals, remarks, words, brackets and signs, so a quote in a remark or a
+    remark sign in a literal is what it is to Python. One pass over the tokens keeps the logical line over brackets and
+    continued lines, the open functions by their indent, and the chains of ``and`` and ``or`` of every bracket level, as
+    their precedence groups them. Files with fewer than ten branch words in total cannot hold such a function and are
+    settled by counting; files with unpaired brackets or quotes have none. Against a parser it differs where expressions
+    inside f-strings branch, and in files that do not parse for another reason.
     """
     worth = (language == "python") & (F.regexp_count(source, F.lit(_BRANCH_WORDS)) >= COMPLEXITY_LIMIT)
-    pieces = F.transform(F.split(source, _TRIPLE), lambda piece, n: F.when(
-        n % 2 == 1, F.regexp_replace(piece, r"[^\n\r]+", "")).otherwise(piece))
-    code = F.regexp_replace(F.array_join(pieces, '""'), _LITERAL_OR_REMARK, '""')
-
-    def facts(line, at):
-        paths = F.regexp_count(line, F.lit(_STATEMENT)) + F.regexp_count(line, F.lit(_LOOP))
-        for word in _OPERATORS:
-            paths = paths + line.rlike(word).cast("int")
-        return F.struct(at.alias("at"), F.length(F.regexp_extract(line, r"^[ \t]*", 0)).alias("indent"),
-                        line.rlike(r"\S").alias("filled"), F.regexp_extract(line, _DEFINED, 1).alias("name"),
-                        paths.alias("paths"))
-
-    # literals leave an empty pair of quotes behind, which fills no line by itself
-    lines = F.transform(F.split(code, r"\r\n|\n|\r"), lambda x: F.when(x.rlike(r'\A[\s"]*\z'), "").otherwise(x))
-    opened, done = "array<struct<name:string,line:int,indent:int,before:int>>", "array<struct<name:string,line:int,complexity:int>>"
-    start = F.struct(F.array().cast(opened).alias("open"), F.lit(0).alias("total"), F.array().cast(done).alias("done"))
-
-    def finished(functions, total):
-        grown = F.filter(functions, lambda f: total - f["before"] >= COMPLEXITY_LIMIT)
-        return F.transform(grown, lambda f: F.struct(f["name"].alias("name"), f["line"].alias("line"),
-                                                     (total - f["before"] + 1).cast("int").alias("complexity"))).cast(done)
-
-    def step(state, line):
-        def ends(f):
-            return line["filled"] & (f["indent"] >= line["indent"])
-        new = F.when(line["name"] != "", F.array(F.struct(
-            line["name"].alias("name"), (line["at"] + 1).cast("int").alias("line"), line["indent"].cast("int").alias("indent"),
-            state["total"].alias("before")))).otherwise(F.array()).cast(opened)
-        return F.struct(
-            F.concat(F.filter(state["open"], lambda f: ~ends(f)), new).cast(opened).alias("open"),
-            (state["total"] + line["paths"]).cast("int").alias("total"),
-            F.concat(state["done"], finished(F.filter(state["open"], ends), state["total"])).cast(done).alias("done"))
-
-    found = F.aggregate(F.transform(lines, facts), start, step,
-                        lambda state: F.concat(state["done"], finished(state["open"], state["total"])))
+    tokens = F.regexp_extract_all(F.concat(F.lit("\n"), source), F.lit(_TOKENS), F.lit(0))
+    zero = F.lit(0)
+    first = {"line": zero, "indent": zero, "fresh": F.lit(True), "stmt": F.lit(True), "prev": F.lit(""), "levels": F.lit("0"),
+             "total": zero, "deco": F.lit(-1), "open": F.array().cast(_OPEN), "done": F.array().cast(_DONE), "broken": F.lit(False)}
+
+    def line_end(state, token):
+        outside = F.length(state["levels"]) == 1
+        width = F.length(F.replace(F.regexp_replace(token, r"[\n\r\f]", ""), F.lit("\t"), F.lit(" " * 8)))
+        return _after(state, line=state["line"] + 1, indent=F.when(outside, width).otherwise(state["indent"]),
+                      fresh=state["fresh"] | outside, stmt=state["stmt"] | outside, prev=F.lit(""),
+                      levels=F.when(outside, F.lit("0")).otherwise(state["levels"]))
+
+    def step(state, token):
+        # the one-element array computes the state at the line's begin once
+        begun = F.transform(F.array(_line_begun(state, token)), lambda s: _token_read(s, token))
+        return F.when(token.rlike(r"^[\n\r]"), line_end(state, token)).when(token.startswith("#"), state) \
+            .when(token.startswith("\\"), _after(state, line=state["line"] + 1)).otherwise(F.element_at(begun, 1))
+
+    def finish(state):
+        broken = state["broken"] | (F.length(state["levels"]) > 1)
+        return F.when(broken, F.array().cast(_DONE)).otherwise(
+            F.concat(state["done"], _closed(state["open"], state["total"])).cast(_DONE))
+
+    found = F.aggregate(tokens, F.struct(*(first[n].alias(n) for n in _STATE)), step, finish)
     return F.when(worth, found)
 
 

@@ -1,8 +1,9 @@
 """Session settings and the shared folder."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: settings the library relies on; a cluster sets its own partition numbers
 SETTINGS = {
@@ -46,3 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="sieveline-")
     return _LOCAL[app]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` into the shared folder and reads it back: computed once, and no lineage behind it."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

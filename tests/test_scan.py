@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.operators import lines, scan, structure
+from sieveline.operators import lines, literals as literals_of, scan, structure
 from sieveline.rules import PACKS
 from sieveline.sources import corpus
 
@@ -112,9 +112,9 @@ def test_each_rule_fires_and_stays_silent(make_files):
         assert ((n, rule_id) in got) == fires, (rule_id, rows[n])
 
 
-@pytest.mark.parametrize("limit", [10_000, 3])
+@pytest.mark.parametrize("limit", [1 << 20, 3])
 def test_table_plan_agrees_with_literal_plan(spark, make_files, monkeypatch, limit):
-    monkeypatch.setattr(scan, "BROADCAST_RULES", limit)
+    monkeypatch.setattr(scan, "BROADCAST_BYTES", limit)
     files = make_files(*texts())
     a = scan.scan_files(files, structural=False).select("file_id", "rule_id", "line_start", "code_snippet")
     b = scan.scan_with_table(files, scan.rule_table(spark)).select(*a.columns)
@@ -238,3 +238,113 @@ def test_service_lines_and_snippets(make_files):
     rows = scan.service_findings(make_files(("csharp", source)), SERVICE_PACK).collect()
     assert {r.line_start for r in rows} == {2}
     assert all(r.snippet == ("new BinaryFormatter();\x0c " + "x" * 300)[:200] for r in rows)
+
+
+def complexities(make_files, sources):
+    """What is found, by file and line, and what the parser says."""
+    files = make_files(*[("python", s) for s in sources])
+    rows = files.select("file_id", F.explode(structure.complex_functions(F.col("language"), F.col("source"))).alias("c")).collect()
+    want = {}
+    for n, source in enumerate(sources):
+        try:
+            tree = ast.parse(source)
+        except SyntaxError:
+            continue
+        for node in ast.walk(tree):
+            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)) and _paths(node) > 10:
+                want[(n, node.lineno)] = (node.name, _paths(node))
+    return {(r.file_id, r.c.line): (r.c.name, r.c.complexity) for r in rows}, want
+
+
+BRANCHY = "".join(f"    if a == {n} and b:\n        pass\n" for n in range(6))
+
+
+def test_complexity_with_quotes_and_brackets(make_files):
+    """Quotes in remarks and literals, brackets over lines, groups of operators, decorators, prefixes."""
+    f = "def f(a, b):\n" + BRANCHY
+    sources = [
+        '# say """ here\n' + f, "a = '\"\"\"'\n" + f, 'a = "\'\'\'" # \'\n' + f, "x = '#'\n" + f, "x = r'\\'' + b\"\\\"#\"\n" + f,
+        'def g(a, b):\n    """if and """\n    s = "it\'s # " # don\'t\n' + BRANCHY + "\n\n" + f,
+        "def f(a, b):\n    return [\n(a and b) or (a and c),\n[x for x in a if x and b or c and d]\n]\n" + BRANCHY + "y = 1\n",
+        "def f(a, b):\n" + "    x = (a and b) or (c and d)\n" * 4, "def f(a, b):\n" + "    x = a or b and c or d\n" * 5,
+        "def f(a, b):\n" + "    x = a and b == c and d, a and b\n" * 5, "def f(a, b):\n" + "    x = a and \\\n  b or \\\n c\n" * 5 + "z = 1\n",
+        "def f(a, b):\n" + "    g(a or b, k=a or b)[a or b:c or d]\n" * 3, "def f(a):\n" + "    x = a and b if c and d else e and f\n" * 4,
+        "def f(a):\n" + "    x = lambda: a and b or (lambda q: q or a)\n" * 4, "def f(a):\n" + "    a += a or b; a //= a or b; assert a or b\n" * 3,
+        "@dec(a and b or c and d)\n@other\n" + "def f(a):\n" + "    x = a or b\n" * 8, "class C:\n    @dec(a or b)\n    async def f(self):\n"
+        + "        async with a or b: pass\n        async for i in a: pass\n        with a: pass\n" * 5,
+        "def f(a):\n" + "\tif a: assert a\n\telse: assert a or b\n" * 4 + "\t# if and or\n\n" + "def g(a): return a and b\n",
+        "def f(a):\n  return {\n" + "  a: b or c,\n" * 11 + "  }\n", "def f(a):\n" + "  while a!=b and b>=c or d<=e and f==g: pass\n" * 3,
+        'def f(a):\n    """doc\n  def x(): if and or\n' + "if and\n" * 9 + '    """\n' + BRANCHY.replace("b:", "b or c:"),
+        "def f(a):\n" + "    x = [i for i in a for j in i]\n" * 6 + "    def g(): pass\n", "def f(a, b=(c and d) or (e and f)) -> (a or b):\n" + BRANCHY,
+        "def f(a):\n    x = '\\\n if and or \\\n'\n" + BRANCHY + "x = 1\nif a and b: pass\n" + f, "if x:\n  " + f.replace("\n", "\n  ").rstrip(" "),
+        "def f(a):\n" + "    try: pass\n    except (A or B): pass\n    except: pass\n" * 4, f.replace("\n", "\r\n"), f.replace("\n", "\r"),
+        "def f(a):\n" + "    match a:\n        case 1 if a and b: pass\n" * 10, "def f(:\n" + BRANCHY, f + "x = (1\n", f + "s = 'open\n", "x = )\n" + f, f + '"""',
+        "def f(a):\n    return a.x if a.y and not a.z or not (a or b) else yield_ and a\n" + BRANCHY, "def ünïcode(a):\n" + BRANCHY,
+        "async  def  f(a):\n" + BRANCHY + "\x0c\ndef g(a): pass\n", f + "    if (yield a) and b: pass\n" + "if a or b:\n    pass\n" * 9]
+    got, want = complexities(make_files, sources)
+    assert got == want and len(want) >= 30
+
+
+def test_complexity_of_a_library(make_files):
+    """Files of the standard library, but for operators inside f-strings."""
+    import argparse
+    import difflib
+    import inspect
+    import tarfile
+    import textwrap
+    import tokenize
+    sources = [inspect.getsource(m) for m in (argparse, difflib, tarfile, textwrap, tokenize, ast)]
+    got, want = complexities(make_files, sources)
+    assert got == want and len(want) > 30
+
+
+@pytest.mark.parametrize("pattern, literals", [
+    (r"\beval\s*\(", ["eval"]), (r"os\.system\(", ["os.system("]), (r"(?:md5|sha1)\(", ["md5(", "sha1("]), (r"a?b+c{2,}", ["b"]),
+    (r"[ab]c*", ["a", "b"]), (r"[a-z]c*", []), (r"foo|fab", ["fab", "foo"]), (r"x[=:]['\"]y", ['x:"y', "x:'y", 'x="y', "x='y"]), (r"(foo|b.r)baz", ["baz"]), (r"(foobar|ba.)x", ["ba"]), (r"Straße", ["stra"]), (r"x*", []),
+    (r"(?=needle)n", ["needle"]), (r"(?!needle)n", ["n"]), (r"(", []), (None, []), (r"(?i:SELECT)\s+\w+\s+FROM", ["select"]),
+    (r"(?:abc|abcd)", ["abc"]), (r"\p{Alpha}word", []), (r"(?>atom)ic", ["atom"]), (r"a|", [])])
+def test_required_literals(pattern, literals):
+    assert literals_of.required(pattern) == literals
+
+
+def test_packs_have_literals_where_they_are_met(spark):
+    """A line on which a rule fires holds one of its literals."""
+    without = []
+    for rules in PACKS.values():
+        for rule in rules:
+            if rule.pattern:
+                found = literals_of.required(rule.pattern)
+                without += [] if found else [rule.rule_id]
+                line = CASES[rule.rule_id][0].lower()
+                assert not found or any(s in line for s in found)
+    assert len(without) <= 5
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1000])
+def test_thousands_of_rules(spark, make_files, monkeypatch, limit):
+    """5,000 rules: rows as by trying all of them, and no more candidate pairs than literal hits."""
+    import random
+    monkeypatch.setattr(scan, "BROADCAST_BYTES", limit)
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(3, 8))) for _ in range(3000)})
+    shapes = (r"\b{0}\s*\(", r"{0}\.{1}", r"(?:{0}|{1})\s*=\s*[\"']", r"{0}.*{1}", r"{0}[0-9]+")
+    rules = [("python", f"R{n}", n, "low", 0.5, shapes[n % 5].format(rng.choice(words), rng.choice(words))) for n in range(5000)]
+    rules += [("python", "FREE", 5000, "low", 0.5, r"^\s*[0-9]{4}$"), ("python", "NONE", 5001, "low", 0.5, None),
+              ("java", "OTHER", 0, "low", 0.5, words[0])]
+    table = spark.createDataFrame(rules, "language string, rule_id string, rule_ordinal int, severity string, confidence double, "
+                                         "pattern string")
+    ends = ("(x)", " = 'v'", "7", ".", "")
+    texts_ = ["\n".join(f"{rng.choice(words)}{rng.choice('. ')}{rng.choice(words).upper()}{rng.choice(ends)}" for _ in range(60))
+              + "\n\n 2024\n" for _ in range(6)] + [f"{words[0]} ſ\u212aı" + words[1].replace("s", "ſ").replace("i", "ı") + "("]
+    files = make_files(*[("python", t) for t in texts_])
+    got = sorted((r.file_id, r.line_start, r.rule_id) for r in scan.scan_with_table(files, table).collect())
+    compiled = [(r[1], re.compile(r[5], re.IGNORECASE)) for r in rules if r[0] == "python" and r[5]]
+    folded = [[line.replace("ſ", "s").replace("ı", "i") for line in t.split("\n")] for t in texts_]
+    want = sorted((n, at + 1, rule) for n, ls in enumerate(folded) for at, line in enumerate(ls) for rule, p in compiled if p.search(line))
+    assert got == want and len(got) > 100
+    entries = literals_of.index(table.filter("pattern IS NOT NULL"))
+    kept = [(r.rule_id, r.literal) for r in entries.collect() if r.language == "python" and r.literal]
+    lined = lines.explode_lines(files).withColumn("folded", literals_of.fold(F.col("line")))
+    pairs = scan.literal_hits(lined, entries.filter("literal IS NOT NULL"), [3], limit > 1000)
+    hits = {(n, at, rule) for n, ls in enumerate(folded) for at, line in enumerate(ls) for rule, s in kept if s in line.lower()}
+    assert pairs.count() == len(hits) < 5000 * 370 / 50
