@@ -1,18 +1,26 @@
 """Mixing to target weights by soft membership.
 
 A classifier, trained on the documents of a labelled table, gives each document a posterior over domains. Nonnegative
-rates are then fitted so that the expected tokens of each domain, sum of rate x tokens x posterior, meet their targets: of
-all such rates the ones nearest to 1, weighted by tokens; if no rates meet them, the least squares. Such a rate is 1 less a
-multiplier a domain times the posterior, cut at 0 (and at an upper bound, if one is given), so Newton steps on the
-multipliers find it. A step needs a few sums a domain over all documents, and nothing but those sums reaches the driver; steps
-go on until the targets are met to ``TOLERANCE`` or cannot be met better. A document stays ``copies`` times: its rate, rounded
-up or down by a hash.
+rates are then fitted so that the expected tokens of each domain, sum of rate x tokens x posterior, meet their targets, by
+projected-gradient least squares: every rate starts at 1 and moves against the gradient, cut at 0. Rates stay with their
+documents. A step is one pass that sums a few numbers a domain over all documents; the driver turns them into the next
+gradient, and every ``HELD`` steps the rates are written.
+
+The gradient is taken in the metric of the documents whose rate can still move (the second moments of their posteriors,
+weighted by tokens, and a damping), so that what a step does to a rate depends on the document's posterior alone and a
+change is spread over all documents that can bring it. The damping falls while steps help; a step that does not is taken
+back and repeated with more of it, down to short steps along the plain gradient.
+
+Rates lie within a trust region around 1, at most ``TRUST`` at first. If the targets cannot be met in it, it grows by that
+factor, but only as long as that at least halves the misfit: targets that no rates can meet move the rates no further than
+``TRUST``, and nothing is thrown away for them. ``most`` bounds the rates beyond that; the shares that are reached are
+returned, ``met`` tells whether they are the targets, and missed ones are logged. A document stays ``copies`` times: its
+rate, rounded up or down by a hash.
 
 The classifier averages embeddings of hashed features (what a word looks like, its first letters) under a linear softmax, on
 about ``SAMPLE`` labelled documents a domain, at most twice that. Null and empty texts have no tokens and equal posteriors
-but for the bias; their rate cannot help a target and stays near 1. Null labels are not learnt from; without any labelled
-document all posteriors are equal. Long texts are read whole. Repeated rows share posterior, rate and copies. An empty
-table gives an empty result.
+but for the bias; their rate is 1. Null labels are not learnt from; without any labelled document all posteriors are equal.
+Long texts and words are read whole. Repeated rows share posterior, rate and copies. An empty table gives an empty result.
 """
 
 import logging
@@ -31,10 +39,13 @@ from sieveline.llm.language import BUCKETS, _softmax, fit
 #: shares of the tokens wanted of each domain
 TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 SAMPLE, TOLERANCE = 1000, 1e-4
-#: upper bound of a rate where none is asked for, and the weight of small changes against the targets
-MOST, RIDGE = math.inf, 1e-8
+#: upper bound of a rate where none is asked for, damping at the start and at least
+MOST, FIRST_DAMPING, LEAST_DAMPING = math.inf, 1e-2, 1e-6
+#: first bound of the trust region and its factor, steps in one region, and steps from one writing of the rates to the next
+TRUST, STEPS, HELD = 16.0, 60, 8
 _LOG = logging.getLogger(__name__)
-REMEMBERED = 300_000
+#: words that a task remembers, and the longest of them
+REMEMBERED, LONGEST = 300_000, 64
 _SHAPE = re.compile(r"(.)\1+")
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -57,7 +68,7 @@ class _Kinds(dict):
 
 def _look(word, kinds):
     """Runs of letters, capitals, digits and signs of a word, each once."""
-    return _SHAPE.sub(r"\1", word[:32].translate(kinds))
+    return _SHAPE.sub(r"\1", word.translate(kinds))
 
 
 class _Buckets(dict):
@@ -66,7 +77,9 @@ class _Buckets(dict):
     def __missing__(self, feature):
         if len(self) > REMEMBERED:
             self.clear()
-        value = self[feature] = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+        value = zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BUCKETS
+        if len(feature) <= LONGEST:
+            self[feature] = value
         return value
 
 
@@ -82,7 +95,9 @@ class _Features(dict):
             self.clear()
         low = word.lower()
         look = "a" if word.isalpha() and word == low else _look(word, self.kinds)
-        value = self[word] = self.bucket["l" + look] * BUCKETS + self.bucket["s" + low.lstrip(_SIGNS)[:4]]
+        value = self.bucket["l" + look] * BUCKETS + self.bucket["s" + low.lstrip(_SIGNS)[:4]]
+        if len(word) <= LONGEST:
+            self[word] = value
         return value
 
 
@@ -143,63 +158,102 @@ def posteriors(docs: DataFrame, model, domains, key: str = "doc_id", text: str =
         "k", "row", "f.tokens", "f.p")
 
 
-def _rate(slope, most):
-    """The rate before and within the bounds, at one multiplier a domain."""
-    free = F.lit(1.0) - sum((F.col("p")[k] * float(x) for k, x in enumerate(slope)), F.lit(0.0))
-    rate = F.greatest(F.lit(0.0), free)
-    return free, rate if np.isinf(most) else F.least(F.lit(float(most)), rate)
-
-
-def _sums(members, slope, most, total):
-    """Shares of all tokens that the domains get, the function to minimise but for its part in the multipliers alone, and its
-    second derivative."""
-    n = len(slope)
-    free, rate = _rate(slope, most)
-    inside = (F.col("free") > 0) & (F.col("free") < most)
-    weight = [F.col("tokens") * F.col("p")[k] for k in range(n)]
-    s = members.select("tokens", "p", free.alias("free"), rate.alias("r"))
-    got = s.agg(F.sum(F.col("tokens") * F.col("r") * (F.col("free") - F.col("r") / 2)), *(F.sum(w * F.col("r")) for w in weight),
-                *(F.sum(F.when(inside, weight[k] * F.col("p")[j]).otherwise(0.0)) for k in range(n) for j in range(k + 1))).first()
-    got = np.array(got, float) / total
-    second = np.zeros((n, n))
-    second[np.tril_indices(n)] = got[1 + n:]
-    return got[1:1 + n], got[0], second + np.tril(second, -1).T
+def _moved(steps, most: float):
+    """The rate after ``steps``, a gradient a domain each, from the column r."""
+    told = F.array(*(F.array(*(F.lit(float(x)) for x in g)) for g in steps))
+
+    def step(rate, g):
+        slope = sum((F.col("p")[k] * g[k] for k in range(len(steps[0]))), F.lit(0.0))
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate - slope))
+
+    return F.when(F.col("tokens") > 0, F.aggregate(told, F.col("r"), step)).otherwise(F.lit(1.0)) if steps else F.col("r")
+
+
+class Rates:
+    """Documents with tokens, p and their rates: written now and then, steps since pending."""
+
+    def __init__(self, members: DataFrame, domains: int, most: float = MOST):
+        self.held, self.domains, self.pending, self.most = members.withColumn("r", F.lit(1.0)), domains, [], most
+
+    def rated(self) -> DataFrame:
+        return self.held.withColumn("r", _moved(self.pending, self.most))
+
+    def settle(self):
+        """Writes the rates."""
+        if self.pending:
+            self.held, self.pending = stored(self.rated(), "mixing-rates"), []
+
+    def step(self, gradient):
+        if len(self.pending) == HELD:
+            self.settle()
+        self.pending.append([float(x) for x in gradient])
+
+    def back(self):
+        """Takes the last step back."""
+        self.pending.pop()
+
+    def sums(self, total: float):
+        """Each domain's share of all tokens by the rates, and the second moments of the documents whose rate can move."""
+        n = self.domains
+        weight = [F.col("tokens") * F.col("p")[k] for k in range(n)]
+        free = (F.col("r") > 0) & (F.col("r") < self.most)
+        pairs = [(k, j) for k in range(n) for j in range(k + 1)]
+        got = self.rated().agg(*(F.sum(w * F.col("r")) for w in weight), *(
+            F.sum(F.when(free, weight[k] * F.col("p")[j]).otherwise(0.0)) for k, j in pairs)).first()
+        got, moments = np.array(got, float) / total, np.zeros((n, n))
+        for (k, j), value in zip(pairs, got[n:]):
+            moments[k, j] = moments[j, k] = value
+        return got[:n], moments
+
+
+def _descend(rates: Rates, goal, total: float, most: float, enough: float, steps: int):
+    """Steps within the bound ``most`` until the targets are met or no step helps, and the shares then."""
+    rates.settle()
+    rates.most = most
+    damping, slow, last = FIRST_DAMPING, 0, None
+    for _ in range(steps):
+        shares, free = rates.sums(total)
+        misfit = float(np.linalg.norm(shares - goal))
+        if last is None or misfit < last[0]:
+            slow = slow + 1 if last and misfit > 0.999 * last[0] else 0
+            last, damping = (misfit, shares, free), max(damping / 4, LEAST_DAMPING)
+            if misfit <= enough or slow > 5:
+                break
+        else:
+            rates.back()
+            damping *= 8
+        misfit, shares, free = last
+        if damping > 1e3:  # not even a short step along the gradient helps
+            return shares
+        rates.step(np.linalg.solve(free + damping * np.eye(len(goal)), shares - goal))
+    else:
+        rates.back()
+    return last[1]
 
 
 def fit_rates_and_shares(members: DataFrame, targets: list, steps: int = None, most: float = None,
                          tolerance: float = TOLERANCE):
     """``members`` (with tokens and p) with their rate ``r``, and the share of all tokens that each domain gets by the rates.
 
-    ``most`` bounds the rates, ``steps`` the passes over the members; neither is bounded without them.
+    ``most`` bounds the rates, ``steps`` those in one trust region.
     """
-    most = MOST if most is None else most
+    most, steps = MOST if most is None else most, STEPS if steps is None else steps
     goal = np.array(targets, float)
     total = float(members.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
         return members.withColumn("r", F.lit(1.0)), np.zeros(len(goal))
-    size = max(np.linalg.norm(goal), 1e-12)
-
-    def at(slope):
-        shares, value, second = _sums(members, slope, most, total)
-        return slope, shares, value + goal @ slope + RIDGE / 2 * slope @ slope, second
-
-    slope, shares, value, second = at(np.zeros(len(goal)))
-    passes, length, down = 1, 1.0, None
-    while np.linalg.norm(shares - goal) > tolerance * size and (steps is None or passes < steps):
-        if down is None:
-            gradient = RIDGE * slope + goal - shares
-            if np.linalg.norm(gradient) <= tolerance / 10 * size:  # as near as any rates come
-                break
-            down, length = np.linalg.solve(second + RIDGE * np.eye(len(goal)), -gradient), 1.0
-        trial = at(slope + length * down)
-        passes += 1
-        if trial[2] <= value + 1e-4 * length * gradient @ down:
-            (slope, shares, value, second), down = trial, None
-        elif length < 1e-9:  # differences are below the precision of the sums
+    enough = tolerance * max(np.linalg.norm(goal), 1e-12)
+    rates, region = Rates(members, len(goal)), min(TRUST, most)
+    shares = _descend(rates, goal, total, region, enough, steps)
+    while np.linalg.norm(shares - goal) > enough and region < most:
+        rates.settle()
+        kept, region = rates.held, min(region * TRUST, most)
+        wider = _descend(rates, goal, total, region, enough, steps)
+        if np.linalg.norm(wider - goal) > np.linalg.norm(shares - goal) / 2:
+            rates.held, rates.pending = kept, []
             break
-        else:
-            length /= 4
-    return members.withColumn("r", _rate(slope, most)[1]), shares
+        shares = wider
+    return rates.rated(), shares
 
 
 def fit_rates(members: DataFrame, targets: list, steps: int = None, most: float = None, tolerance: float = TOLERANCE):
@@ -211,20 +265,21 @@ def fit_rates(members: DataFrame, targets: list, steps: int = None, most: float
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict = None, key: str = "doc_id", text: str = "text",
         most: float = None) -> DataFrame:
-    """k, row, tokens, p, rate, copies and shares of every document; ``labels`` holds k and domain, ``targets`` shares of all
-    tokens. ``shares``, the same in all rows, are the shares that the domains get by the rates; missed targets are logged."""
+    """k, row, tokens, p, rate, copies, shares and met of every document; ``labels`` holds k and domain, ``targets`` shares of
+    all tokens. ``shares`` and ``met``, the same in all rows, are the shares that the domains get by the rates, and whether
+    these are the targets."""
     targets = targets or TARGETS
     domains = sorted(targets)
     members = stored(posteriors(docs, train(docs, labels, key, text), domains, key, text), "mixing")
     goal = [targets[d] for d in domains]
     rated, shares = fit_rates_and_shares(members, goal, most=most)
-    missed = np.linalg.norm(shares - goal) > TOLERANCE * np.linalg.norm(goal)
+    missed = bool(np.linalg.norm(shares - goal) > TOLERANCE * np.linalg.norm(goal))
     _LOG.log(logging.WARNING if missed else logging.INFO, "mixing: %s", ", ".join(
         f"{d} {share:.5f} of {wanted:.5f}" for d, share, wanted in zip(domains, shares, goal)))
     chance = F.pmod(F.xxhash64(F.col("k"), F.lit("mixing")), F.lit(1 << 32)) / F.lit(float(1 << 32))
     return rated.withColumnRenamed("r", "rate").withColumn(
-        "copies", F.floor(F.col("rate") + chance).cast("int")).withColumn(
-        "shares", F.array(*(F.lit(float(x)) for x in shares)))
+        "copies", F.floor(F.col("rate") + chance).cast("long")).withColumn(
+        "shares", F.array(*(F.lit(float(x)) for x in shares))).withColumn("met", F.lit(not missed))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -233,4 +288,4 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict = None, key: str = "
     counts = stored(mix(docs, labels, targets, key, text).groupBy(F.col("row").alias(row)).agg(
         F.max("copies").alias(copies)).filter(F.col(copies) > 0), "mixing-copies")
     return docs.withColumn(row, F.xxhash64(key, text)).join(counts, row).withColumn(
-        copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+        copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

@@ -204,6 +204,45 @@ def test_scarce_domains_reach_their_targets(spark):
     assert max(r["r"] for r in bounded.collect()) <= 1.2 and shares[2] < goal[2] - 1e-3
 
 
+def test_unmeetable_targets_move_rates_a_little(spark):
+    """Posteriors that tell nothing apart, tokenless documents, a domain without any document."""
+    rng = np.random.default_rng(5)
+    flat = np.array([0.4, 0.35, 0.25]) + rng.normal(0, 1e-4, (50, 3))
+    for p, goal in ((flat, [0.9, 0.08, 0.02]), (np.tile([0.5, 0.5, 0.0], (50, 1)), [0.3, 0.2, 0.5]),
+                    (np.eye(3)[rng.integers(0, 2, 50)], [0.5, 0.3, 0.2])):
+        t = [0 if n % 10 == 0 else int(x) for n, x in enumerate(rng.integers(1, 900, 50))]
+        frame = spark.createDataFrame([(a, b.tolist()) for a, b in zip(t, p)], "tokens long, p array<double>").repartition(3)
+        rated, shares = mixing.fit_rates_and_shares(frame, goal)
+        got = rated.collect()
+        assert all(r["r"] == 1 for r in got if not r["tokens"])
+        assert max(r["r"] for r in got) <= mixing.TRUST and np.linalg.norm(shares - np.array(goal)) > 0.05
+        reached = np.sum([r["tokens"] * r["r"] * np.array(r["p"]) for r in got], axis=0) / sum(t)
+        assert np.allclose(reached, shares)
+    # a domain that nothing can bring does not spoil the others
+    assert np.allclose(shares[:2], [0.5, 0.3], atol=1e-2)
+
+
+def test_rates_follow_the_projected_gradient(spark):
+    """Steps of the operator are those of the formula, document by document."""
+    rng = np.random.default_rng(6)
+    p, t = rng.dirichlet([1, 1, 1], 40), rng.integers(0, 99, 40)
+    frame = spark.createDataFrame([(n, int(a), b.tolist()) for n, (a, b) in enumerate(zip(t, p))], "n int, tokens long, p array<double>")
+    rates = mixing.Rates(frame, 3, most=1.5)
+    now = np.ones(40)
+    for n in range(mixing.HELD + 3):
+        shares, free = rates.sums(float(t.sum()))
+        assert np.allclose(shares, (t * now) @ p / t.sum())
+        moving = (now > 0) & (now < 1.5)
+        assert np.allclose(free, (p[moving] * t[moving, None]).T @ p[moving] / t.sum())
+        gradient = rng.normal(0, 0.3, 3)
+        rates.step(rng.normal(0, 0.3, 3))
+        rates.back()
+        rates.step(gradient)
+        now = np.where(t > 0, np.clip(now - p @ gradient, 0, 1.5), 1.0)
+    got = {r["n"]: r["r"] for r in rates.rated().collect()}
+    assert np.allclose([got[n] for n in range(40)], now)
+
+
 # --- packing -------------------------------------------------------------------------------
 
 def test_documents_round_trip(spark, make_docs):
