@@ -8,8 +8,8 @@ its guess span lies over the base one; a value inside a base span is not judged
 counted over all documents; ``RANKS`` is the size of that dictionary, rarer words are spelt out.
 
 Places are code points, ends exclusive; spans come by start, then kind as listed in ``KINDS``. Null texts count as empty and
-hold nothing. Long texts and values are read whole; the longest word, walk or unit of a repeat is bounded, which keeps
-the work linear. Repeated rows get equal spans. Only the text is read.
+hold nothing. Long texts and values are read whole; the longest word, walk or unit of a repeat is bounded, and the runs of
+repeats are found by one pass, which keeps the work linear. A value is settled as soon as no segmentation can stay below the limit. Repeated rows get equal spans. Only the text is read.
 """
 
 import math
@@ -30,7 +30,7 @@ LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 #: names before a value, then what parts them; also the password of a URL
 CONTEXT = (r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|(?:api|access|private|"""
            r"""secret|signing)[_-]?key|auth(?:orization)?|credentials?|bearer|login)["']?\x20*(?::=|=>|[:=])\x20*["'`]?"""
-           r"""([^\s"'`,;<>(){}\[\]|]{6,})|://[^\s/:@]{1,64}:([^\s/:@]{6,})@""")
+           r"""([^\s"'`,;<>(){}\[\]|]{6,})|://[^\s/:@]++:([^\s/:@]{6,})@""")
 _HINTS = ("pass", "pwd", "pin", "secret", "token", "key", "auth", "credential", "bearer", "login", "://")
 MIN_BITS = 36.0
 RANKS, LEAST_WORD, LONGEST_WORD = 20_000, 3, 24
@@ -90,46 +90,83 @@ def walk_bits(text):
     return None
 
 
-def segments(text, ranks):
-    """Every segment ``(begin, end, bits)`` that is cheaper to name than to spell, and single characters."""
+def _repeats(text):
+    """For each unit length how far the text goes on repeating itself behind every place: one pass from right to left."""
     n = len(text)
-    for i in range(n):
-        yield i, i + 1, spelt(text[i])
-        for j in range(i + LEAST_WORD, min(n, i + LONGEST_WORD) + 1):
-            part = text[i:j]
-            bits = word_bits(part, ranks)
-            if bits is not None:
-                yield i, j, bits
-            bits = walk_bits(part)
-            if bits is not None:
-                yield i, j, bits
-        for unit in range(1, min(LONGEST_UNIT, (n - i) // 2) + 1):
-            end = i + unit
-            while text[end:end + unit] == text[i:i + unit]:
-                end += unit
-            times = (end - i) // unit
-            if times >= (3 if unit == 1 else 2):
-                named = word_bits(text[i:i + unit], ranks) if unit >= LEAST_WORD else None
-                bits = spelt(text[i:i + unit]) if named is None else min(named, spelt(text[i:i + unit]))
-                yield i, end, bits + math.log2(times)
+    out = []
+    for unit in range(1, min(LONGEST_UNIT, n // 2) + 1):
+        runs = [0] * (n + 1)
+        for i in range(n - unit - 1, -1, -1):
+            if text[i] == text[i + unit]:
+                runs[i] = runs[i + 1] + 1
+        out.append(runs)
+    return out
+
+
+def _dates(text):
+    """Place to the dates that begin there."""
+    out = {}
     for pattern, bits in zip(_DATES, _DATE_BITS):
         for m in re.finditer(f"(?=({pattern}))", text):
-            yield m.start(), m.end(1), bits
+            out.setdefault(m.start(), []).append((m.end(1), bits))
+    return out
+
 
+def segments_at(text, i, ranks, repeats, dates):
+    """The segments that begin at a place, ``(end, bits)``: the character itself and what is cheaper to name than to spell.
 
-def guess_bits(text, ranks):
-    """The least bits over all segmentations; each segment but the first costs one bit more for where it begins."""
-    best = [0.0] + [math.inf] * len(text)
-    ends = {}
-    for i, j, bits in segments(text, ranks):
-        ends.setdefault(i, []).append((j, bits))
+    They are at most a fixed number, however long the text is.
+    """
+    n = len(text)
+    yield i + 1, spelt(text[i])
+    for j in range(i + LEAST_WORD, min(n, i + LONGEST_WORD) + 1):
+        part = text[i:j]
+        bits = word_bits(part, ranks)
+        if bits is not None:
+            yield j, bits
+        bits = walk_bits(part)
+        if bits is not None:
+            yield j, bits
+    for unit, runs in enumerate(repeats, 1):
+        times = runs[i] // unit + 1
+        if times >= (3 if unit == 1 else 2):
+            named = word_bits(text[i:i + unit], ranks) if unit >= LEAST_WORD else None
+            bits = spelt(text[i:i + unit]) if named is None else min(named, spelt(text[i:i + unit]))
+            yield i + unit * times, bits + math.log2(times)
+    yield from dates.get(i, ())
+
+
+def segments(text, ranks):
+    """Every segment ``(begin, end, bits)``."""
+    repeats, dates = _repeats(text), _dates(text)
     for i in range(len(text)):
-        for j, bits in ends[i]:
+        for j, bits in segments_at(text, i, ranks, repeats, dates):
+            yield i, j, bits
+
+
+def guess_bits(text, ranks, enough: float = math.inf):
+    """The least bits over all segmentations; each segment but the first costs one bit more for where it begins.
+
+    Where it is certain that no segmentation has less than ``enough`` bits, what is reached so far is returned: no way leads
+    past a place but through one that is already dearer. Places dearer than the whole text are not followed.
+    """
+    n = len(text)
+    best = [0.0] + [math.inf] * n
+    repeats, dates = _repeats(text), _dates(text)
+    cheap = 0  # the last place that is reached for less than enough
+    for i in range(n):
+        if i > cheap:
+            return enough
+        if best[i] >= min(enough, best[n]):
+            continue
+        for j, bits in segments_at(text, i, ranks, repeats, dates):
             # characters spelt one after another are one span
             total = best[i] + bits + (1 if i and j > i + 1 else 0)
             if total < best[j]:
                 best[j] = total
-    return best[-1]
+                if total < enough:
+                    cheap = max(cheap, j)
+    return best[n]
 
 
 def base_spans(text, low=None):
@@ -154,7 +191,7 @@ def all_spans(text, ranks):
         for m in re.finditer(CONTEXT, text, re.I | re.A):
             group = 1 if m[1] is not None else 2
             start, end = m.span(group)
-            if not any(s <= start and end <= e for s, _, e in base) and guess_bits(text[start:end], ranks) >= MIN_BITS:
+            if not any(s <= start and end <= e for s, _, e in base) and guess_bits(text[start:end], ranks, MIN_BITS) >= MIN_BITS:
                 more.append((start, 3, end))
     return sorted(base + more)
 

@@ -292,6 +292,50 @@ def test_examples_stay_whole_within_all_limits(spark):
 RANKS = {w: n + 1 for n, w in enumerate((*secrets.USUAL, "the", "house", "blue"))}
 
 
+def plain_segments(text):
+    """Every segment by its definition, from scratch."""
+    n = len(text)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            part = text[i:j]
+            if j == i + 1:
+                yield i, j, secrets.spelt(part)
+            if 3 <= j - i <= 24:
+                yield from ((i, j, b) for b in (secrets.word_bits(part, RANKS), secrets.walk_bits(part)) if b is not None)
+            for pattern, bits in zip(secrets._DATES, secrets._DATE_BITS):
+                if re.fullmatch(pattern, part):
+                    yield i, j, bits
+            for unit in range(1, 9):
+                times = (j - i) // unit
+                whole = times * unit == j - i and part == part[:unit] * times
+                if whole and times >= (3 if unit == 1 else 2) and text[j:j + unit] != part[:unit]:
+                    named = secrets.word_bits(part[:unit], RANKS) if unit >= 3 else None
+                    bits = secrets.spelt(part[:unit])
+                    yield i, j, (bits if named is None else min(named, bits)) + math.log2(times)
+
+
+@pytest.mark.parametrize("value", ["aaaaaa", "abababab9", "dragondragon1999", "qwerty2020-01-31xx", "P@ssw0rdP@ssw0rd!", "xyzxyzx",
+                                   "1234512345123", "aabaabaab", "a", "zz", "monkeyMONKEY12.05.1987"])
+def test_segments_by_definition(value):
+    assert sorted(set(secrets.segments(value, RANKS))) == sorted(set(plain_segments(value)))
+    whole = secrets.guess_bits(value, RANKS)
+    for enough in (5.0, 20.0, 36.0, 200.0):
+        assert (secrets.guess_bits(value, RANKS, enough) >= enough) == (whole >= enough)
+
+
+def test_long_values_take_linear_time():
+    import random
+    import time
+    rng = random.Random(1)
+    for value in ("a" * 1_000_000, "ab" * 500_000, "".join(rng.choice("abcXYZ123!") for _ in range(1_000_000))):
+        begin = time.process_time()
+        assert (secrets.guess_bits(value, RANKS, secrets.MIN_BITS) >= secrets.MIN_BITS) == (len(set(value)) > 2)
+        assert time.process_time() - begin < 60
+    begin = time.process_time()
+    secrets.guess_bits("a" * 8000, RANKS)
+    assert time.process_time() - begin < 5
+
+
 def plain_bits(text):
     """The least bits over all segmentations, tried one by one."""
     costs = {}
