@@ -1,7 +1,7 @@
 """Compiler and service diagnostics as findings.
 
-Feeds are tables.  A feed is first reduced to the rows that count, packed in feed order into
-one array per file and joined once with that file's lines.  All items are kept unless a limit
+Feeds are tables.  A feed is first reduced to the rows that count, numbered in feed order and
+joined with the number of lines of their files, and with single lines where these are shown.  All items are kept unless a limit
 per file is given; ``beyond_limit`` counts what it leaves out.  A missing feed, or broken JSON
 in it, leaves the local findings as they are.
 """
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sieveline.functions.text import or_default, split_lines, strip
 from sieveline.operators.dedup import merge
-from sieveline.operators.lines import computed_once
+from sieveline.operators.lines import computed_once, explode_lines
+from sieveline.operators.numbering import block_of, numbered
 from sieveline.schema import CATEGORIES, CSHARP_RESPONSE, FINDING_COLUMNS, MAX_SNIPPET, SEVERITIES
 
 #: external findings come behind every local one
@@ -128,25 +129,25 @@ def beyond_limit(items: DataFrame, limit: int) -> DataFrame:
 
 
 def place(items: DataFrame, files: DataFrame, limit: int = None) -> DataFrame:
-    """Items in the files they belong to: clamped line and the text of that line.
+    """Items in the files they belong to: place in the feed, clamped line, and the text of that line where it is shown.
 
-    The items of a file are packed into one array in feed order, so its lines are joined once
-    and not copied per item.
+    No text of a file is moved. Its number of lines goes to its items; only an item without a fragment of its own meets a
+    line, by file and line together, and of lines no more than a snippet travels. Items of one file are numbered and joined
+    in as many tasks as they fill.
     """
-    packed = capped(items, limit).groupBy("file_id", "language").agg(
-        F.sort_array(F.collect_list(F.struct("position", "item"))).alias("items"))
     languages = ("java", "csharp")
-    sources = files.filter(F.col("language").isin(*languages)).select("file_id", "language", "source")
-    lined = sources.join(packed, ["file_id", "language"]) \
-        .select("file_id", "items", split_lines(F.col("source")).alias("lines"))
-
-    def one(entry, n):
-        line = clamp_line(entry["item"]["line"], F.size("lines"))
-        return F.struct(n.alias("n"), entry["item"].alias("item"), line.alias("line_start"),
-                        F.coalesce(F.get("lines", line - 1), F.lit("")).alias("line_text"))
-
-    return lined.select("file_id", F.explode_outer(F.transform("items", one)).alias("p")) \
-        .filter(F.col("p").isNotNull()).select("file_id", "p.n", "p.line_start", "p.line_text", "p.item.*")
+    own = files.filter(F.col("language").isin(*languages))
+    counts = own.select("file_id", "language", F.coalesce(F.size(split_lines(F.col("source"))), F.lit(0)).alias("line_count"))
+    kept = capped(items, limit).select("file_id", "language", "position.*", "item").join(counts, ["file_id", "language"]) \
+        .withColumn("block", block_of(F.col("seq")))
+    placed = numbered(kept, ["file_id", "language"], ["part", "block"], ["seq", "sub", "pos", "item"]).select(
+        "file_id", "n", clamp_line(F.col("item.line"), F.col("line_count")).alias("line_start"), "item.*")
+    # an item with a fragment needs no line: it looks for one that is not there, and not all of them for the same
+    shown = F.coalesce(strip(F.col("fragment")), F.lit("")) != ""
+    keyed = placed.withColumn("at", F.when(shown, (-1 - F.col("n") % 4096).cast("int")).otherwise(F.col("line_start")))
+    snippets = explode_lines(own).select("file_id", F.col("line_no").cast("int").alias("at"),
+                                         F.substring(strip(F.col("line")), 1, MAX_SNIPPET).alias("line_text"))
+    return keyed.join(snippets, ["file_id", "at"], "left").withColumn("line_text", F.coalesce("line_text", F.lit(""))).drop("at")
 
 
 def worded(placed: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def worded(placed: DataFrame) -> DataFrame:
     text = F.when(kind == "rule", F.coalesce(F.nullif(F.col("text"), F.lit("")), F.col("title"))) \
         .otherwise(or_default(F.col("text"), NO_MESSAGE))
     fragment = strip(F.coalesce("fragment", F.lit("")))
-    snippet = F.when(fragment != "", fragment).otherwise(strip(F.col("line_text")))
+    snippet = F.when(fragment != "", fragment).otherwise(F.col("line_text"))
     return placed.select(
         "file_id", rule_id.alias("rule_id"), "line_start",
         F.lit(None).cast("int").alias("line_end"), F.substring(title, 1, 255).alias("title"),

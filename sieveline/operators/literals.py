@@ -4,8 +4,9 @@
 line that the expression matches while it ignores case. An expression without such literals, or one whose syntax is unknown
 here, gets none and is tried on every line of its language.
 
-A literal is filed under its rarest gram of up to three characters. Lines meet the index by the grams they hold, one probe a
-gram, and a hit counts when the whole literal occurs; so candidate pairs are as many as hits, however many rules there are.
+A literal is filed under its rarest gram of up to three characters. Lines meet an index of any size by the grams they hold,
+and a hit counts when the whole literal occurs; a small index becomes an automaton. Either way candidate pairs are as many
+as hits, however many rules there are.
 """
 
 import re
@@ -25,6 +26,11 @@ def fold(line: Column) -> Column:
     return F.translate(F.lower(line), "ſı", "si")
 
 
+def folded(line: str) -> str:
+    """The same for a text in Python."""
+    return line.lower().replace("ſ", "s").replace("ı", "i")
+
+
 def _better(one, other):
     """Of two sets of alternatives the one that says more: a longer shortest literal, then fewer literals."""
     if not one or not other:

@@ -5,11 +5,12 @@ lines into rows, so a whole corpus is scanned, rated and explained without one s
 ``scan_with_table`` takes rules from a table instead.
 """
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from sieveline.functions.text import NOT_BLANK_SQL, STRIP_SQL, is_blank, odd_letters, quote, strip
 from sieveline.operators.lines import explode_lines, unnest, with_lines
-from sieveline.operators.literals import fold, grams, index
+from sieveline.operators.literals import fold, folded, grams, index
 from sieveline.operators.signals import signals_sql
 from sieveline.operators.structure import complex_functions, long_functions_sql
 from sieveline.rules import PACKS
@@ -203,14 +204,44 @@ BROADCAST_BYTES = 64 << 20
 RULE_SALTS = 64
 
 
-def literal_hits(lines: DataFrame, index: DataFrame, sizes, small: bool) -> DataFrame:
-    """Pairs of lines and rules whose literal occurs in the line, each once, with the columns of both.
+def automaton_hits(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """Pairs of lines and rules whose literal occurs in the line, each once: the lines run through an automaton of all
+    literals of their language, whose size has been checked."""
+    entries = index.select("language", "rule_id", "rule_ordinal", "literal").collect()
+
+    def find(batches):
+        import ahocorasick
+        automata = {}
+        for language in {e["language"] for e in entries}:
+            held = automata[language] = ahocorasick.Automaton()
+            of = {}
+            for e in entries:
+                if e["language"] == language:
+                    of.setdefault(e["literal"], []).append((e["rule_id"], e["rule_ordinal"]))
+            for literal, rules in of.items():
+                held.add_word(literal, tuple(rules))
+            held.make_automaton()
+        for batch in batches:
+            out = []
+            for language, file_id, line_no, line in zip(*(batch[c] for c in ("language", "file_id", "line_no", "line"))):
+                held = automata.get(language)
+                if held is not None:
+                    rules = {r for _, found in held.iter(folded(line)) for r in found}
+                    out += [(language, file_id, line_no, line, *r) for r in rules]
+            yield pd.DataFrame(out, columns=["language", "file_id", "line_no", "line", "rule_id", "rule_ordinal"])
+
+    return lines.select("language", "file_id", "line_no", "line").mapInPandas(
+        find, "language string, file_id long, line_no int, line string, rule_id string, rule_ordinal int")
+
+
+def gram_hits(lines: DataFrame, index: DataFrame, sizes) -> DataFrame:
+    """The same pairs by a join on language and gram, for an index of any size.
 
     A line holds each of its grams once and a literal is filed under one gram, so a literal hits a line once; of a rule's
     literals the first that occurs makes the pair.
     """
-    grammed = lines.withColumn("gram", F.explode(grams(F.col("folded"), sizes)))
-    hits = grammed.join(F.broadcast(index) if small else index, ["language", "gram"])
+    grammed = lines.withColumn("folded", fold(F.col("line"))).withColumn("gram", F.explode(grams(F.col("folded"), sizes)))
+    hits = grammed.join(index, ["language", "gram"])
     return hits.filter(F.contains("folded", "literal") & ~F.exists("earlier", lambda s: F.contains("folded", s)))
 
 
@@ -218,8 +249,8 @@ def scan_with_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Match lines against rules given as a table (``language, rule_id, pattern, rule_ordinal, severity, confidence``).
 
     A rule is tried only on lines that hold one of the literals its expression requires (``literals.index``). The index is
-    written once and measured: within ``BROADCAST_BYTES`` it goes to every task and no line is moved, beyond that lines and
-    index meet by language and gram, where adaptive execution splits frequent grams. Rules that require nothing meet every
+    written once and measured: within ``BROADCAST_BYTES`` it goes to every task as an automaton and no line is moved, beyond
+    that lines and index meet by language and gram, where adaptive execution splits frequent grams. Rules that require nothing meet every
     line of their language, dealt over salts if there are too many to send.
     """
     usable = rules.filter(F.col("pattern").isNotNull()).select(
@@ -230,10 +261,13 @@ def scan_with_table(files: DataFrame, rules: DataFrame) -> DataFrame:
     facts = entries.agg(F.coalesce(F.sum(F.when(F.col("literal").isNotNull(), F.lit(1))), F.lit(0)), F.count(F.lit(1)), size,
                         F.collect_set(F.length("gram"))).first()
     small = (facts[2] or 0) <= BROADCAST_BYTES
-    lines = explode_lines(files).filter(~is_blank(F.col("line"))).withColumn("folded", fold(F.col("line")))
+    lines = explode_lines(files).filter(~is_blank(F.col("line")))
     found = []
     if facts[0]:
-        found.append(literal_hits(lines, entries.filter("literal IS NOT NULL"), sorted(facts[3]), small))
+        some = entries.filter("literal IS NOT NULL")
+        facts_of = F.broadcast(entries.select("language", "rule_id", "rule_ordinal", "severity", "confidence", "pattern").distinct())
+        found.append(automaton_hits(lines, some).join(facts_of, ["language", "rule_id", "rule_ordinal"]) if small else
+                     gram_hits(lines, some, sorted(facts[3])))
     if facts[1] > facts[0]:
         free = entries.filter("literal IS NULL")
         if small:

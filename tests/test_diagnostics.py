@@ -104,6 +104,31 @@ def test_counts(spark):
 
 
 def test_cap_is_applied_before_the_shuffle(spark, make_files):
-    plan = diagnostics.java_findings(java_feed(spark, ("ERROR", "1", "", "")), make_files(("java", SOURCE)), limit=50) \
-        ._jdf.queryExecution().executedPlan().toString()
+    items = diagnostics.java_items(java_feed(spark, ("ERROR", "1", "", "")))
+    plan = diagnostics.capped(items, 50)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_no_text_is_moved_and_one_file_fills_many_tasks(spark, make_files):
+    """A file with 300,000 items, many of them on one line: numbered in feed order by ranges."""
+    from pyspark.sql import functions as F
+    from sieveline.operators import numbering
+    feed = spark.range(300_000, numPartitions=6).select(
+        F.lit(0).cast("long").alias("file_id"), (F.col("id") * 7919 % 300_000).alias("seq"), F.lit(0).cast("long").alias("sub"),
+        F.lit("ERROR").alias("kind"), F.when(F.col("id") % 3 == 0, "none").otherwise((F.col("id") % 12).cast("string")).alias("line"),
+        F.col("id").cast("string").alias("message"), F.when(F.col("id") % 2 == 0, "").otherwise("own").alias("source_fragment"))
+    found = diagnostics.java_findings(feed, make_files(("java", SOURCE), ("java", "other")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    for exchange in [x for x in plan.split("\n") if "Exchange" in x]:
+        assert "source" not in exchange
+    assert "collect_list" not in plan
+    rows = found.select("ordinal", F.col("description").cast("long").alias("id"), "line_start", "code_snippet")
+    wrong = rows.filter(
+        (F.col("ordinal") != diagnostics.EXTERNAL_ORDINAL + F.col("id") * 7919 % 300_000)
+        | (F.col("line_start") != F.when(F.col("id") % 3 == 0, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), F.col("id") % 12))))
+        | (F.col("code_snippet") != F.when(F.col("id") % 2 == 1, "own").otherwise(F.concat(F.lit("line"), F.col("line_start"), F.lit(";")))))
+    assert rows.count() == 300_000 and wrong.count() == 0
+    blocks = feed.select("file_id", "seq", numbering.block_of(F.col("seq")).alias("block"))
+    places = numbering.numbered(blocks, ["file_id"], ["block"], ["seq"])
+    assert places.filter("n <> seq").count() == 0 and places.count() == 300_000
+    assert places.groupBy("block").count().agg(F.max("count")).first()[0] == 4096

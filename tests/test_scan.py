@@ -344,7 +344,8 @@ def test_thousands_of_rules(spark, make_files, monkeypatch, limit):
     assert got == want and len(got) > 100
     entries = literals_of.index(table.filter("pattern IS NOT NULL"))
     kept = [(r.rule_id, r.literal) for r in entries.collect() if r.language == "python" and r.literal]
-    lined = lines.explode_lines(files).withColumn("folded", literals_of.fold(F.col("line")))
-    pairs = scan.literal_hits(lined, entries.filter("literal IS NOT NULL"), [3], limit > 1000)
+    lined, held = lines.explode_lines(files).filter("language = 'python'"), entries.filter("literal IS NOT NULL AND language = 'python'")
+    sizes = sorted({len(r.gram) for r in held.collect()})
+    pairs = scan.automaton_hits(lined, held) if limit > 1000 else scan.gram_hits(lined, held, sizes)
     hits = {(n, at, rule) for n, ls in enumerate(folded) for at, line in enumerate(ls) for rule, s in kept if s in line.lower()}
     assert pairs.count() == len(hits) < 5000 * 370 / 50
