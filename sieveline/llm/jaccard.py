@@ -248,13 +248,14 @@ def links(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int = SHINGL
     """
     keyed = sets.select(F.explode("blocks").alias("block"), "node")
     crowded = keyed.groupBy("block").agg(F.min("node").alias("m"), F.max("node").alias("x")).filter("m < x").drop("x")
-    shared = stored(keyed.join(crowded, "block").groupBy("m", "node").agg(F.lit(1).alias("one")).drop("one"), "jaccard-shared")
+    shared = stored(keyed.join(crowded.hint("merge"), "block").groupBy("m", "node").agg(F.lit(1).alias("one")).drop("one"), "jaccard-shared")
     # a least set that shares a block with a smaller one hands its sets over to that
     above = shared.groupBy(F.col("node").alias("m")).agg(F.min("m").alias("g"))
     members = stored(shared.join(above, "m").select("g", "node").distinct().join(nodes, "node").select(
         "g", "node", "n", "row"), "jaccard-members")
-    # the texts move once, and only those of sets in blocks move again
-    texts = stored(docs.join(members.select("row", "node").distinct(), "row").groupBy("node").agg(F.first("t").alias("t")),
+    # the texts move once, and only those of sets in blocks move again; what grows with the documents is never broadcast
+    needed = members.select("row", "node").distinct().hint("merge")
+    texts = stored(docs.join(needed, "row").groupBy("node").agg(F.first("t").alias("t")),
                    "jaccard-texts")
     parts = stored(members.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / rows), F.ceil(F.sum("n") / shingles)).cast("int")
                                             .alias("parts")), "jaccard-parts")
