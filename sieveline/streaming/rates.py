@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sieveline.operators.activity import USER_PER_MINUTE
+from sieveline.sources.sinks import claim, stream_name
 
 DELAY = "10 minutes"
 
@@ -33,10 +34,12 @@ def to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def counts_to_table(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write every count whenever it changes, so windows still open are there too.  A batch has a
-    folder of its own and replaces only itself when repeated."""
+    """Write every count whenever it changes, so windows still open are there too.  A batch of a
+    stream has a folder of its own (``sinks.claim``) and replaces only itself when repeated."""
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        run = claim(spark, f"{path}/_claims", f"{stream_name(spark, checkpoint)}/{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={run}")
 
     return (windows.writeStream.outputMode("update").foreachBatch(put)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -5,7 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sieveline.plans.analysis import analyze, findings_of
 from sieveline.rules import PACKS
-from sieveline.sources.sinks import append_run
+from sieveline.sources.sinks import append_run, claim, stream_name
 
 
 def without_repeats(files: DataFrame, key: str = "file_id", ts: str = "uploaded_at", delay: str = "1 hour") -> DataFrame:
@@ -17,11 +17,14 @@ def scan_stream(files: DataFrame, findings_path: str, checkpoint: str, packs: di
                 trigger: dict = None) -> StreamingQuery:
     """Scan every arriving file and append its findings as a run of the table.
 
-    The batch number is the run, so a batch repeated after a lost executor or driver replaces
-    only itself, and ``sinks.read_latest`` shows each file as last scanned.
+    The run belongs to the stream and its batch (``sinks.claim``): a batch repeated after a lost executor or driver replaces
+    only itself, a stream with a new checkpoint or a second stream adds to the table, and ``sinks.read_latest`` shows each
+    file as last scanned.
     """
     def put(batch: DataFrame, batch_id: int) -> None:
-        append_run(findings_of(analyze(batch, packs), packs), batch, findings_path, batch_id)
+        spark = batch.sparkSession
+        run = claim(spark, findings_path, f"{stream_name(spark, checkpoint)}/{batch_id}")
+        append_run(findings_of(analyze(batch, packs), packs), batch, findings_path, run)
 
     writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -148,6 +148,54 @@ def test_stream_scan_equals_batch(spark, make_files, tmp_path):
     assert got == [(1, "PY-SEC-003"), (1, "PY-SEC-003b"), (2, "JS-MAINT-001"), (3, "PY-MAINT-004")]
 
 
+def test_a_stream_with_a_new_checkpoint_adds_to_the_table(spark, tmp_path):
+    """A second stream, and one started anew, leave the files of the first ones."""
+    def arrive(folder, *rows):
+        spark.createDataFrame(list(rows), FILES).coalesce(1).write.mode("append").parquet(str(tmp_path / folder))
+
+    def scanned(folder, mark):
+        stream_scan.scan_stream(spark.readStream.schema(FILES).parquet(str(tmp_path / folder)), out, str(tmp_path / mark)).awaitTermination()
+        return sorted((r.file_id, r.rule_id) for r in sinks.read_latest(spark, out).collect())
+
+    out = str(tmp_path / "out")
+    arrive("a", (1, "p", "a.py", "python", "eval(x)"), (2, "p", "b.py", "python", "exec(x)"))
+    arrive("b", (2, "p", "b.py", "python", "eval(x)"), (3, "p", "c.py", "python", "eval(x)"))
+    assert scanned("a", "mark-a") == [(1, "PY-SEC-003"), (2, "PY-SEC-003b")]
+    both = [(1, "PY-SEC-003"), (2, "PY-SEC-003"), (3, "PY-SEC-003")]
+    assert scanned("b", "mark-b") == both
+    assert scanned("b", "mark-b") == both  # nothing new
+    assert scanned("b", "mark-c") == both  # started anew
+    run = sinks.fold(spark, out)
+    assert sorted((r.file_id, r.rule_id) for r in sinks.read_latest(spark, out).collect()) == both and run == 3
+    arrive("b", (1, "p", "a.py", "python", "clean"))
+    assert scanned("b", "mark-b") == both[1:]
+
+
+def test_writers_at_once_lose_nothing(spark, make_files, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    path = str(tmp_path / "t")
+
+    def write(n):
+        files = make_files(("python", "eval(x)\n" * (n + 1))).withColumn("file_id", F.lit(n).cast("long"))
+        run = sinks.claim(spark, path, f"writer {n}")
+        sinks.append_run(scan_files(files), files, path, run)
+        return run
+
+    with ThreadPoolExecutor(4) as pool:
+        taken = list(pool.map(write, range(6)))
+    assert sorted(taken) == list(range(6))
+    got = {r.file_id: r["count"] for r in sinks.read_latest(spark, path).groupBy("file_id").count().collect()}
+    assert got == {n: n + 1 for n in range(6)}
+    assert [sinks.claim(spark, path, f"writer {n}") for n in range(6)] == taken  # the same work, the same number
+    # an older run that completes while the table is folded wins over what it replaces, and nothing else
+    late = sinks.claim(spark, path, "late")
+    files = make_files(("python", "clean")).withColumn("file_id", F.lit(5).cast("long"))
+    sinks.fold(spark, path)
+    sinks.append_run(scan_files(files), files, path, late)
+    got = {r.file_id: r["count"] for r in sinks.read_latest(spark, path).groupBy("file_id").count().collect()}
+    assert got == {n: n + 1 for n in range(5)}
+
+
 def test_stream_of_repeats_and_windows(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:10"), (1, "2024-01-01 00:00:50"), (1, "2024-01-01 00:01:00"), (2, "2024-01-01 00:30:00")]
     frame = spark.createDataFrame(rows, "user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
