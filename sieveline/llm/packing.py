@@ -26,8 +26,11 @@ LIMITS = (2048, 512, 2048)
 #: examples a partition lets wait for a place
 WINDOW = 256
 CLOSING_ID = 1
-#: words remembered by a worker before it starts afresh, and the longest of them in characters
-REMEMBERED, LONGEST = 400_000, 48
+#: bytes of words and ids a task remembers before it starts afresh, what a word takes beside its characters and ids, and the
+#: longest word remembered in characters
+REMEMBERED, ENTRY, LONGEST = 128 << 20, 200, 48
+#: characters of texts whose new words are learnt together, and parts that are encoded together
+GROUP_CHARS, TOGETHER = 1 << 19, 4096
 
 
 class Pool:
@@ -112,35 +115,32 @@ _PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _TAIL = ".,;:!?#$%&*|"
 
 
-class _Words(dict):
-    """Words to their ids as little-endian bytes.
+class _Words:
+    """Words to their ids as little-endian bytes, remembered within a task.
 
     White space parts words and leaves nothing behind, so words are encoded apart and remembered. In usual texts a word is
-    parted as the tokenizer does, new parts are encoded many at a time, and the ids come apart again where one ends a part.
+    parted as the tokenizer does; new parts are encoded many at a time, and the ids come apart again where one ends a part.
+    A part is a word as well, of the same ids.
     """
 
     def __init__(self, path):
         import re
 
         import regex
-        from tokenizers import Tokenizer
-        super().__init__()
+        from tokenizers import Tokenizer, pre_tokenizers
         if path is None:
             import public_tokenizers
             path = public_tokenizers.path("word_bpe_49k.json")
         self.path, self.whole, self.of_parts = path, None, Tokenizer.from_file(path)
-        self.of_parts.normalizer = None  # parts are lower-cased already
+        self.of_parts.normalizer = None  # parts are lower-cased already, and one space stands between two of them
+        self.of_parts.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.unusual, self.split = re.compile(_UNUSUAL).search, regex.compile(_PARTS).findall
         vocabulary = self.of_parts.get_vocab(with_added_tokens=True)
         self.ending = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ending[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.closing = np.array([CLOSING_ID], "<u4").tobytes()
-        self.parts, self.fresh = {}, []
-        self[""] = b""
-
-    def __missing__(self, word):
-        self.fresh.append(word)
-        return b""
+        self.known, self.held = {"": b""}, 0
 
     def as_they_are(self, words):
         """Ids of words of any characters."""
@@ -149,58 +149,75 @@ class _Words(dict):
         found = self.whole.encode_batch_fast(words, add_special_tokens=False)
         return b"".join([np.array(e.ids, "<u4").tobytes() for e in found])
 
+    def remember(self, words, ids):
+        self.known.update(zip(words, ids, strict=True))
+        self.held += ENTRY * len(ids) + sum(map(len, ids)) + sum(map(len, words))
+
     def learn(self, words):
         """Remembers new words of usual texts."""
-        known, parted, fresh = self.parts, [], set()
+        known, single, double, other, parts = self.known, [], [], [], set()
         for w in words:
+            if w.isalpha():
+                low = w.lower()
+                if low != w:
+                    single.append((w, low))
+                parts.add(low)
+                continue
             core = w.rstrip(_TAIL)
-            parts = (core.lower(), w[len(core):]) if core.isalpha() else self.split(w.lower())
-            parted.append(parts)
-            fresh.update(parts)
-        fresh.discard("")
-        fresh = [p for p in fresh if p not in known]
-        for k in range(0, len(fresh), 512):
-            some = fresh[k:k + 512]
+            if core.isalpha():
+                pair = core.lower(), w[len(core):]
+                double.append((w, pair))
+                parts.update(pair)
+            else:
+                found = self.split(w.lower())
+                other.append((w, found))
+                parts.update(found)
+        fresh = list(parts.difference(known))
+        for k in range(0, len(fresh), TOGETHER):
+            some = fresh[k:k + TOGETHER]
             ids = np.array(self.of_parts.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             data, bounds = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ending[ids]) + 4).tolist()]
-            known.update(zip(some, [data[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))
-        known[""] = b""
-        for w, parts in zip(words, parted):
-            self[w] = known[parts[0]] + known[parts[1]] if len(parts) == 2 else b"".join([known[p] for p in parts])
-
-    def encode(self, text):
-        """The ids of a text and the closing id."""
-        if len(self) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.clear()
-            self.parts.clear()
-            self[""] = b""
-        flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        words = flat.split(" ")
-        plain = flat.isascii() and flat.isprintable() and "<|" not in flat
-        if not plain and self.unusual(flat):
-            return self.as_they_are(words) + self.closing
-        self.fresh.clear()
-        out = b"".join(map(self.__getitem__, words))
-        if self.fresh:
-            fresh = list(set(self.fresh))
+            self.remember(some, [data[a:b] for a, b in zip(bounds, bounds[1:])])
+        self.remember([w for w, _ in single], [known[p] for _, p in single])
+        self.remember([w for w, _ in double], [known[p] + known[q] for _, (p, q) in double])
+        self.remember([w for w, _ in other], [b"".join([known[p] for p in found]) for _, found in other])
+        for w in (*words, *fresh):
+            if len(w) > LONGEST:
+                self.long.add(w)
+
+    def encode(self, texts):
+        """The ids of every text and the closing id."""
+        if self.held > REMEMBERED:
+            self.known, self.held = {"": b""}, 0
+        self.long, parted, fresh = set(), [], set()
+        for text in texts:
+            flat = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+            words = flat.split(" ")
+            plain = (flat.isascii() and flat.isprintable() and "<|" not in flat) or not self.unusual(flat)
+            parted.append((plain, words))
+            if plain:
+                fresh.update(set(words).difference(self.known))
+        if fresh:
             self.learn(fresh)
-            out = b"".join(map(self.__getitem__, words))
-            for w in fresh:
-                if len(w) > LONGEST:
-                    del self[w]
-        return out + self.closing
-
-
-def _words(path):
-    """The words a worker remembers from one task to the next.
-
-    They hang on the tokenizer library's module: functions that travel by value have no module of their own there.
-    """
-    import tokenizers
-    kept = tokenizers.__dict__.setdefault("_sieveline_words", {})
-    if path not in kept:
-        kept[path] = _Words(path)
-    return kept[path]
+        ids_of = self.known.__getitem__
+        out = [(b"".join(map(ids_of, words)) if plain else self.as_they_are(words)) + self.closing for plain, words in parted]
+        for w in self.long:
+            self.held -= ENTRY + len(w) + len(self.known.pop(w))
+        return out
+
+
+def _groups(keys, texts):
+    """Rows of a batch, as many at a time as make up ``GROUP_CHARS``."""
+    ks, ts, chars = [], [], 0
+    for k, t in zip(keys, texts):
+        ks.append(k)
+        ts.append(t)
+        chars += len(t)
+        if chars >= GROUP_CHARS:
+            yield ks, ts
+            ks, ts, chars = [], [], 0
+    if ks:
+        yield ks, ts
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = None, limits=LIMITS,
@@ -216,7 +233,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     def pack(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, pool, numbers = _words(tokenizer), Pool(limits), _numbers()
+        words, pool, numbers = _Words(tokenizer), Pool(limits), _numbers()
         rows = []
 
         def place(k, ids, begin, n, total, number, at):
@@ -255,8 +272,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
                         number, at, room = next(numbers), 0, 1 << (left.bit_length() - 1)
 
         for batch in batches:
-            for k, t in zip(batch["k"], batch["t"]):
-                ids = words.encode(t)
+            for k, ids in ((k, i) for ks, ts in _groups(batch["k"], batch["t"]) for k, i in zip(ks, words.encode(ts))):
                 total = len(ids) // 4
                 whole = total // full * full
                 for begin in range(0, whole, full):
