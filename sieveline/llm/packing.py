@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, functions as F
 
 #: tokens, segments and loss-bearing tokens of a sequence
 LIMITS = (2048, 512, 2048)
-#: examples a partition lets wait for a place
-WINDOW = 256
+#: examples a partition lets wait for a place; more than the segments of a sequence, so that their limit can bind
+WINDOW = 1024
 CLOSING_ID = 1
 #: bytes of words and ids a task remembers before it starts afresh, what a word takes beside its characters and ids, and the
 #: longest word remembered in characters
-REMEMBERED, ENTRY, LONGEST = 128 << 20, 200, 48
+REMEMBERED, ENTRY, LONGEST = 192 << 20, 200, 48
 #: characters of texts whose new words are learnt together, and parts that are encoded together
-GROUP_CHARS, TOGETHER = 1 << 19, 4096
+GROUP_CHARS, TOGETHER = 1 << 16, 512
 
 
 class Pool:
@@ -170,7 +170,8 @@ class _Words:
                 parts.update(pair)
             else:
                 found = self.split(w.lower())
-                other.append((w, found))
+                if found != [w]:
+                    other.append((w, found))
                 parts.update(found)
         fresh = list(parts.difference(known))
         for k in range(0, len(fresh), TOGETHER):
@@ -221,11 +222,12 @@ def _groups(keys, texts):
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = None, limits=LIMITS,
-                   window: int = WINDOW) -> DataFrame:
+                   window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """The pieces of all documents with their places in sequences.
 
     key, start and length in the document's ids, ids_crc32, doc_tokens, sequence_id and offset. ``tokenizer`` is the path of
-    a tokenizer file on every executor, by default that of the installed vocabulary ``word_bpe_49k.json``.
+    a tokenizer file on every executor, by default that of the installed vocabulary ``word_bpe_49k.json``. ``with_ids`` adds
+    the ids of every piece; ``sequences`` joins them to what a model is trained on.
     """
     limits = tuple(limits)
     full = limits[0]
@@ -238,7 +240,8 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
 
         def place(k, ids, begin, n, total, number, at):
             """``ids`` begins with the piece."""
-            rows.append((k, begin, n, zlib.crc32(ids[:4 * n]), total, number, at))
+            row = (k, begin, n, zlib.crc32(ids[:4 * n]), total, number, at)
+            rows.append((*row, np.frombuffer(ids, "<i4", n)) if with_ids else row)
 
         def wait(k, ids, begin, n, total):
             pool.add((k, ids, begin, n, total), (n, 1, n))
@@ -287,8 +290,26 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
             lay_out(sequence())
         yield pd.DataFrame(rows, columns=columns)
 
-    columns = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    columns = ["k", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).mapInPandas(
-        pack, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long") \
-        .withColumnRenamed("k", key)
+        pack, f"k {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+        + (", ids array<int>" if with_ids else "")).withColumnRenamed("k", key)
+
+
+def sequences(pieces: DataFrame, key: str = "doc_id", full: int = LIMITS[0], padding: int = 0) -> DataFrame:
+    """The packed sequences of pieces with their ids: sequence_id, n_tokens, ids, segments (key, start, offset, length) and mask.
+
+    ``ids`` is padded with ``padding`` to ``full``, except where the tokens are a power of two; ``mask`` is 1 on tokens and 0
+    on padding. A sequence holds at most ``full`` tokens, so no group grows with the table.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", F.col(key).alias("key"), "start", "length", "ids")))
+    n = F.col("n_tokens").cast("int")
+    even = F.bitwise_not(n - 1).bitwiseAND(n) == n
+    spare = F.when(even, 0).otherwise(F.greatest(F.lit(full) - n, F.lit(0)))
+    return pieces.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("parts")).select(
+        "sequence_id", "n_tokens",
+        F.concat(F.flatten("parts.ids"), F.array_repeat(F.lit(padding), spare)).alias("ids"),
+        F.expr("transform(parts, p -> named_struct('key', p.key, 'start', p.start, 'offset', p.offset, 'length', p.length))")
+        .alias("segments"),
+        F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), spare)).alias("mask"))

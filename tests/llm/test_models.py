@@ -269,6 +269,47 @@ def test_documents_round_trip(spark, make_docs):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+def test_words_are_remembered_within_a_bound(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(12)
+    odd = ["It's", "we'll,", "!'s", "...", "#%&", "x" * 70, "A1b2", "ÀÉ.", "ª", "don't!!", "'", "É" * 60 + ",", "--", "a.b.c"]
+    texts = [" ".join(rng.choice([prose(rng.randint(0, 10 ** 6), 1, 1), *odd]) for _ in range(rng.randint(0, 60)))
+             for _ in range(300)]
+    monkeypatch.setattr(packing, "REMEMBERED", 20_000)
+    monkeypatch.setattr(packing, "GROUP_CHARS", 700)
+    words, got = packing._Words(None), []
+    for some, _ in packing._groups(texts, texts):
+        got += words.encode(some)
+        assert max(map(len, words.known)) <= packing.LONGEST
+        assert words.held == sum(packing.ENTRY + len(w) + len(i) for w, i in words.known.items() if w)
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1], text
+
+
+def test_sequences_carry_the_ids_of_their_pieces(spark, make_docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [prose(n, 5 + 37 * n % 1500, 3) for n in range(40)] + ["", None] * 700
+    want = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in enumerate(texts)}
+    pieces = packing.pack_documents(make_docs(list(enumerate(texts))).repartition(2), with_ids=True)
+    found, of_documents = packing.sequences(pieces).collect(), {}
+    for r in found:
+        assert len(r["segments"]) <= 512 and r["n_tokens"] == sum(r["mask"]) <= 2048
+        assert len(r["ids"]) == len(r["mask"]) == r["n_tokens"], "powers of two take no padding"
+        assert [s["offset"] for s in r["segments"]] == list(itertools.accumulate([0] + [s["length"] for s in r["segments"]]))[:-1]
+        for s in r["segments"]:
+            of_documents.setdefault(s["key"], {})[s["start"]] = r["ids"][s["offset"]:s["offset"] + s["length"]]
+    assert max(len(r["segments"]) for r in found) == 512, "the limit of segments binds"
+    assert {k: [i for _, ids in sorted(v.items()) for i in ids] for k, v in of_documents.items()} == want
+    odd = spark.createDataFrame([(1, 0, 2, 7, 0, [5, 6]), (2, 4, 1, 7, 2, [9])],
+                                "doc_id long, start long, length long, sequence_id long, offset long, ids array<int>")
+    row = packing.sequences(odd, full=8, padding=3).first()
+    assert row["ids"] == [5, 6, 9, 3, 3, 3, 3, 3] and row["mask"] == [1, 1, 1, 0, 0, 0, 0, 0]
+
+
 def test_examples_stay_whole_within_all_limits(spark):
     rng = random.Random(6)
     rows = [(n, rng.randint(1, 900), rng.randint(0, 300)) for n in range(800)] + [(900, 5000, 10), (901, None, None), (902, 10, 2000)]
