@@ -292,7 +292,7 @@ def test_sequences_carry_the_ids_of_their_pieces(spark, make_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = [prose(n, 5 + 37 * n % 1500, 3) for n in range(40)] + ["", None] * 700
+    texts = [prose(n, 5 + 37 * n % 1500, 3) for n in range(40)] + ["", None] * 1500
     want = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in enumerate(texts)}
     pieces = packing.pack_documents(make_docs(list(enumerate(texts))).repartition(2), with_ids=True)
     found, of_documents = packing.sequences(pieces).collect(), {}
