@@ -1,28 +1,37 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in built-in functions only.
 
-Every paragraph hashes (MD5) to a wide vector of 128 bits. A fingerprint is the number of paragraphs and the sum of their
-vectors, each component modulo ``2**14``. Sums commute, so the order of paragraphs does not matter; paragraphs are inserted
-or deleted by adding or subtracting their vectors (``insert``, ``delete``) without the rest of the text. With bits read as
-signs, the squared distance of two fingerprints estimates how many paragraphs they do not share, which gives the likeness.
+Every paragraph hashes (MD5) to a wide vector: four numbers of 32 bits and 120 of their bits. A fingerprint is the number of
+paragraphs and the sum of their vectors, numbers modulo ``2**60`` and bits modulo ``2**20``. Sums commute, so the order of
+paragraphs does not matter; paragraphs are inserted or deleted by adding or subtracting their vectors (``insert``,
+``delete``) without the rest of the text. The sums of numbers tell multisets apart, equal paragraphs in any number included.
+With bits read as signs, the squared distance of two fingerprints estimates how many paragraphs they do not share, which
+gives the likeness.
 
 Paragraphs are the non-empty lines of a text; lines are divided after sentence ends, so that one-line texts still compare.
 Null texts count as empty; an empty text has no paragraph and the zero fingerprint. Equal fingerprints have likeness 1, an
 empty and another text have 0. Repeated rows get equal fingerprints; an empty table gives an empty result. Very long texts
-cost time in proportion. Components of documents with more than 16,383 equal paragraphs wrap around: equality,
-insertion and deletion stay exact, only the likeness is blurred.
+cost time in proportion. Sums of numbers lose nothing below ``2**28`` paragraphs, sums of bits wrap where over a million
+paragraphs are equal: equality, insertion and deletion stay right there, only the likeness is blurred.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sieveline.llm.common import range_of, range_starts
 
-#: components, their modulus, and how they are packed: four fields of 15 bits a number, the upper bit of each a guard
-WIDTH, MODULUS, FIELD, PACKED = 128, 1 << 14, 15, 4
+#: numbers of a paragraph and the modulus of their sums
+NUMBERS, WIDE = 4, 1 << 60
+#: bits of a paragraph, the modulus of their sums, and how these are packed: three fields of 21 bits a number, the upper bit
+#: of each a guard
+WIDTH, MODULUS, FIELD, PACKED = 120, 1 << 20, 21, 3
 _SPREAD = sum(1 << (FIELD - 1) * i for i in range(PACKED))
 _ONES = sum(1 << FIELD * i for i in range(PACKED))
 _FIELDS = sum(MODULUS - 1 << FIELD * i for i in range(PACKED))
 _GUARDS = sum(MODULUS << FIELD * i for i in range(PACKED))
 _PARTS = WIDTH // PACKED
+#: packed sums that take their bits from the same number
+_EACH = _PARTS // NUMBERS
+#: hex digits of a sum of numbers and of packed sums of bits
+_WIDE_DIGITS, _DIGITS = (WIDE.bit_length() + 2) // 4, (PACKED * FIELD + 3) // 4
 #: characters of text in one range of neighbouring documents
 RANGE_CHARS = 16_000_000
 
@@ -34,23 +43,27 @@ def paragraphs(text: str) -> str:
 
 def fingerprint(text: str) -> Column:
     """The fingerprint of a text expression: a struct of n and the packed components."""
-    words = ", ".join(f"CAST(conv(substring(d, {1 + 8 * k}, 8), 16, 10) AS BIGINT)" for k in range(4))
+    words = ", ".join(f"CAST(conv(substring(d, {1 + 8 * k}, 8), 16, 10) AS BIGINT)" for k in range(NUMBERS))
     hashes = f"transform({paragraphs(text)}, p -> transform(array(md5(CAST(p AS BINARY))), d -> array({words}))[0])"
-    nibble = "shiftright(h[CAST(k DIV 8 AS INT)], CAST(4 * (k % 8) AS INT)) & 15L"
+    bits = f"shiftright(h[CAST(k DIV {_EACH} AS INT)], CAST({PACKED} * (k % {_EACH}) AS INT)) & {(1 << PACKED) - 1}L"
+    sums = f"transform(sequence(0, {NUMBERS - 1}), k -> aggregate(hs, 0L, (s, h) -> (s + h[k]) & {WIDE - 1}L))"
     parts = (f"transform(sequence(0, {_PARTS - 1}), k -> aggregate(hs, 0L, "
-             f"(s, h) -> (s + (({nibble}) * {_SPREAD}L & {_ONES}L)) & {_FIELDS}L))")
-    return F.expr(f"transform(array({hashes}), hs -> named_struct('n', CAST(size(hs) AS BIGINT), 'parts', {parts}))[0]")
+             f"(s, h) -> (s + (({bits}) * {_SPREAD}L & {_ONES}L)) & {_FIELDS}L))")
+    return F.expr(f"transform(array({hashes}), hs -> named_struct('n', CAST(size(hs) AS BIGINT), 'sums', {sums}, "
+                  f"'parts', {parts}))[0]")
 
 
 def insert(a: Column, b: Column) -> Column:
     """The fingerprint of both multisets together."""
     return F.struct((a["n"] + b["n"]).alias("n"), F.zip_with(
+        a["sums"], b["sums"], lambda x, y: (x + y).bitwiseAND(F.lit(WIDE - 1))).alias("sums"), F.zip_with(
         a["parts"], b["parts"], lambda x, y: (x + y).bitwiseAND(F.lit(_FIELDS))).alias("parts"))
 
 
 def delete(a: Column, b: Column) -> Column:
     """The fingerprint of ``a`` without the paragraphs of ``b``."""
     return F.struct((a["n"] - b["n"]).alias("n"), F.zip_with(
+        a["sums"], b["sums"], lambda x, y: (x - y).bitwiseAND(F.lit(WIDE - 1))).alias("sums"), F.zip_with(
         a["parts"], b["parts"],
         lambda x, y: (x.bitwiseOR(F.lit(_GUARDS)) - y).bitwiseAND(F.lit(_FIELDS))).alias("parts"))
 
@@ -58,7 +71,8 @@ def delete(a: Column, b: Column) -> Column:
 def text_of(fp: str) -> Column:
     """A fingerprint as hex digits."""
     return F.expr(f"concat(lpad(lower(hex({fp}.n)), 8, '0'), "
-                  f"array_join(transform({fp}.parts, x -> lpad(lower(hex(x)), {PACKED * FIELD // 4}, '0')), ''))")
+                  f"array_join(transform({fp}.sums, x -> lpad(lower(hex(x)), {_WIDE_DIGITS}, '0')), ''), "
+                  f"array_join(transform({fp}.parts, x -> lpad(lower(hex(x)), {_DIGITS}, '0')), ''))")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -129,15 +143,19 @@ p AS (SELECT id, kind, md5(p) AS m FROM (SELECT id, kind,
       unnest(string_split(regexp_replace(x, '([.!?])\\x20+', '\\1' || chr(10), 'g'), chr(10))) AS p FROM x) WHERE p <> ''),
 w AS (SELECT id, kind, [('0x' || substr(m, 1, 8))::BIGINT, ('0x' || substr(m, 9, 8))::BIGINT,
       ('0x' || substr(m, 17, 8))::BIGINT, ('0x' || substr(m, 25, 8))::BIGINT] AS h FROM p),
-c AS (SELECT id, kind, j, count(*) AS n, sum((h[1 + j // 32] >> (j % 32)) & 1)::BIGINT % {MODULUS} AS c
+q AS (SELECT id, kind, [sum(h[1]) % {WIDE}, sum(h[2]) % {WIDE}, sum(h[3]) % {WIDE}, sum(h[4]) % {WIDE}]::BIGINT[] AS q
+      FROM w GROUP BY id, kind),
+c AS (SELECT id, kind, j, count(*) AS n, sum((h[1 + j // {PACKED * _EACH}] >> (j % {PACKED * _EACH})) & 1)::BIGINT % {MODULUS} AS c
       FROM w, range({WIDTH}) AS r(j) GROUP BY id, kind, j),
 v AS (SELECT id, kind, any_value(n) AS n, list(c ORDER BY j) AS c,
       list(((2 * c - n + {MODULUS}) % {2 * MODULUS} + {2 * MODULUS}) % {2 * MODULUS} - {MODULUS} ORDER BY j) AS s
       FROM c GROUP BY id, kind),
 z AS (SELECT x.id, x.kind, coalesce(n, 0) AS n, coalesce(c, list_transform(range({WIDTH}), lambda i: 0::BIGINT)) AS c,
-      coalesce(s, list_transform(range({WIDTH}), lambda i: 0::BIGINT)) AS s FROM x LEFT JOIN v USING (id, kind)),
-t AS (SELECT id, kind, n, c, s, printf('%08x', n) || array_to_string(list_transform(range({_PARTS}), lambda k: printf('%015x',
-      c[4 * k + 1] + (c[4 * k + 2] << {FIELD}) + (c[4 * k + 3] << {2 * FIELD}) + (c[4 * k + 4] << {3 * FIELD}))), '') AS fp FROM z),
+      coalesce(s, list_transform(range({WIDTH}), lambda i: 0::BIGINT)) AS s,
+      coalesce(q, [0, 0, 0, 0]::BIGINT[]) AS q FROM x LEFT JOIN v USING (id, kind) LEFT JOIN q USING (id, kind)),
+t AS (SELECT id, kind, n, c, s, printf('%08x', n) || array_to_string(list_transform(q, lambda y: printf('%0{_WIDE_DIGITS}x', y)), '')
+      || array_to_string(list_transform(range({_PARTS}), lambda k: printf('%0{_DIGITS}x',
+      c[3 * k + 1] + (c[3 * k + 2] << {FIELD}) + (c[3 * k + 3] << {2 * FIELD}))), '') AS fp FROM z),
 l AS (SELECT a.id, a.fp AS fingerprint, b.fp AS edited_fingerprint,
       CASE WHEN a.fp = b.fp THEN 1.0 WHEN a.n = 0 OR b.n = 0 THEN 0.0 ELSE greatest(0.0, least(1.0,
         (2 * list_dot_product(a.s::DOUBLE[], b.s::DOUBLE[])) / greatest(1.0, list_dot_product(a.s::DOUBLE[], a.s::DOUBLE[])

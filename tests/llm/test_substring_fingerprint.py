@@ -95,6 +95,21 @@ def test_order_insertion_and_deletion(spark):
     assert row["near"] > 0.5 > 0.3 > row["far"] and row["empty"] == 0.0 and row["same"] == 1.0
 
 
+@pytest.mark.parametrize("copies", [1 << 14, 1 << 15, (1 << 16) + 3])
+def test_many_equal_paragraphs(spark, copies):
+    """Paragraphs that occur many times do not vanish from the sums."""
+    frame = spark.createDataFrame([("a\n" * copies, "b\n" * copies, "a\n" * copies + "b", "a\n" * (copies // 2) + "b\n" * (copies // 2))],
+                                  "a string, b string, more string, half string")
+    prints = frame.select(*(fingerprint.fingerprint(c).alias(c) for c in frame.columns)).select(
+        "*", fingerprint.fingerprint("'b'").alias("one"))
+    row = prints.select(
+        F.expr("a = b").alias("equal"), fingerprint.likeness("a", "b").alias("near"), fingerprint.likeness("a", "half").alias("half"),
+        (fingerprint.delete(F.col("more"), F.col("one")) == F.col("a")).alias("deleted"),
+        fingerprint.text_of("a").alias("x"), fingerprint.text_of("b").alias("y")).first()
+    assert not row["equal"] and row["x"] != row["y"] and len(row["x"]) == len(row["y"]) and row["deleted"]
+    assert row["near"] < 0.3 < 0.5 < row["half"]
+
+
 def test_neighbours_over_ranges(make_docs):
     rows = [(n * n % 101 - 20, prose(n, 20 + n, 2)) for n in range(1, 51)] + [(500, None), (501, "")]
     one = sorted(map(tuple, fingerprint.edited_documents(make_docs(rows)).collect()))
