@@ -6,7 +6,7 @@ from sieveline.functions.text import html_escape
 from sieveline.operators import (activity, diagnostics, explain, lines, pages, reports, runs, scan,
                                  score, search, structure, tokens)
 from sieveline.operators.dedup import deduplicate
-from sieveline.plans import analysis
+from sieveline.plans import analysis, tree
 from sieveline.rules import PACKS, SERVICE_PACK
 from sieveline.session import shared_folder
 from sieveline.sources import corpus, ingest, vault
@@ -63,6 +63,13 @@ def _explanations(spark, sf):
     return explain.explain(grave).withColumnRenamed("title", "finding_title")
 
 
+def _tree(spark, sf):
+    """The tree of the corpus, grown by one scan and stored; critical and high findings have explanations."""
+    folder = _run_folder(spark, "tree")
+    tree.store(tree.grow(_files(spark, sf), F.col("severity").isin("critical", "high")), folder, "corpus")
+    return tree.stored(spark, folder)
+
+
 def _raw_files(spark, sf):
     """Documents as uploaded bytes, some with a wrong name or damaged encoding."""
     docs = corpus.read_table(spark, sf, "documents").select("doc_id", "source", "text", "lang")
@@ -375,8 +382,10 @@ def stored_order(spark, sf):
 
 @query
 def project_tree(spark, sf):
-    return reports.project_tree(corpus.projects(spark, sf), _file_list(spark, sf), _findings(spark, sf),
-                                _explanations(spark, sf))
+    rows = _tree(spark, sf)
+    listed = tree.projects(rows).select("project_id", corpus.project_name(F.col("project_id")).alias("name"))
+    return tree.under(listed, rows).select("project_id", "name", "file_id", "filename", "finding_id", "rule_id", "line_start",
+                                           F.col("explanation.top_feature_name").alias("top_feature_name"))
 
 
 @query
@@ -438,24 +447,23 @@ def fix_diff(spark, sf):
 
 @query
 def has_explanation(spark, sf):
-    found = reports.with_ids(_findings(spark, sf))
-    return runs.with_explanation_flag(found, _explanations(spark, sf)).select("finding_id", "has_explanation")
+    rows = _tree(spark, sf).filter(F.col("finding_id").isNotNull())
+    return rows.select("finding_id", F.col("explanation").isNotNull().alias("has_explanation"))
 
 
 @query
 def missing_explanations(spark, sf):
     """Explanations made for findings that have none yet."""
-    found = reports.with_ids(_findings(spark, sf, signals=True))
-    missing = runs.unexplained(found, _explanations(spark, sf))
-    return explain.explain(missing).select("finding_id", "prediction", "top_feature_name", "top_feature_importance")
+    return explain.explain(tree.unexplained(_tree(spark, sf))) \
+        .select("finding_id", "prediction", "top_feature_name", "top_feature_importance")
 
 
 @query
 def cascade_delete(spark, sf):
-    projects, files = corpus.projects(spark, sf), _file_list(spark, sf)
-    found = reports.with_ids(_findings(spark, sf))
-    deleted = projects.filter(F.col("project_id").isin(*DELETED_PROJECTS))
-    left = runs.cascade_delete(deleted, projects, files, found, _explanations(spark, sf))
+    deleted = spark.createDataFrame([(p,) for p in DELETED_PROJECTS], "project_id string")
+    rows = tree.without(_tree(spark, sf), deleted)
+    left = {"projects": tree.projects(rows), "files": tree.files(rows), "findings": tree.findings(rows),
+            "explanations": tree.explanations(rows)}
     key = {"projects": F.col("project_id"), "files": F.col("file_id").cast("string"),
            "findings": F.col("finding_id"), "explanations": F.col("finding_id")}
     parts = [left[name].select(F.lit(name).alias("table_name"), key[name].alias("key")) for name in left]

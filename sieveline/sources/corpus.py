@@ -385,12 +385,16 @@ def file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("uploaded_at", F.col("file_id") + UPLOAD_EPOCH)
 
 
+def project_name(project_id: Column) -> Column:
+    return F.concat(F.lit("Project "), project_id)
+
+
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One project per document source, created with its first document."""
     return (read_table(spark, sf_dir, "documents").groupBy("source")
             .agg(F.min("doc_id").alias("first"), F.max("lang").alias("lang"))
             .select(F.col("source").alias("project_id"),
-                    F.concat(F.lit("Project "), F.col("source")).alias("name"),
+                    project_name(F.col("source")).alias("name"),
                     F.concat(F.lit("Documents, among them "), F.col("lang")).alias("description"),
                     (F.col("first") * 86400 + UPLOAD_EPOCH).alias("created_at")))
 

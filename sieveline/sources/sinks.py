@@ -20,8 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def append_run(new: DataFrame, scanned: DataFrame, path: str, run: int) -> None:
     """Add the rows of one run.  ``scanned`` names its files (``file_id``), also those without
-    rows now; a higher ``run`` wins."""
+    rows now; a higher ``run`` wins. None means that every file has a row: they are read from the rows just written."""
     new.write.mode("overwrite").parquet(f"{path}/rows/run={run}")
+    if scanned is None:
+        scanned = new.sparkSession.read.schema(new.schema).parquet(f"{path}/rows/run={run}")
     scanned.select("file_id").distinct().write.mode("overwrite").parquet(f"{path}/files/run={run}")
 
 
