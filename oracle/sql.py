@@ -314,12 +314,15 @@ ORACLE = {
     "long_functions": sql("SELECT file_id, rule_id, line_start, line_end, code_snippet, description FROM long_found", "long_found"),
     "function_complexity": sql("SELECT file_id, rule_id, line_start, confidence_score, code_snippet, description FROM complex_found", "complex_found"),
     "all_findings": sql(f"SELECT finding_id, {MAIN}, recommendation FROM findings", "findings"),
+    "findings_in_pieces": sql(f"SELECT finding_id, {MAIN}, recommendation FROM findings", "findings"),
     "dedup_findings": """SELECT file_id, rule_id, line_start, confidence_score, first_ordinal AS ordinal FROM (
   SELECT *, min(ordinal) OVER k AS first_ordinal, row_number() OVER (PARTITION BY file_id, rule_id, line_start ORDER BY confidence_score DESC, ordinal) AS place FROM (
   SELECT l_orderkey // 15 AS file_id, 'R' || l_returnflag AS rule_id, l_linenumber::INT AS line_start, 0.5::DOUBLE + l_discount AS confidence_score,
   l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS ordinal FROM lineitem) WINDOW k AS (PARTITION BY file_id, rule_id, line_start)) WHERE place = 1""",
     "findings_by_severity": sql("SELECT file_id, rule_id, line_start, severity FROM findings WHERE severity = 'high'", "findings"),
     "search_findings": sql("SELECT file_id, rule_id, line_start, title FROM findings WHERE language = 'python' AND (title ILIKE '%injection%' OR description ILIKE '%injection%' OR rule_id ILIKE '%injection%' OR cwe_id ILIKE '%injection%')", "findings"),
+    "indexed_search_findings": sql("SELECT file_id, rule_id, line_start, title FROM findings WHERE language = 'python' AND (title ILIKE '%injection%' OR description ILIKE '%injection%' OR rule_id ILIKE '%injection%' OR cwe_id ILIKE '%injection%')", "findings"),
+    "indexed_search_documents": "SELECT doc_id FROM documents WHERE (lower(text) LIKE '%src1%' OR lower(source) LIKE '%src1%') AND (lower(text) LIKE '%ata%' OR lower(source) LIKE '%ata%') AND (lower(text) LIKE '%er%' OR lower(source) LIKE '%er%')",
     "search_files": sql("""SELECT f.file_id, f.filename, p.name AS project_name FROM file_list f JOIN projects p USING (project_id) WHERE status = 'complete'
   AND (filename ILIKE '%src1%' OR p.name ILIKE '%src1%') AND (filename ILIKE '%.py%' OR p.name ILIKE '%.py%')""", "file_list", "projects"),
     "search_projects": sql("""SELECT project_id, name, created_at FROM projects WHERE (name ILIKE '%documents%' OR description ILIKE '%documents%') AND (name ILIKE '%src%' OR description ILIKE '%src%')

@@ -3,12 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sieveline.functions.text import html_escape
-from sieveline.operators import (activity, diagnostics, explain, lines, pages, reports, runs, scan,
-                                 score, search, structure, tokens)
+from sieveline.operators import (activity, diagnostics, explain, lines, pages, pieces, reports, runs, scan,
+                                 score, search, structure, text_index, tokens)
 from sieveline.operators.dedup import deduplicate
 from sieveline.plans import analysis, tree
 from sieveline.rules import PACKS, SERVICE_PACK
-from sieveline.session import shared_folder
+from sieveline.session import shared_folder, written
 from sieveline.sources import corpus, ingest, vault
 from sieveline.streaming import rates, scan as stream_scan, status as stream_status
 
@@ -180,6 +180,12 @@ def all_findings(spark, sf):
     return reports.with_ids(_findings(spark, sf)).select("finding_id", *FINDING_KEYS)
 
 
+@query
+def findings_in_pieces(spark, sf):
+    """The findings of all files, each file cut into pieces of lines that are scanned apart."""
+    return reports.with_ids(pieces.scan_pieces(pieces.cut(_files(spark, sf)))).select("finding_id", *FINDING_KEYS)
+
+
 @query
 def dedup_findings(spark, sf):
     """Copies of findings derived from order lines: many per key."""
@@ -226,6 +232,24 @@ def search_explanations(spark, sf):
         .select("finding_id", "finding_title", "top_feature_name")
 
 
+@query
+def indexed_search_findings(spark, sf):
+    folder = _run_folder(spark, "index")
+    found = written(reports.with_ids(_findings(spark, sf)), "findings")
+    text_index.add(found, "finding_id", search.SEARCHED["findings"], folder)
+    hits = text_index.search(found, "finding_id", search.SEARCHED["findings"], folder, "injection")
+    return hits.filter(F.col("language") == "python").select("file_id", "rule_id", "line_start", "title")
+
+
+@query
+def indexed_search_documents(spark, sf):
+    """Whole documents by an index of their texts."""
+    folder = _run_folder(spark, "index")
+    docs = corpus.read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    text_index.add(docs, "doc_id", ("text", "source"), folder)
+    return text_index.search(docs, "doc_id", ("text", "source"), folder, "SRC1 ata er").select("doc_id")
+
+
 # --- structure --------------------------------------------------------------------------
 
 @query
