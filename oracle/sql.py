@@ -383,6 +383,14 @@ ORACLE = {
   'line ' || line_start || CASE WHEN line_end IS NOT NULL THEN '–' || line_end ELSE '' END AS place, rule_id, cwe_id,
   CASE WHEN cwe_id <> '' THEN 'https://cwe.mitre.org/data/definitions/' || substr(cwe_id, 5) || '.html' END AS link,
   {ESCAPE.format('description')} AS description, {ESCAPE.format('recommendation')} AS recommendation,
+  CASE WHEN length(description) > 160 THEN left(description, 157) || '…' ELSE description END AS callout FROM ranked""", "ranked"),
+    "export_heads": sql(f"""SELECT f.file_id, f.filename, f.language, f.status, floor(risk_score * 100 + 0.5)::INT AS risk_percent, coalesce(c.total, 0)::INT AS total,
+  coalesce(c.critical, 0)::INT AS critical, coalesce(c.high, 0)::INT AS high, coalesce(c.medium, 0)::INT AS medium, coalesce(c.low, 0)::INT AS low, coalesce(c.info, 0)::INT AS info
+  FROM scored f LEFT JOIN (SELECT file_id, count(*) AS total, {SEVERITY_COUNTS} FROM findings GROUP BY file_id) c USING (file_id)""", "scored", "findings"),
+    "export_findings": sql(f"""SELECT file_id, rank AS position, upper(severity) AS label, {ESCAPE.format('title')} AS title,
+  'line ' || line_start || CASE WHEN line_end IS NOT NULL THEN '–' || line_end ELSE '' END AS place, rule_id, cwe_id,
+  CASE WHEN cwe_id <> '' THEN 'https://cwe.mitre.org/data/definitions/' || substr(cwe_id, 5) || '.html' END AS link,
+  {ESCAPE.format('description')} AS description, {ESCAPE.format('recommendation')} AS recommendation,
   CASE WHEN length(description) > 160 THEN left(description, 157) || '…' ELSE description END AS callout FROM ranked""", "ranked"),
     "risk_rollup": sql("SELECT project_id, file_id, severity, count(*) AS findings, grouping(project_id, file_id, severity)::INT AS level FROM findings JOIN file_list USING (file_id) GROUP BY ROLLUP (project_id, file_id, severity)", "findings", "file_list"),
     "facet_cube": sql("SELECT v.language, severity, count(*) AS findings FROM findings v GROUP BY CUBE (v.language, severity)", "findings"),
@@ -430,4 +438,6 @@ ORACLE = {
     "stream_findings": sql("SELECT file_id, rule_id, line_start, severity FROM findings", "findings"),
     "stream_rate_windows": "SELECT epoch(w)::BIGINT AS window_start, user_id, count(*) AS requests FROM (SELECT user_id, date_trunc('hour', ts) AS w FROM events) GROUP BY w, user_id",
     "stream_stuck_files": sql("""SELECT file_id, epoch_us(ts) // 1000 AS since_ms FROM last_status WHERE status = 'analyzing' AND epoch_us(ts) // 1000 + 120000 < (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000""", "last_status"),
+    "stream_stuck_now": sql("SELECT file_id, (epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT) AS age_seconds FROM last_status WHERE status = 'analyzing' AND epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT > 120", "last_status"),
+    "stream_uploads": "SELECT DISTINCT user_id AS file_id FROM events",
 }

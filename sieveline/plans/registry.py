@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sieveline.functions.text import html_escape
-from sieveline.operators import (activity, diagnostics, explain, lines, pages, pieces, reports, runs, scan,
+from sieveline.operators import (activity, diagnostics, explain, export, lines, pages, pieces, reports, runs, scan,
                                  score, search, structure, text_index, tokens)
 from sieveline.operators.dedup import deduplicate
 from sieveline.plans import analysis, tree
@@ -444,6 +444,26 @@ def file_report(spark, sf):
     return reports.report_findings(scan.local_findings(_files(spark, sf), signals=False))
 
 
+def _exported(spark, sf):
+    """Report documents written, and read again."""
+    folder = _run_folder(spark, "reports")
+    status = F.col("status") == "complete"
+    analysed = analysis.analyze(_files(spark, sf)).withColumn("status", _status())
+    docs = export.documents(analysed.withColumn("risk_score", F.when(status, F.col("risk_score"))))
+    run = export.write(docs, folder, "reports")
+    return export.read(spark, folder, docs.schema, run)
+
+
+@query
+def export_heads(spark, sf):
+    return export.heads(_exported(spark, sf))
+
+
+@query
+def export_findings(spark, sf):
+    return export.findings(_exported(spark, sf))
+
+
 @query
 def risk_rollup(spark, sf):
     return reports.risk_rollup(_findings(spark, sf, keep=("project_id",)))
@@ -678,3 +698,24 @@ def stream_stuck_files(spark, sf):
     stuck = stream_status.stuck_stream(changes)
     rates.to_table(stuck, f"{folder}/stuck", f"{folder}/checkpoint").awaitTermination()
     return spark.read.schema(stuck.schema).parquet(f"{folder}/stuck")
+
+
+@query
+def stream_stuck_now(spark, sf):
+    """The files that are stuck when the stream has read all there is, those of its last minutes included."""
+    folder = _run_folder(spark, "stream-episodes")
+    told = stream_status.stuck_episodes(corpus.status_of_events(_stream(spark, sf, "events")))
+    rates.to_table(told, f"{folder}/told", f"{folder}/checkpoint").awaitTermination()
+    now = F.lit(REPORT_TIME).cast("timestamp")
+    stuck = stream_status.stuck_at_end(spark.read.schema(told.schema).parquet(f"{folder}/told"), f"{folder}/checkpoint", now)
+    return stuck.select("file_id", (F.unix_seconds(now) - F.floor(F.col("since_ms") / 1000)).alias("age_seconds"))
+
+
+@query
+def stream_uploads(spark, sf):
+    """Files uploaded at least once: repeated uploads of a stream dropped within the watermark, then over the whole table."""
+    folder = _run_folder(spark, "stream-uploads")
+    uploads = corpus.status_of_events(_stream(spark, sf, "events")).select("file_id", F.col("ts").alias("uploaded_at"))
+    once = stream_scan.without_repeats(uploads)
+    rates.to_table(once, f"{folder}/uploads", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(once.schema).parquet(f"{folder}/uploads").select("file_id").distinct()

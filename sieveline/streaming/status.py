@@ -1,4 +1,8 @@
-"""File life cycle as a stream: report files that stay in ``analyzing`` too long."""
+"""File life cycle as a stream: report files that stay in ``analyzing`` too long.
+
+``stuck_stream`` is a feed of alarms. ``stuck_episodes`` also tells when a file moves on, so that its rows and what the state
+still holds at the end of a bounded run (``stuck_at_end``) give what the batch form gives, whatever the batches were.
+"""
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -39,3 +43,62 @@ def stuck_stream(events: DataFrame, delay: str = "10 minutes", seconds: int = ST
     rows = timed.select("file_id", "event_id", "status", "ts", F.unix_millis("ts").alias("ms"))
     return rows.groupBy("file_id").applyInPandasWithState(
         follow, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+_TOLD_STATE = "status string, since_ms long, event_id long, told boolean"
+_EPISODE = "file_id long, since_ms long, stuck boolean"
+KEEP_SECONDS = 24 * 3600
+
+
+def stuck_episodes(events: DataFrame, delay: str = "10 minutes", seconds: int = STUCK_SECONDS,
+                   keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """``file_id, since_ms, stuck``: true once a file has been ``analyzing`` for ``seconds``, false when a status comes for a
+    file that was reported or that nothing is known of.
+
+    The state of a file is dropped ``keep_seconds`` of event time after its last report and as soon as a finished file can no
+    longer get stuck, so it holds the files at work and not all there ever were. Rows later than the watermark are dropped;
+    ``dropped_late`` tells how many.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+    def follow(key, frames, state):
+        if state.hasTimedOut:
+            status, since, event, told = state.get
+            if status == "analyzing" and not told:
+                state.update((status, since, event, True))
+                state.setTimeoutTimestamp(max(since + (seconds + keep_seconds) * 1000, state.getCurrentWatermarkMs() + 1))
+                yield pd.DataFrame({"file_id": [key[0]], "since_ms": [since], "stuck": [True]})
+            else:
+                state.remove()
+            return
+        status, since, event, told = state.get if state.exists else (None, -1, -1, True)
+        before = (since, event)
+        for frame in frames:
+            row = frame.sort_values(["ms", "event_id"]).iloc[-1]
+            if (int(row["ms"]), int(row["event_id"])) >= (since, event):
+                status, since, event = row["status"], int(row["ms"]), int(row["event_id"])
+        if told and (since, event) != before:
+            yield pd.DataFrame({"file_id": [key[0]], "since_ms": [since], "stuck": [False]})
+            told = False
+        state.update((status, since, event, told))
+        state.setTimeoutTimestamp(max(since + (seconds + (keep_seconds if told else 0)) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    rows = timed.select("file_id", "event_id", "status", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("file_id").applyInPandasWithState(
+        follow, _EPISODE, _TOLD_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stuck_at_end(told: DataFrame, checkpoint: str, now, seconds: int = STUCK_SECONDS) -> DataFrame:
+    """``file_id, since_ms``: the files that are stuck at ``now``, from the rows of ``stuck_episodes`` and the state that its
+    stream left in ``checkpoint``. The stream has to have stopped."""
+    state = told.sparkSession.read.format("statestore").load(checkpoint)
+    held = state.select("key.file_id", "value.groupState.*").select(
+        "file_id", "since_ms", (F.col("status") == "analyzing").alias("stuck"))
+    last = told.unionByName(held).groupBy("file_id").agg(F.max(F.struct("since_ms", "stuck")).alias("x"))
+    return last.filter("x.stuck").select("file_id", "x.since_ms").filter(
+        F.unix_seconds(now) - F.floor(F.col("since_ms") / 1000) > seconds)
+
+
+def dropped_late(query) -> int:
+    """Rows that a stream's stateful operators dropped as later than the watermark, over the progress it still remembers."""
+    return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
