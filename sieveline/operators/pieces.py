@@ -76,7 +76,7 @@ def _headers(lines: str) -> str:
 
 def neighbours(pieces: DataFrame) -> DataFrame:
     """``file_id, block, part``, the lines of the file before the piece (``first``), its own (``n``), ``before`` and ``after``
-    with the lines around it, and ``next_head``, the first function header behind it."""
+    with the lines around it, ``next_head``, the first function header behind it, and whether it is ``alone`` in its file."""
     edges = pieces.select(*_PLACE, "language", split_lines(F.col("text")).alias("lines")).select(
         *_PLACE, F.size("lines").alias("n"), F.slice("lines", 1, CONTEXT_LINES - 1).alias("head"),
         _last("lines").alias("tail"), F.expr(f"get({_headers('lines')}, 0)").alias("opens"))
@@ -90,7 +90,8 @@ def neighbours(pieces: DataFrame) -> DataFrame:
     opened = F.when(F.col("opens").isNotNull(), F.struct(
         (F.col("first") + F.col("opens.at")).alias("at"), F.col("opens.line").alias("line")))
     return near.select(*_PLACE, "n", "first", _last("ahead").alias("before"), "after",
-                       F.last(opened, ignorenulls=True).over(back).alias("next_head"))
+                       F.last(opened, ignorenulls=True).over(back).alias("next_head"),
+                       (F.count(F.lit(1)).over(Window.partitionBy("file_id")) == 1).alias("alone"))
 
 
 def _last(lines: str) -> Column:
@@ -280,8 +281,11 @@ def _line_ends(text: Column) -> Column:
 
 
 def complex_in_pieces(pieces: DataFrame, near: DataFrame) -> DataFrame:
-    """``file_id, block, part, complex``: the complex functions that begin in a piece, with lines counted in the file."""
-    found = segments(pieces.filter(F.col("language") == "python")).select(
+    """``file_id, block, part, complex``: the complex functions that begin in a piece, with lines counted in the file, for files
+    of several pieces."""
+    near = near.filter(~F.col("alone"))
+    several = pieces.filter(F.col("language") == "python").join(near.select(*_PLACE), [*_PLACE], "left_semi")
+    found = segments(several).select(
         "file_id", "above", F.explode_outer(complex_functions(F.lit("python"), F.col("text"))).alias("c")) \
         .filter(F.col("c").isNotNull()) \
         .select("file_id", F.struct("c.name", (F.col("c.line") + F.col("above")).alias("line"), "c.complexity").alias("c"))
@@ -330,8 +334,10 @@ def scan_pieces(pieces: DataFrame, packs: dict = PACKS, signals: bool = False, g
     base = base.withColumn("odd", odd_letters(F.col("text"))).withColumn("own", split_lines(F.col("text"))) \
         .withColumn("lines", F.concat("before", "own", "after")).withColumn("off", off.cast("int"))
     if judged:
-        base = base.withColumn("complex", F.transform("complex", lambda c: F.struct(
-            c["name"].alias("name"), (c["line"] - F.col("off")).cast("int").alias("line"), c["complexity"].alias("complexity"))))
+        moved_in = F.transform("complex", lambda c: F.struct(
+            c["name"].alias("name"), (c["line"] - F.col("off")).cast("int").alias("line"), c["complexity"].alias("complexity")))
+        base = base.withColumn("complex", F.when(
+            F.col("alone"), complex_functions(F.col("language"), F.col("text"))).otherwise(moved_in))
     # line numbers among the piece's lines and its neighbours': those of neighbours go, the others are moved to the file's
     local = f"concat({', '.join(f'coalesce({part}, array())' for part in parts)})"
     moved = F.expr("transform(filter(found, f -> f.line_start > size(before) AND f.line_start <= size(before) + n), "

@@ -35,8 +35,10 @@ def add(table: DataFrame, key: str, columns, path: str, buckets: int = BUCKETS)
     distinct = written(held.select("value", "text").distinct(), "values")
     distinct.write.mode("append").parquet(f"{path}/values")
     # ranges of triple and text: a triple that most texts hold is cut into several
-    triples = distinct.select("value", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_TRIPLES), F.lit(1)))).alias("triple")) \
-        .withColumn("bucket", _bucket(F.col("triple"), buckets))
+    held_triples = F.array_distinct(F.regexp_extract_all("text", F.lit(_TRIPLES), F.lit(1)))
+    # written first, as finding the ranges reads them too
+    triples = written(distinct.select("value", held_triples.alias("triples")), "triples") \
+        .select("value", F.explode("triples").alias("triple")).withColumn("bucket", _bucket(F.col("triple"), buckets))
     triples.repartitionByRange("bucket", "triple", "value").sortWithinPartitions("bucket", "triple") \
         .write.mode("append").partitionBy("bucket").parquet(f"{path}/triples")
     held.select("value", "key", _bucket(F.col("value"), buckets).alias("bucket")) \
