@@ -42,7 +42,8 @@ _PLACE = ("file_id", "block", "part")
 # --- files to pieces --------------------------------------------------------------------
 
 def cut(files: DataFrame, lines: int = PIECE_LINES) -> DataFrame:
-    """File rows as pieces: ``source`` gives way to ``block, part, text``, ordered by block and part. Pieces end at line feeds."""
+    """File rows as pieces: ``source`` gives way to ``block, part, alone, text``, ordered by block and part. Pieces end at line
+    feeds; ``alone`` marks the only one of a file."""
     rows = F.split("source", "\n")
     whole = F.when((F.element_at(rows, -1) == "") & (F.size(rows) > 1), F.slice(rows, 1, F.size(rows) - 1)).otherwise(rows)
     others = [c for c in files.columns if c != "source"]
@@ -51,18 +52,19 @@ def cut(files: DataFrame, lines: int = PIECE_LINES) -> DataFrame:
         .select(*others, "rows", F.explode(F.sequence(F.lit(0), count - 1)).alias("k"))
     text = F.concat(F.array_join(F.slice("rows", F.col("k") * lines + 1, F.lit(lines)), "\n"), F.lit("\n"))
     return numbered.select(*others, F.floor(F.col("k") / BLOCK_PIECES).cast("long").alias("block"),
-                           F.col("k").cast("long").alias("part"), text.alias("text"))
+                           F.col("k").cast("long").alias("part"), (F.size("rows") <= lines).alias("alone"), text.alias("text"))
 
 
 def read_pieces(spark: SparkSession, path: str, lines: int = PIECE_LINES) -> DataFrame:
-    """Text files below ``path`` as pieces ``path, block, part, text``. Spark splits large files by bytes; a block is such a
+    """Text files below ``path`` as pieces ``path, block, part, alone, text``. Spark splits large files by bytes; a block is such a
     split, its pieces are runs of lines read one after another. The text moves once, to stand together by piece."""
     rows = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"), "value")
+        F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("at"), "value")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), "\n")
     return rows.groupBy("path", "block", F.floor(F.col("at") / lines).cast("long").alias("part")) \
-        .agg(F.concat(joined, F.lit("\n")).alias("text"))
+        .agg(F.max("bytes").alias("bytes"), F.concat(joined, F.lit("\n")).alias("text")) \
+        .select("path", "block", "part", (F.octet_length("text") >= F.col("bytes")).alias("alone"), "text")
 
 
 # --- what a piece has to know of its neighbours -----------------------------------------
@@ -76,7 +78,7 @@ def _headers(lines: str) -> str:
 
 def neighbours(pieces: DataFrame) -> DataFrame:
     """``file_id, block, part``, the lines of the file before the piece (``first``), its own (``n``), ``before`` and ``after``
-    with the lines around it, ``next_head``, the first function header behind it, and whether it is ``alone`` in its file."""
+    with the lines around it, and ``next_head``, the first function header behind it."""
     edges = pieces.select(*_PLACE, "language", split_lines(F.col("text")).alias("lines")).select(
         *_PLACE, F.size("lines").alias("n"), F.slice("lines", 1, CONTEXT_LINES - 1).alias("head"),
         _last("lines").alias("tail"), F.expr(f"get({_headers('lines')}, 0)").alias("opens"))
@@ -90,8 +92,7 @@ def neighbours(pieces: DataFrame) -> DataFrame:
     opened = F.when(F.col("opens").isNotNull(), F.struct(
         (F.col("first") + F.col("opens.at")).alias("at"), F.col("opens.line").alias("line")))
     return near.select(*_PLACE, "n", "first", _last("ahead").alias("before"), "after",
-                       F.last(opened, ignorenulls=True).over(back).alias("next_head"),
-                       (F.count(F.lit(1)).over(Window.partitionBy("file_id")) == 1).alias("alone"))
+                       F.last(opened, ignorenulls=True).over(back).alias("next_head"))
 
 
 def _last(lines: str) -> Column:
@@ -281,11 +282,8 @@ def _line_ends(text: Column) -> Column:
 
 
 def complex_in_pieces(pieces: DataFrame, near: DataFrame) -> DataFrame:
-    """``file_id, block, part, complex``: the complex functions that begin in a piece, with lines counted in the file, for files
-    of several pieces."""
-    near = near.filter(~F.col("alone"))
-    several = pieces.filter(F.col("language") == "python").join(near.select(*_PLACE), [*_PLACE], "left_semi")
-    found = segments(several).select(
+    """``file_id, block, part, complex``: the complex functions that begin in a piece, with lines counted in the file."""
+    found = segments(pieces.filter(F.col("language") == "python")).select(
         "file_id", "above", F.explode_outer(complex_functions(F.lit("python"), F.col("text"))).alias("c")) \
         .filter(F.col("c").isNotNull()) \
         .select("file_id", F.struct("c.name", (F.col("c.line") + F.col("above")).alias("line"), "c.complexity").alias("c"))
@@ -315,14 +313,16 @@ def _long_functions(signals: bool) -> str:
 
 
 def scan_pieces(pieces: DataFrame, packs: dict = PACKS, signals: bool = False, guarded: bool = True, keep=()) -> DataFrame:
-    """The rows of ``scan.scan_files`` over whole files, from ``file_id, language, block, part, text`` and the columns in ``keep``.
+    """The rows of ``scan.scan_files`` over whole files, from ``file_id, language, block, part, alone, text`` and the columns in
+    ``keep``.
 
-    The pieces are written once, as their edges, the lexer and the scan read them. Line numbers stay integers, as in the scan of
+    Pieces that are ``alone`` in their file are scanned where they are. The others are written once, as their edges, the lexer
+    and the scan read them. Line numbers stay integers, as in the scan of
     whole files, which bounds a file by two thousand million lines.
     """
     scan.check_packs(packs)
     kept = list(dict.fromkeys(["file_id", "language", *keep]))
-    held = written(pieces.filter(F.col("text").isNotNull()).select(*kept, "block", "part", "text"), "pieces")
+    held = written(pieces.filter(~F.col("alone") & F.col("text").isNotNull()).select(*kept, "block", "part", "text"), "pieces")
     near = written(neighbours(held), "neighbours")
     base = held.join(near, [*_PLACE])
     judged = any(rule.rule_id == "PY-CMPLX-001" for rule in packs.get("python", ()))
@@ -334,19 +334,17 @@ def scan_pieces(pieces: DataFrame, packs: dict = PACKS, signals: bool = False, g
     base = base.withColumn("odd", odd_letters(F.col("text"))).withColumn("own", split_lines(F.col("text"))) \
         .withColumn("lines", F.concat("before", "own", "after")).withColumn("off", off.cast("int"))
     if judged:
-        moved_in = F.transform("complex", lambda c: F.struct(
-            c["name"].alias("name"), (c["line"] - F.col("off")).cast("int").alias("line"), c["complexity"].alias("complexity")))
-        base = base.withColumn("complex", F.when(
-            F.col("alone"), complex_functions(F.col("language"), F.col("text"))).otherwise(moved_in))
+        base = base.withColumn("complex", F.transform("complex", lambda c: F.struct(
+            c["name"].alias("name"), (c["line"] - F.col("off")).cast("int").alias("line"), c["complexity"].alias("complexity"))))
     # line numbers among the piece's lines and its neighbours': those of neighbours go, the others are moved to the file's
     local = f"concat({', '.join(f'coalesce({part}, array())' for part in parts)})"
-    moved = F.expr("transform(filter(found, f -> f.line_start > size(before) AND f.line_start <= size(before) + n), "
-                   "f -> struct(f.line_start + off AS line_start, f AS f))")
-    rows = base.withColumn("found", F.expr(local))
+    moved = ("transform(filter(found, f -> f.line_start > size(before) AND f.line_start <= size(before) + n), "
+             "f -> struct(f.line_start + off AS line_start, f AS f))")
+    long = f"transform(coalesce({_long_functions(signals)}, array()), f -> struct(f.line_start AS line_start, f AS f))"
     fields = ["rule_id", "severity", "confidence_score", "ordinal", "line_start", "line_end", "code_snippet", "description",
               *(["signals"] if signals else [])]
-    of_lines = unnest(rows.withColumn("found", moved), "found", "x", kept).select(
+    found = base.withColumn("found", F.expr(local)).withColumn("found", F.expr(f"concat({moved}, {long})"))
+    rows = unnest(found, "found", "x", kept).select(
         *kept, *[F.col("x.line_start") if name == "line_start" else F.col(f"x.f.{name}") for name in fields])
-    long = unnest(base.withColumn("found", F.expr(_long_functions(signals))), "found", "f", kept) \
-        .select(*kept, *[F.col(f"f.{name}") for name in fields])
-    return scan.describe(of_lines.unionByName(long), packs, keep)
+    whole = scan.scan_files(pieces.filter("alone").select(*kept, F.col("text").alias("source")), packs, signals, True, guarded, keep)
+    return scan.describe(rows, packs, keep).unionByName(whole)

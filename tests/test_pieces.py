@@ -85,7 +85,7 @@ def test_one_large_file_from_disk_runs_in_many_tasks(spark, tmp_path):
     try:
         read = pieces.read_pieces(spark, str(folder), 500)
         assert read.select("block").distinct().count() > 4
-        named = read.select(F.lit(1).cast("long").alias("file_id"), F.lit("python").alias("language"), "block", "part", "text")
+        named = read.select(F.lit(1).cast("long").alias("file_id"), F.lit("python").alias("language"), "block", "part", "alone", "text")
         found = pieces.scan_pieces(named)
         whole = spark.createDataFrame([(1, "p", "big.py", "python", text)],
                                       "file_id long, project_id string, filename string, language string, source string")
@@ -97,6 +97,22 @@ def test_one_large_file_from_disk_runs_in_many_tasks(spark, tmp_path):
     assert os.path.getsize(folder / "big.py") > 1_000_000
 
 
+def test_small_files_from_disk_are_pieces_of_their_own(spark, tmp_path):
+    texts = {"a.py": "eval(x)\n", "b.py": "eval(x)\n\neval(y)", "c.py": "x\n" * 30, "ä.py": "# ä\r\neval(é)"}
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_bytes(text.encode())
+    read = pieces.read_pieces(spark, str(folder), 10).collect()
+    joined = {}
+    for r in sorted(read, key=lambda r: (r["path"], r["block"], r["part"])):
+        joined[r["path"]] = joined.get(r["path"], "") + r["text"]
+    assert sorted(joined.values()) == sorted(t if t.endswith("\n") else t + "\n" for t in texts.values())
+    assert all(joined[r["path"]] == r["text"] for r in read if r["alone"])
+    assert sum(r["alone"] for r in read) >= 2
+    assert sum(r["text"].count("\n") for r in read) == sum(len(t.splitlines()) for t in texts.values())
+
+
 def test_no_files(spark, make_files):
     empty = make_files(("python", "x")).limit(0)
     assert pieces.scan_pieces(pieces.cut(empty)).count() == 0
