@@ -1,8 +1,8 @@
 """Compiler and service diagnostics as findings.
 
-Feeds are tables.  A feed is first reduced to the rows that count, numbered in feed order and
-joined with the number of lines of their files, and with single lines where these are shown.  All items are kept unless a limit
-per file is given; ``beyond_limit`` counts what it leaves out.  A missing feed, or broken JSON
+Feeds are tables.  A feed first meets the numbers of lines of the files it speaks of, so that nothing is parsed for files of
+other languages; its items are numbered in feed order and joined with single lines where these are shown.  All items are kept
+unless a limit per file is given; ``beyond_limit`` counts what it leaves out.  A missing feed, or broken JSON
 in it, leaves the local findings as they are.
 """
 
@@ -13,6 +13,7 @@ from sieveline.operators.dedup import merge
 from sieveline.operators.lines import computed_once, explode_lines
 from sieveline.operators.numbering import block_of, numbered
 from sieveline.schema import CATEGORIES, CSHARP_RESPONSE, FINDING_COLUMNS, MAX_SNIPPET, SEVERITIES
+from sieveline.session import written
 
 #: external findings come behind every local one
 EXTERNAL_ORDINAL = 100_000
@@ -74,21 +75,34 @@ def _item(kind: str, **fields):
     return F.struct(*parts)
 
 
-def java_items(diagnostics: DataFrame) -> DataFrame:
-    """Diagnostics that become findings: ``file_id, language, position, item``."""
+def of_files(feed: DataFrame, files: DataFrame, language: str) -> DataFrame:
+    """The rows of a feed that speak of files of a language, with ``line_counts``: the number of lines of the file, of each
+    where files share an id.
+
+    The counts are a row a file and written first. So Spark knows their size: it sends few to every task and the feed stays
+    where it is; many meet the feed by a shuffle.
+    """
+    own = files.filter(F.col("language") == language)
+    counts = own.select("file_id", F.coalesce(F.size(split_lines(F.col("source"))), F.lit(0)).alias("line_count")) \
+        .groupBy("file_id").agg(F.collect_list("line_count").alias("line_counts"))
+    return feed.join(written(counts, "line-counts"), "file_id")
+
+
+def java_items(diagnostics: DataFrame, keep=()) -> DataFrame:
+    """Diagnostics that become findings: ``file_id, language, position, item`` and the columns named by ``keep``."""
     kept = diagnostics.withColumn("code", java_kind(F.col("kind"))).filter(F.col("code").isNotNull())
     return kept.select(
         "file_id", F.lit("java").alias("language"),
         F.struct(F.lit(0).alias("part"), "seq", "sub", F.lit(0).alias("pos")).alias("position"),
         _item("java", code=F.col("code"), text=F.col("message"), line=F.col("line"),
-              fragment=F.col("source_fragment")).alias("item"))
+              fragment=F.col("source_fragment")).alias("item"), *keep)
 
 
-def csharp_items(responses: DataFrame) -> DataFrame:
+def csharp_items(responses: DataFrame, keep=()) -> DataFrame:
     """Diagnostics, then rule findings of the service, in the same shape.  The JSON text is
     parsed once."""
     parsed = computed_once(
-        responses.select("file_id", "seq", "sub", F.from_json("response", CSHARP_RESPONSE).alias("r")), "r")
+        responses.select("file_id", "seq", "sub", F.from_json("response", CSHARP_RESPONSE).alias("r"), *keep), "r")
 
     def level(d):
         return F.lower(strip(d["severity"]))
@@ -106,11 +120,11 @@ def csharp_items(responses: DataFrame) -> DataFrame:
         lambda f: _item("rule", code=f["rule_id"], title=f["title"], text=f["description"],
                         severity=f["severity"], category=f["category"], recommendation=f["recommendation"],
                         cwe_id=f["cwe_id"], line=f["line"], fragment=f["snippet"]))
-    rows = parsed.select("file_id", "seq", "sub", F.posexplode_outer(F.concat(diags, rules)).alias("pos", "item")) \
+    rows = parsed.select("file_id", "seq", "sub", F.posexplode_outer(F.concat(diags, rules)).alias("pos", "item"), *keep) \
         .filter(F.col("item").isNotNull())
     part = F.when(F.col("item.kind") == "diagnostic", 0).otherwise(1)
     return rows.select("file_id", F.lit("csharp").alias("language"),
-                       F.struct(part.alias("part"), "seq", "sub", "pos").alias("position"), "item")
+                       F.struct(part.alias("part"), "seq", "sub", "pos").alias("position"), "item", *keep)
 
 
 def capped(items: DataFrame, limit: int = None) -> DataFrame:
@@ -129,16 +143,13 @@ def beyond_limit(items: DataFrame, limit: int) -> DataFrame:
 
 
 def place(items: DataFrame, files: DataFrame, limit: int = None) -> DataFrame:
-    """Items in the files they belong to: place in the feed, clamped line, and the text of that line where it is shown.
+    """Items with the ``line_counts`` of their files: place in the feed, clamped line, and the text of that line where it is shown.
 
-    No text of a file is moved. Its number of lines goes to its items; only an item without a fragment of its own meets a
-    line, by file and line together, and of lines no more than a snippet travels. Items of one file are numbered and joined
-    in as many tasks as they fill.
+    No text of a file is moved. Only an item without a fragment of its own meets a line, by file and line together, and of
+    lines no more than a snippet travels. Items of one file are numbered and joined in as many tasks as they fill.
     """
-    languages = ("java", "csharp")
-    own = files.filter(F.col("language").isin(*languages))
-    counts = own.select("file_id", "language", F.coalesce(F.size(split_lines(F.col("source"))), F.lit(0)).alias("line_count"))
-    kept = capped(items, limit).select("file_id", "language", "position.*", "item").join(counts, ["file_id", "language"]) \
+    own = files.filter(F.col("language").isin("java", "csharp"))
+    kept = capped(items, limit).select("file_id", "language", "position.*", "item", F.explode("line_counts").alias("line_count")) \
         .withColumn("block", block_of(F.col("seq")))
     placed = numbered(kept, ["file_id", "language"], ["part", "block"], ["seq", "sub", "pos", "item"]).select(
         "file_id", "n", clamp_line(F.col("item.line"), F.col("line_count")).alias("line_start"), "item.*")
@@ -183,13 +194,12 @@ def worded(placed: DataFrame) -> DataFrame:
 
 
 def external_findings(files: DataFrame, java: DataFrame = None, csharp: DataFrame = None, limit: int = None) -> DataFrame:
-    """Findings of the feeds that are there; None without any.  Both feeds meet the files
-    in one join."""
-    items = None
+    """Findings of the feeds that are there; None without any.  Both feeds are numbered and meet the lines in one join."""
+    items, counted = None, ("line_counts",)
     if java is not None:
-        items = java_items(java)
+        items = java_items(of_files(java, files, "java"), counted)
     if csharp is not None:
-        more = csharp_items(csharp)
+        more = csharp_items(of_files(csharp, files, "csharp"), counted)
         items = more if items is None else items.unionByName(more)
     return None if items is None else worded(place(items, files, limit))
 

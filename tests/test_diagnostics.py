@@ -132,3 +132,21 @@ def test_no_text_is_moved_and_one_file_fills_many_tasks(spark, make_files):
     places = numbering.numbered(blocks, ["file_id"], ["block"], ["seq"])
     assert places.filter("n <> seq").count() == 0 and places.count() == 300_000
     assert places.groupBy("block").count().agg(F.max("count")).first()[0] == 4096
+
+
+def test_a_feed_meets_its_files_before_it_is_parsed(spark, make_files):
+    """Responses for files of other languages, unknown or without an id are never parsed."""
+    files = make_files(("java", "a\nb"), ("csharp", "a\nb\nc"), ("csharp", ""), ("csharp", None))
+    feed = spark.createDataFrame([(n, 0, 0, "{}") for n in (0, 1, 1, 2, 3, 9, None)], "file_id long, seq long, sub long, response string")
+    fed = diagnostics.of_files(feed, files, "csharp")
+    assert sorted((r.file_id, r.line_counts) for r in fed.collect()) == [(1, [3]), (1, [3]), (2, [0]), (3, [0])]
+    plan = diagnostics.csharp_items(fed, ("line_counts",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json") < plan.index("Join Inner")
+
+
+def test_files_that_share_an_id_all_have_the_finding(spark, make_files):
+    files = make_files(("java", SOURCE)).unionByName(make_files(("java", "one\ntwo")))
+    rows = diagnostics.java_findings(java_feed(spark, ("ERROR", "9", "m", "own"), ("NOTE", "9", "m", "own")), files).collect()
+    assert sorted(r.line_start for r in rows) == [2, 9]
+    first = diagnostics.java_findings(java_feed(spark, ("ERROR", "9", "a", "own"), ("ERROR", "9", "b", "own")), files, limit=1).collect()
+    assert [r.description for r in first] == ["a", "a"]
