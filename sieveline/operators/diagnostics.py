@@ -213,10 +213,11 @@ def csharp_findings(responses: DataFrame, files: DataFrame, limit: int = None) -
 
 
 def enrich(local: DataFrame, files: DataFrame, java: DataFrame = None, csharp: DataFrame = None,
-           enabled: bool = True, limit: int = None) -> DataFrame:
-    """Local findings with the feeds merged in; only Java and C# have one."""
+           enabled: bool = True, limit: int = None, columns=FINDING_COLUMNS) -> DataFrame:
+    """Local findings with the feeds merged in; only Java and C# have one.  ``columns`` names those wanted, so that no others
+    travel with the merge; it needs the key, the confidence and the ordinal."""
     external = external_findings(files, java, csharp, limit) if enabled else None
-    return merge(local.select(*FINDING_COLUMNS), external)
+    return merge(local.select(*columns), None if external is None else external.select(*columns))
 
 
 def diagnostic_counts(diagnostics: DataFrame) -> DataFrame:

@@ -358,20 +358,19 @@ def diag_counts(spark, sf):
     return diagnostics.diagnostic_counts(corpus.java_diagnostics(spark, sf))
 
 
-def _enriched(spark, sf):
+def _enriched(spark, sf, *columns):
     return diagnostics.enrich(_findings(spark, sf), _files(spark, sf), corpus.java_diagnostics(spark, sf),
-                              corpus.csharp_responses(spark, sf))
+                              corpus.csharp_responses(spark, sf), columns=columns)
 
 
 @query
 def enriched_findings(spark, sf):
-    return _enriched(spark, sf).select("file_id", "rule_id", "line_start", "severity", "confidence_score",
-                                       "title", "ordinal")
+    return _enriched(spark, sf, "file_id", "rule_id", "line_start", "severity", "confidence_score", "title", "ordinal")
 
 
 @query
 def enriched_risk(spark, sf):
-    return score.file_risk(_enriched(spark, sf))
+    return score.file_risk(_enriched(spark, sf, "file_id", "rule_id", "line_start", "severity", "confidence_score", "ordinal"))
 
 
 @query

@@ -150,3 +150,18 @@ def test_files_that_share_an_id_all_have_the_finding(spark, make_files):
     assert sorted(r.line_start for r in rows) == [2, 9]
     first = diagnostics.java_findings(java_feed(spark, ("ERROR", "9", "a", "own"), ("ERROR", "9", "b", "own")), files, limit=1).collect()
     assert [r.description for r in first] == ["a", "a"]
+
+
+def test_enrichment_with_few_columns(spark, make_files):
+    files = make_files(("csharp", "new BinaryFormatter();\nx;"), ("java", SOURCE))
+    service = {"findings": [{"rule_id": "CS-SEC-003", "title": "other", "severity": "low", "line": 1},
+                            {"rule_id": "CS-SEC-002", "title": "BinaryFormatter", "severity": "critical", "line": 1}]}
+    local, feed = scan.scan_files(files), csharp_feed(spark, service, service)
+    some = ("file_id", "rule_id", "line_start", "severity", "confidence_score", "ordinal")
+    few = diagnostics.enrich(local, files, csharp=feed, columns=some)
+    assert few.columns == list(some)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    for exchange in [x for x in plan.split("\n") if "SortAggregate" in x]:
+        assert "description" not in exchange and "recommendation" not in exchange
+    whole = diagnostics.enrich(local, files, csharp=feed)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(*some).collect()))
