@@ -79,6 +79,49 @@ def test_stuck_at_end_equals_the_batch_form(spark, tmp_path, seed):
         assert got == {r[0] for r in activity.stuck_files(batch, now).collect()}
 
 
+def _alarms(batches, delay, seconds):
+    """``stuck_stream`` in plain Python, a file at a time: ``file_id, since`` in seconds."""
+    held, out, watermark, seen = {}, [], 0, 0
+    for batch in [*batches, []]:
+        due = [f for f, (_, _, at) in held.items() if at < watermark]
+        for f in {r[0] for r in batch if r[3] > watermark}:
+            last = max((r[3], r[1], r[2]) for r in batch if r[0] == f and r[3] > watermark)
+            known = held.get(f, ((-1,), None, 0))[0]
+            best = max(known, last)
+            held[f] = (best, best[2], max(best[0] + seconds, watermark + .001))
+            due = [d for d in due if d != f]
+        for f in due:
+            (since, *_), status, _ = held.pop(f)
+            out += [(f, since)] if status == "analyzing" else []
+        seen = max([seen, *(r[3] for r in batch)])
+        watermark = max(watermark, seen - delay)
+    return out
+
+
+@pytest.mark.parametrize("seed, groups", [(1, 2), (2, 2048)])
+def test_alarms_of_files_that_share_a_group(spark, tmp_path, seed, groups):
+    """Groups of files act as each file alone would, in many batches; the state holds a row a group and not a row a file."""
+    pick = random.Random(seed)
+    rows, second = [], 1000
+    for n in range(150):
+        second += pick.choice([1, 30, 100, 400])
+        rows.append((None, n, "analyzing", second) if n in (20, 21, 50) else
+                    (pick.randint(1, 39), n, pick.choice(["analyzing", "complete", None]), second))
+    schema = "file_id long, event_id long, status string, second long"
+    source = tmp_path / "events"
+    batches = [rows[at:at + 30] for at in range(0, 150, 30)]
+    for batch in batches:
+        spark.createDataFrame([*batch, (7, 9999, "analyzing", None)], schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)) \
+        .withColumn("ts", F.timestamp_seconds("second"))
+    stuck = status.stuck_stream(stream, delay="1 minute", groups=groups)
+    rates.to_table(stuck, str(tmp_path / "stuck"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = [(r.file_id, r.since_ms // 1000) for r in spark.read.schema(stuck.schema).parquet(str(tmp_path / "stuck")).collect()]
+    want = _alarms(batches, 60, 120)
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 10 and None in {f for f, _ in want}
+    assert groups > 2 or spark.read.format("statestore").load(str(tmp_path / "checkpoint")).count() <= groups
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     schema = "file_id long, event_id long, status string, second long"
     source = str(tmp_path / "events")
