@@ -62,9 +62,8 @@ def _pick(key: Column, table: dict, field: int) -> Column:
 
 def java_kind(kind: Column) -> Column:
     """ERROR or WARNING; NULL for kinds that are only remarks."""
-    text = F.upper(strip(kind))
-    text = F.when(text == "MANDATORY_WARNING", F.lit("WARNING")).otherwise(text)
-    return F.when(text.isin(*JAVA_KINDS), text)
+    known = {name: name for name in JAVA_KINDS} | {"MANDATORY_WARNING": "WARNING"}
+    return F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.upper(strip(kind)))
 
 
 def _item(kind: str, **fields):
